@@ -1 +1,48 @@
-MODEL_ORACLE = {}
+"""DuckDB oracles for the model keys whose answer SQL can reproduce
+exactly: Gaussian naive Bayes, one-feature least squares and exact KNN
+(a cross join is fine for the oracle; the Spark side never builds pairs)."""
+
+from __future__ import annotations
+
+from tabsmith.sources.fixtures import duck_ctes
+
+MODEL_ORACLE: dict[str, str] = {}
+
+_STRAT_DOCS = ("split AS (SELECT *, CASE WHEN rn <= floor(0.2 * n + 0.5) THEN 'test' ELSE 'train' END AS part FROM ("
+               "SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5('42|' || CAST(doc_id AS VARCHAR))) AS rn, "
+               "count(*) OVER (PARTITION BY quality) AS n FROM labelled_docs))")
+_F = ["n_chars", "n_words", "distinct_ratio", "n_lines"]
+_NB = (duck_ctes("labelled_docs") + ",\n" + _STRAT_DOCS + ",\n"
+       "tr AS (SELECT * FROM split WHERE part = 'train'),\n"
+       "eps AS (SELECT 1e-9 * greatest(" + ", ".join(f"var_pop({c})" for c in _F) + ") AS e FROM tr),\n"
+       "cls AS (SELECT quality, ln(count(*) / (SELECT count(*) FROM tr)) AS lp, "
+       + ", ".join(f"avg({c}) AS m_{c}, var_pop({c}) + (SELECT e FROM eps) AS v_{c}" for c in _F)
+       + " FROM tr GROUP BY quality),\n"
+       "sc AS (SELECT t.doc_id, t.quality, c.quality AS cls, c.lp + "
+       + " + ".join(f"(-0.5 * ln(2 * pi() * c.v_{x}) - (t.{x} - c.m_{x}) * (t.{x} - c.m_{x}) / (2 * c.v_{x}))" for x in _F)
+       + " AS s FROM split t JOIN cls c ON true WHERE t.part = 'test'),\n"
+       "best AS (SELECT doc_id, quality, cls, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, cls) AS r FROM sc)\n")
+MODEL_ORACLE["clf_gaussian_nb"] = _NB + ("SELECT doc_id, CAST(quality AS DOUBLE) AS label, "
+                                         "CAST(cls AS DOUBLE) AS prediction FROM best WHERE r = 1")
+
+_RAND_DOCS = ("split AS (SELECT *, CASE WHEN rn <= ceil(0.2 * n) THEN 'test' ELSE 'train' END AS part FROM ("
+              "SELECT *, row_number() OVER (ORDER BY md5('42|' || CAST(doc_id AS VARCHAR))) AS rn, "
+              "count(*) OVER () AS n FROM labelled_docs))")
+MODEL_ORACLE["reg_linear"] = (
+    duck_ctes("labelled_docs") + ",\n" + _RAND_DOCS + ",\n"
+    "fit AS (SELECT regr_slope(n_chars, n_words) AS b, regr_intercept(n_chars, n_words) AS a FROM split "
+    "WHERE part = 'train')\n"
+    "SELECT doc_id, round(a + b * n_words, 4) + CAST(0 AS DOUBLE) AS prediction FROM split, fit WHERE part = 'test'")
+
+_EMB = ("WITH split AS (SELECT *, CASE WHEN rn <= ceil(0.2 * n) THEN 'test' ELSE 'train' END AS part FROM ("
+        "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (ORDER BY md5('42|' || "
+        "CAST(vec_id AS VARCHAR))) AS rn, count(*) OVER () AS n FROM embeddings)),\n"
+        "d AS (SELECT q.vec_id AS qid, t.vec_id AS tid, t.label AS tl, list_distance(q.e, t.e) AS dist "
+        "FROM split q JOIN split t ON q.part = 'test' AND t.part = 'train'),\n"
+        "nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, tid) AS rk FROM d) "
+        "WHERE rk <= 5)\n")
+MODEL_ORACLE["clf_knn"] = (_EMB + ", v AS (SELECT qid, tl, count(*) AS c FROM nn GROUP BY qid, tl),\n"
+                           "p AS (SELECT qid, tl, row_number() OVER (PARTITION BY qid ORDER BY c DESC, tl) AS r FROM v)\n"
+                           "SELECT qid AS vec_id, CAST(tl AS DOUBLE) AS prediction FROM p WHERE r = 1")
+MODEL_ORACLE["reg_knn"] = (_EMB + "SELECT qid AS vec_id, round(avg(tl), 6) + CAST(0 AS DOUBLE) AS prediction "
+                           "FROM nn GROUP BY qid")
