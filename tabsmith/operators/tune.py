@@ -52,8 +52,8 @@ REGRESSION_GRIDS = {
     "Gradient Boosting Regressor": {"n_estimators": [100, 200], "learning_rate": [0.01, 0.1], "max_depth": [3, 5]},
     "XGBoost Regressor": {"n_estimators": [50, 100], "learning_rate": [0.01, 0.1, 0.2], "max_depth": [3, 5, 7],
                           "subsample": [0.8, 1.0], "colsample_bytree": [0.8, 1.0]},
-    "LightGBM Regressor": {"n_estimators": [100, 200], "learning_rate": [0.01, 0.1], "max_depth": [-1, 10, 20],
-                           "num_leaves": [31, 50]},
+    "LightGBM Regressor": {"n_estimators": [100, 200, 300], "learning_rate": [0.01, 0.1],
+                           "max_depth": [-1, 10, 20], "num_leaves": [31, 50]},
 }
 # our registry names for the two boosting slots
 SLOT_NAMES = {"Boosted Trees Deep": "XGBoost", "Boosted Trees Histogram": "LightGBM",
@@ -86,7 +86,8 @@ def random_settings(grid: dict, n_iter: int = N_ITER, seed: int = SEED) -> list[
 def to_param_map(est, setting: dict, n_train: int) -> dict:
     """Translate one reference setting to Spark parameters of ``est``;
     settings without a counterpart (solver, min_samples_split, num_leaves,
-    kernel choice) are dropped."""
+    kernel choice, var_smoothing: Spark fixes the Gaussian variance floor)
+    are dropped, and settings that become equal are searched once."""
     pm = {}
     names = {p.name: p for p in est.params}
 
@@ -106,16 +107,13 @@ def to_param_map(est, setting: dict, n_train: int) -> dict:
         elif k == "min_samples_leaf":
             put("minInstancesPerNode", int(v))
         elif k == "criterion":
-            put("impurity", {"squared_error": "variance"}.get(v, v) if v != "friedman_mse" and v != "absolute_error"
-                else "variance")
+            put("impurity", v if v in ("gini", "entropy") else "variance")
         elif k == "learning_rate":
             put("stepSize", float(v))
         elif k == "subsample":
             put("subsamplingRate", float(v))
         elif k == "colsample_bytree":
             put("featureSubsetStrategy", "all" if v >= 1.0 else str(v))
-        elif k == "var_smoothing":
-            put("smoothing", float(v))
         elif k == "fit_intercept":
             put("fitIntercept", bool(v))
     return pm

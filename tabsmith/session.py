@@ -17,6 +17,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode runs every task inside the driver JVM
+            builder = builder.config("spark.driver.memory", "8g")
     builder = (builder
                .config("spark.ui.enabled", "false")
                .config("spark.sql.adaptive.enabled", "true")
