@@ -62,12 +62,13 @@ def roc_auc(pred: DataFrame, buckets: int | None = None) -> DataFrame:
     negatives below each score. Distinct scores are split into ranges by
     approximate quantiles, so each window task sorts one range and a short
     window over range totals supplies the offsets."""
-    spark = pred.sparkSession
-    scored = pred.where(F.col("score").isNotNull())
-    col = scored.groupBy("model", "score").agg(
+    allcol = pred.groupBy("model", "score").agg(
         F.sum((F.col("label") == 1).cast("bigint")).alias("pos"),
         F.sum((F.col("label") == 0).cast("bigint")).alias("neg"),
         F.sum(((F.col("label") != 0) & (F.col("label") != 1)).cast("bigint")).alias("other"))
+    # models without scores keep a (model, null) row here, so the model list
+    # below needs no second scan of the predictions
+    col = allcol.where(F.col("score").isNotNull())
     if buckets is None:
         n_distinct = col.count()
         buckets = int(min(AUC_MAX_BUCKETS, max(1, n_distinct // AUC_ROWS_PER_BUCKET)))
@@ -89,7 +90,7 @@ def roc_auc(pred: DataFrame, buckets: int | None = None) -> DataFrame:
         F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.sum("other").alias("O"))
     auc = F.when((F.col("O") == 0) & (F.col("P") > 0) & (F.col("N") > 0),
                  F.col("num") / (F.col("P") * F.col("N")))
-    models = pred.select("model").distinct()
+    models = allcol.select("model").distinct()
     return models.join(agg.select("model", auc.cast("double").alias("roc_auc")), "model", "left")
 
 

@@ -47,6 +47,7 @@ class Spec:
     fit: Callable[[DataFrame], Any]
     predict: Callable[[Any, DataFrame], DataFrame]
     engine: str
+    estimator: Any = None          # the Spark ML estimator, when there is one (tuning)
 
 
 # -------------------------------------------------------- adapter helpers ---
@@ -64,7 +65,7 @@ def _ml_predict(binary_score: bool):
 
 
 def _ml(name, est, engine, binary_score=False) -> Spec:
-    return Spec(name, lambda tr: est.fit(tr), _ml_predict(binary_score), engine)
+    return Spec(name, lambda tr: est.fit(tr), _ml_predict(binary_score), engine, est)
 
 
 def _rff_transform(d: int, gamma: float, components: int = RFF_COMPONENTS, seed: int = SEED):

@@ -83,7 +83,10 @@ def random_settings(grid: dict, n_iter: int = N_ITER, seed: int = SEED) -> list[
     return rng.sample(allset, min(n_iter, len(allset)))
 
 
-def to_param_map(est, setting: dict, n_train: int) -> dict:
+FAST_CAPS = {"maxIter": 20, "numTrees": 20, "maxDepth": 8}
+
+
+def to_param_map(est, setting: dict, n_train: int, caps: dict | None = None) -> dict:
     """Translate one reference setting to Spark parameters of ``est``;
     settings without a counterpart (solver, min_samples_split, num_leaves,
     kernel choice, var_smoothing: Spark fixes the Gaussian variance floor)
@@ -93,6 +96,8 @@ def to_param_map(est, setting: dict, n_train: int) -> dict:
 
     def put(name, value):
         if name in names:
+            if caps and name in caps and isinstance(value, int):
+                value = min(value, caps[name])
             pm[names[name]] = value
     for k, v in setting.items():
         if k == "C":
@@ -126,8 +131,9 @@ def evaluator(problem_type: str):
 
 
 def tune_model(est, grid: dict, train: DataFrame, problem_type: str, search: str = "grid",
-               n_iter: int = N_ITER, seed: int = SEED, folds: int = FOLDS):
-    """Returns dict(best_model, best_params, best_score, results)."""
+               n_iter: int = N_ITER, seed: int = SEED, folds: int = FOLDS, caps: dict | None = None):
+    """Returns dict(best_model, best_params, best_score, results).
+    ``caps`` bounds integer sizes (the fast profile uses ``FAST_CAPS``)."""
     if search == "grid":
         settings = reference_settings(grid)
     elif search == "random":
@@ -137,7 +143,7 @@ def tune_model(est, grid: dict, train: DataFrame, problem_type: str, search: str
     n = train.count()
     maps, seen = [], set()
     for s in settings:
-        pm = to_param_map(est, s, n)
+        pm = to_param_map(est, s, n, caps)
         key = tuple(sorted((p.name, str(v)) for p, v in pm.items()))
         if key not in seen:
             seen.add(key)

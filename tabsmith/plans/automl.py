@@ -120,10 +120,17 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df)
 
 
-def fit(df: DataFrame, target: str, keys: list[str] | None = None, profile: str = "reference",
-        only: list[str] | None = None, fit_on: str = "train", problem_type: str | None = None,
-        checkpoint: bool = False) -> RunResult:
-    """Q5: the whole dataflow. ``only`` restricts the model registry."""
+@dataclass
+class Prepared:
+    prep: PrepModel
+    train: DataFrame
+    test: DataFrame
+    n_train: int
+
+
+def prepare_data(df: DataFrame, target: str, keys: list[str] | None = None, fit_on: str = "train",
+                 problem_type: str | None = None, checkpoint: bool = False) -> Prepared:
+    """Everything before training: cleaning, split, plan, compiled features."""
     cfg = PrepConfig(target=target, keys=list(keys or []), fit_on=fit_on, problem_type=problem_type,
                      checkpoint=checkpoint)
     model, prepared, cl = prepare(df, cfg)
@@ -134,12 +141,19 @@ def fit(df: DataFrame, target: str, keys: list[str] | None = None, profile: str
     train = body.where(F.col("__part") == "train").drop("__part")
     test = body.where(F.col("__part") == "test").drop("__part")
     n_train = train.count()
+    cl.frame.unpersist()        # the compiled features are cached now
+    return Prepared(model, train, test, n_train)
+
+
+def train_and_rank(p: Prepared, profile: str = "reference", only: list[str] | None = None) -> RunResult:
+    """Fit the registry, evaluate all models in one aggregate, rank, explain."""
+    model = p.prep
     d = len(model.selected)
     if model.problem_type == "classification":
-        specs = K.classifiers(n_train, len(model.target_levels), d, profile)
+        specs = K.classifiers(p.n_train, len(model.target_levels), d, profile)
     else:
-        specs = K.regressors(n_train, d, profile)
-    fitted, preds = K.train_all(specs, train, test, only)
+        specs = K.regressors(p.n_train, d, profile)
+    fitted, preds = K.train_all(specs, p.train, p.test, only)
     preds = preds.persist(StorageLevel.MEMORY_AND_DISK)
     if model.problem_type == "classification":
         board = L.leaderboard_classification(preds)
@@ -147,9 +161,16 @@ def fit(df: DataFrame, target: str, keys: list[str] | None = None, profile: str
         board = L.leaderboard_regression(preds)
     board = board.persist(StorageLevel.MEMORY_AND_DISK)
     best = board.where(F.col("rank") == 1).select("model").first()[0]
-    raw_imp = L.model_importances(df.sparkSession, fitted, model.selected)
+    raw_imp = L.model_importances(p.train.sparkSession, fitted, model.selected)
     importance = L.feature_importance(raw_imp)
-    return RunResult(model, model.problem_type, train, test, fitted, specs, preds, board, best, importance)
+    return RunResult(model, model.problem_type, p.train, p.test, fitted, specs, preds, board, best, importance)
+
+
+def fit(df: DataFrame, target: str, keys: list[str] | None = None, profile: str = "reference",
+        only: list[str] | None = None, fit_on: str = "train", problem_type: str | None = None,
+        checkpoint: bool = False) -> RunResult:
+    """Q5: the whole dataflow. ``only`` restricts the model registry."""
+    return train_and_rank(prepare_data(df, target, keys, fit_on, problem_type, checkpoint), profile, only)
 
 
 def load_scoring_model(path: str) -> PipelineModel:

@@ -34,13 +34,16 @@ PROFILE = "fast"
 
 
 @lru_cache(maxsize=4)
-def _run(spark, sf: str, kind: str, only: tuple | None = None, profile: str = PROFILE):
+def _prepared(spark, sf: str, kind: str):
     docs = X.labelled_docs(spark, sf)
     if kind == "classification":
-        return automl.fit(docs, "quality", keys=["doc_id"], profile=profile,
-                          only=list(only) if only else None)
-    return automl.fit(docs.drop("quality"), "n_chars", keys=["doc_id"], profile=profile,
-                      only=list(only) if only else None)
+        return automl.prepare_data(docs, "quality", keys=["doc_id"])
+    return automl.prepare_data(docs.drop("quality"), "n_chars", keys=["doc_id"])
+
+
+@lru_cache(maxsize=16)
+def _run(spark, sf: str, kind: str, only: tuple | None = None, profile: str = PROFILE):
+    return automl.train_and_rank(_prepared(spark, sf, kind), profile, list(only) if only else None)
 
 
 def _one(kind: str, name: str):
@@ -153,19 +156,25 @@ def q_reg_knn(spark, sf):
 
 # ------------------------------------------------------------------ tuning ---
 
+@lru_cache(maxsize=8)
 def _tuning(spark, sf, name, search):
-    r = _run(spark, sf, "classification")
-    est = _estimator_of(r, name)
+    p = _prepared(spark, sf, "classification")
+    specs = K.classifiers(p.n_train, len(p.prep.target_levels), len(p.prep.selected), PROFILE)
+    est = next(s.estimator for s in specs if s.name == name).copy()
     grid = G.CLASSIFICATION_GRIDS[G.SLOT_NAMES.get(name, name)]
-    return G.tune_model(est, grid, r.train, "classification", search)
+    return G.tune_model(est, grid, p.train, "classification", search, caps=_caps())
+
+
+def _caps():
+    return G.FAST_CAPS if PROFILE == "fast" else None
 
 
 def _estimator_of(r, name):
-    n = r.train.count()
-    for spec in K.classifiers(n, len(r.prep.target_levels), len(r.prep.selected), PROFILE):
-        if spec.name == name:
-            fitted = r.fitted.get(name)
-            return fitted.parent if hasattr(fitted, "parent") and fitted.parent is not None else None
+    """A fresh copy of the registry's Spark estimator for ``name`` (None for
+    models that are not a single Spark estimator: KNN, SVM)."""
+    for spec in r.specs:
+        if spec.name == name and spec.estimator is not None:
+            return spec.estimator.copy()
     return None
 
 
@@ -206,7 +215,7 @@ def q_tune_top3(spark, sf):
         if est is None or grid is None:
             continue
         search = "grid" if name in G.GRID_SEARCHED else "random"
-        res = G.tune_model(est, grid, r.train, "classification", search)
+        res = G.tune_model(est, grid, r.train, "classification", search, caps=_caps())
         p = K._ml_predict(True)(res["best_model"], r.test).join(r.test.select("row_key", "label"), "row_key") \
             .select("row_key", F.lit(name).alias("model"), "label", "prediction", "score")
         tuned_preds = p if tuned_preds is None else tuned_preds.unionByName(p)

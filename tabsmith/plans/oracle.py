@@ -397,3 +397,12 @@ ORACLE["reject_non_numeric"] = (
     "SELECT o_orderkey, 'x' AS col_name, x AS value FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 "
     "THEN o_orderpriority ELSE CAST(o_totalprice AS VARCHAR) END AS x FROM orders) "
     "WHERE x IS NOT NULL AND TRY_CAST(x AS DOUBLE) IS NULL")
+
+# the driver's views carry their columns in information_schema
+ORACLE["validate_features"] = (
+    "WITH expected AS (SELECT * FROM (VALUES ('o_custkey'), ('o_totalprice'), ('o_orderstatus'), "
+    "('o_shippriority')) AS t(feature)),\n"
+    "have AS (SELECT column_name AS feature FROM information_schema.columns WHERE table_name = 'orders' "
+    "AND column_name <> 'o_orderdate')\n"
+    "SELECT feature, CASE WHEN feature IN (SELECT feature FROM have) THEN 'ok' ELSE 'missing' END AS status "
+    "FROM expected UNION ALL SELECT feature, 'unexpected' FROM have WHERE feature NOT IN (SELECT feature FROM expected)")

@@ -46,3 +46,44 @@ MODEL_ORACLE["clf_knn"] = (_EMB + ", v AS (SELECT qid, tl, count(*) AS c FROM nn
                            "SELECT qid AS vec_id, CAST(tl AS DOUBLE) AS prediction FROM p WHERE r = 1")
 MODEL_ORACLE["reg_knn"] = (_EMB + "SELECT qid AS vec_id, round(avg(tl), 6) + CAST(0 AS DOUBLE) AS prediction "
                            "FROM nn GROUP BY qid")
+
+# ---- decisions of the end-to-end classification run on labelled_docs ----
+# (stratified split on quality, profile of the training rows, target and the
+# doc_id key protected). One-hot column names are the sorted lang levels
+# after the first, as found in the data.
+_LANG = ["en", "es", "fr"]
+_NUM = ["n_chars", "n_words", "distinct_ratio", "n_lines"]
+_INPUTS = _NUM + [f"lang_{v}" for v in _LANG]
+_RUN = (duck_ctes("labelled_docs") + ",\n" + _STRAT_DOCS + ",\n"
+        "tr AS (SELECT * FROM split WHERE part = 'train'),\n"
+        "card AS (SELECT c, CAST(d AS DOUBLE) / n AS ratio, d FROM ("
+        "SELECT 'lang' AS c, count(DISTINCT lang) AS d, count(*) AS n FROM tr UNION ALL "
+        "SELECT 'source', count(DISTINCT source), count(*) FROM tr)),\n"
+        "dropped AS (SELECT c FROM card WHERE ratio > 0.15),\n"
+        "enc AS (SELECT *, " + ", ".join(f"CAST(lang = '{v}' AS DOUBLE) AS lang_{v}" for v in _LANG) + " FROM tr),\n"
+        "pairs AS (" + " UNION ALL ".join(
+            f"SELECT '{a}' AS col_i, '{b}' AS col_j, abs(corr({a}, {b})) AS r FROM enc"
+            for i, a in enumerate(_INPUTS) for b in _INPUTS[i + 1:]) + "),\n"
+        "vars AS (" + " UNION ALL ".join(f"SELECT '{c}' AS c, var_pop({c}) AS v FROM enc" for c in _INPUTS) + "),\n"
+        "corr_drop AS (SELECT col_j AS c FROM pairs WHERE col_i IN (SELECT c FROM vars WHERE v > 0) "
+        "AND col_j IN (SELECT c FROM vars WHERE v > 0) GROUP BY col_j HAVING max(r) > 0.9),\n"
+        "selected AS (SELECT c FROM vars WHERE v > 0 AND c NOT IN (SELECT c FROM corr_drop))\n")
+MODEL_ORACLE["preprocessing_report"] = _RUN + (
+    "SELECT 'cleaning' AS stage, c AS col_name, 'Removed (Unique ratio > 0.15)' AS action FROM dropped "
+    "UNION ALL SELECT 'encoding', c, CASE WHEN d = 2 THEN 'Label Encoding' ELSE 'One Hot Encoding' END FROM card "
+    "WHERE c NOT IN (SELECT c FROM dropped) AND d BETWEEN 2 AND 10 "
+    "UNION ALL SELECT 'scaling', c, 'Standard Scaling' FROM vars "
+    "UNION ALL SELECT 'selection', c, 'Removed (Variance <= 0.0)' FROM card "
+    "WHERE c NOT IN (SELECT c FROM dropped) AND (d < 2 OR d > 10) "
+    "UNION ALL SELECT 'selection', c, 'Removed (Variance <= 0.0)' FROM vars WHERE v = 0 "
+    "UNION ALL SELECT 'selection', c, 'Removed (Correlation > 0.9)' FROM corr_drop")
+MODEL_ORACLE["dataset_report"] = _RUN + (
+    "SELECT 'rows' AS item, '' AS col_name, CAST(count(*) AS BIGINT) AS value FROM labelled_docs "
+    "UNION ALL SELECT 'columns', '', CAST(8 AS BIGINT) "
+    "UNION ALL SELECT 'missing_values_total', '', CAST(8 * count(*) - (" + " + ".join(
+        f"count({c})" for c in ["doc_id", "lang", "source", "n_chars", "n_words", "distinct_ratio", "n_lines",
+                                 "quality"]) + ") AS BIGINT) FROM labelled_docs "
+    "UNION ALL SELECT 'duplicate_rows_removed', '', CAST(count(*) - (SELECT count(*) FROM "
+    "(SELECT DISTINCT * FROM labelled_docs)) AS BIGINT) FROM labelled_docs "
+    "UNION ALL SELECT 'dropped_column', c, CAST(1 AS BIGINT) FROM dropped "
+    "UNION ALL SELECT 'selected_feature', c, CAST(1 AS BIGINT) FROM selected")

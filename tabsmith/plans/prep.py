@@ -87,8 +87,9 @@ class PrepModel:
 
     def statement(self, with_label: bool = True, passthrough: list[str] = ()) -> str:
         """SQLTransformer statement: renames, fills, encodes, scales, selects."""
+        # scoring frames carry no target: only the other raw columns are read
         rename = ", ".join(f"{ident(old)} AS {ident(new)}" for old, new in self.name_map.items()
-                           if old in self.raw_columns)
+                           if old in self.raw_columns and (with_label or new != self.target))
         cols = [f"{ident(k)}" for k in list(self.keys) + list(passthrough)]
         if with_label:
             cols.append(f"{self.label_sql()} AS `label`")
@@ -164,8 +165,10 @@ def clean_and_split(df: DataFrame, cfg: PrepConfig) -> Cleaned:
     if not keys:
         dedup = dedup.withColumn(ROW_KEY, row_hash(dedup))
         keys = [ROW_KEY]
-    cleaned = materialize(dedup.where(~C.all_null_condition(cols))
-                          .where(q(target).isNotNull()), cfg.checkpoint)
+    # one cached copy of the deduplicated rows serves the counts, the filters
+    # and the split; it is released once the split frame is cached
+    dedup = materialize(dedup, cfg.checkpoint)
+    cleaned = dedup.where(~C.all_null_condition(cols)).where(q(target).isNotNull())
     cnt = dedup.agg(F.count(F.lit(1)).alias("n"),
                     F.count_if(C.all_null_condition(cols)).alias("empty"),
                     F.count_if(q(target).isNull() & ~C.all_null_condition(cols)).alias("nt")).collect()[0]
@@ -179,6 +182,8 @@ def clean_and_split(df: DataFrame, cfg: PrepConfig) -> Cleaned:
                                      stratify=problem == "classification", test_size=cfg.test_size,
                                      seed=cfg.seed, class_counts=class_counts)
     split = materialize(split, False)
+    split.count()               # fills the split cache, so the first copy can go
+    dedup.unpersist()
     return Cleaned(split, int(raw["__n"]), len(cols), raw_missing, int(raw["__n"]) - int(cnt["n"]),
                    int(cnt["empty"]), int(cnt["nt"]), name_map, keys, warnings, class_counts, problem)
 
