@@ -52,3 +52,17 @@ def r6(c: Column | str) -> Column:
 
 def safe_div(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
+
+
+# cells (rows x columns) per partition of a training frame: about 32 MB of doubles
+CELLS_PER_PARTITION = 4_000_000
+
+
+def right_size(df: DataFrame, rows: int, width: int) -> DataFrame:
+    """Fewer partitions for small training frames (iterative fits pay a task
+    per partition per step); never more partitions than there are, so large
+    inputs keep their partitioning. ``coalesce`` is narrow: no shuffle."""
+    import math
+    want = max(1, math.ceil(rows * max(1, width) / CELLS_PER_PARTITION))
+    have = df.rdd.getNumPartitions()
+    return df.coalesce(want) if want < have else df

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tabsmith.functions.expr import hash_unit
+from tabsmith.functions.expr import hash_unit, right_size
 from tabsmith.operators import knn as KNN
 
 SEED = 42
@@ -97,21 +97,30 @@ def _gamma_scale(train: DataFrame, d: int) -> float:
 def _svm_spec(num_classes: int, d: int, max_iter: int) -> Spec:
     def fit(train: DataFrame):
         rff = _rff_transform(d, _gamma_scale(train, d))
-        z = rff(train).cache()
+        n0 = train.count()
+        z = right_size(rff(train), n0, RFF_COMPONENTS + 2).cache()
         if num_classes > 2:
             return ("ovr", rff, OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=1.0 / max(1, z.count()))).fit(z))
         fold = F.floor(hash_unit("row_key", seed=SEED + 1) * PLATT_FOLDS)
         z = z.withColumn("__fold", fold)
         n = z.count()
-        margins = None
-        for k in range(PLATT_FOLDS):
-            m = LinearSVC(maxIter=max_iter, regParam=1.0 / max(1, n)).fit(z.where(F.col("__fold") != k))
-            part = m.transform(z.where(F.col("__fold") == k)).select(
+        svc = LinearSVC(maxIter=max_iter, regParam=1.0 / max(1, n))
+
+        def fold_margins(k):
+            m = svc.copy().fit(z.where(F.col("__fold") != k))
+            return m.transform(z.where(F.col("__fold") == k)).select(
                 "label", vector_to_array("rawPrediction")[1].alias("margin"))
-            margins = part if margins is None else margins.unionByName(part)
+        # the out-of-fold fits and the final fit are independent: run them together
+        from concurrent.futures import ThreadPoolExecutor
+        with ThreadPoolExecutor(max_workers=PLATT_FOLDS + 1) as pool:
+            final_f = pool.submit(lambda: svc.copy().fit(z))
+            parts = list(pool.map(fold_margins, range(PLATT_FOLDS)))
+            final = final_f.result()
+        margins = parts[0]
+        for part in parts[1:]:
+            margins = margins.unionByName(part)
         platt = LogisticRegression(maxIter=100, regParam=0.0).fit(
             margins.select("label", array_to_vector(F.array("margin")).alias("features")))
-        final = LinearSVC(maxIter=max_iter, regParam=1.0 / max(1, n)).fit(z)
         return ("platt", rff, final, platt)
 
     def predict(fitted, test: DataFrame) -> DataFrame:
@@ -212,19 +221,33 @@ def regressors(n_train: int, d: int, profile: str = "reference") -> list[Spec]:
 
 
 def train_all(specs: list[Spec], train: DataFrame, test: DataFrame, only: list[str] | None = None,
-              progress: Callable[[int, int, str], None] | None = None):
-    """Fit each model in order on one cached training frame and
-    predict the test rows. Returns (fitted by name, long predictions
-    ``(row_key, model, label, prediction, score)``)."""
-    fitted, preds = {}, None
+              progress: Callable[[int, int, str], None] | None = None, parallelism: int = 3):
+    """Fit each model on one cached training frame and predict the
+    test rows. Up to ``parallelism`` models are fitted at once from driver
+    threads (their Spark jobs share the cluster, as ``CrossValidator`` does);
+    each model's predictions are cached as soon as they exist. Returns
+    (fitted by name, long predictions ``(row_key, model, label, prediction,
+    score)``)."""
+    from concurrent.futures import ThreadPoolExecutor
+    from pyspark import StorageLevel
     chosen = [s for s in specs if only is None or s.name in only]
     labels = test.select("row_key", "label")
-    for i, spec in enumerate(chosen):
+
+    def one(i_spec):
+        i, spec = i_spec
         if progress:
             progress(i, len(chosen), spec.name)
         m = spec.fit(train)
-        fitted[spec.name] = m
         p = spec.predict(m, test).join(labels, "row_key").select(
             "row_key", F.lit(spec.name).alias("model"), "label", "prediction", "score")
+        p = p.persist(StorageLevel.MEMORY_AND_DISK)
+        p.count()
+        return spec.name, m, p
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(chosen)))) as pool:
+        done = list(pool.map(one, enumerate(chosen)))
+    fitted, preds = {}, None
+    for name, m, p in done:              # registry order
+        fitted[name] = m
         preds = p if preds is None else preds.unionByName(p)
     return fitted, preds

@@ -67,9 +67,11 @@ def kth_smallest_hash(df: DataFrame, group: str, hcol: str, k_by_group: dict) ->
         pref = spark.createDataFrame([(g, p) for g, (p, _) in state.items()],
                                      f"__g {gtype}, __p string")
         plen = len(next(iter(state.values()))[0])
+        # at most ~1M bucket counts per level reach the driver
+        step = PREFIX_STEP if len(state) <= 256 else (2 if len(state) <= 4096 else 1)
         cand = (df.join(F.broadcast(pref), df[group].eqNullSafe(pref["__g"]))
                 .where(F.substring(hcol, 1, plen) == F.col("__p")))
-        counts = (cand.groupBy("__g", F.substring(hcol, 1, plen + PREFIX_STEP).alias("b"))
+        counts = (cand.groupBy("__g", F.substring(hcol, 1, plen + step).alias("b"))
                   .count().collect())
         by_group: dict = {}
         for r in counts:

@@ -18,6 +18,7 @@ from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabsmith.functions.expr import right_size
 from tabsmith.operators import compare as L
 from tabsmith.operators import evaluate as V
 from tabsmith.operators import models as K
@@ -137,7 +138,8 @@ def prepare_data(df: DataFrame, target: str, keys: list[str] | None = None, fit_
     key = model.keys[0]
     body = assemble(prepared.withColumnRenamed(key, "row_key"), model.selected) \
         .select("row_key", "__part", "label", "features")
-    body = body.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = cl.frame.count()          # cached: no scan
+    body = right_size(body, rows, len(model.selected) + 2).persist(StorageLevel.MEMORY_AND_DISK)
     train = body.where(F.col("__part") == "train").drop("__part")
     test = body.where(F.col("__part") == "test").drop("__part")
     n_train = train.count()

@@ -159,6 +159,11 @@ def q_drop_id_columns(spark, sf):
 def q_drop_high_cardinality(spark, sf):
     df, prof, dropped, *_ = _state(spark, sf)
     gone = {c for c, a in dropped if not a.startswith("Removed (Unique")}
+    # the report shows exact counts: fetch them for wide columns in one aggregate
+    from tabsmith.plans.profile import exact_distinct
+    wide = [c for c in prof.categorical() if prof.columns[c].distinct is None and c not in gone]
+    for c, d in exact_distinct(df, wide).items():
+        prof.columns[c].distinct = d
     rows = []
     for c in prof.categorical():
         if c in gone or c == "target":

@@ -148,8 +148,9 @@ class Cleaned:
 
 
 def clean_and_split(df: DataFrame, cfg: PrepConfig) -> Cleaned:
-    """C1-C3, T2 and D1-D3. Scans: raw counts, dedup counts, class counts,
-    radix levels of the split."""
+    """C1-C3, T2 and D1-D3. One scan of the raw input (the dedup shuffle);
+    then small aggregates over the cached distinct rows: counts, problem
+    type, class counts, two or three radix levels of the split."""
     name_map = {c: C.clean_name(c) for c in df.columns}
     C.clean_column_names(df)  # raises on collisions
     target = C.clean_name(cfg.target)
@@ -157,21 +158,26 @@ def clean_and_split(df: DataFrame, cfg: PrepConfig) -> Cleaned:
     if target not in d0.columns:
         raise E.TargetMissing(f"Target column '{cfg.target}' was not found.")
     cols = d0.columns
-    raw = d0.agg(F.count(F.lit(1)).alias("__n"),
-                 *[F.count_if(q(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)]).collect()[0]
-    raw_missing = {c: int(raw[f"m{i}"]) for i, c in enumerate(cols)}
-    dedup = C.remove_duplicate_rows(d0)
+    # C2 as a grouped count: one shuffle whose cached output (one row per
+    # distinct row, weighted by its copies) also yields the raw row and null
+    # counts, so the raw input is scanned only once
+    grouped = d0.groupBy(*[q(c) for c in cols]).agg(F.count(F.lit(1)).alias("__copies"))
     keys = [C.clean_name(k) for k in cfg.keys]
     if not keys:
-        dedup = dedup.withColumn(ROW_KEY, row_hash(dedup))
+        grouped = grouped.withColumn(ROW_KEY, row_hash(d0))
         keys = [ROW_KEY]
-    # one cached copy of the deduplicated rows serves the counts, the filters
-    # and the split; it is released once the split frame is cached
-    dedup = materialize(dedup, cfg.checkpoint)
-    cleaned = dedup.where(~C.all_null_condition(cols)).where(q(target).isNotNull())
-    cnt = dedup.agg(F.count(F.lit(1)).alias("n"),
-                    F.count_if(C.all_null_condition(cols)).alias("empty"),
-                    F.count_if(q(target).isNull() & ~C.all_null_condition(cols)).alias("nt")).collect()[0]
+    grouped = materialize(grouped, cfg.checkpoint)
+    allnull = C.all_null_condition(cols)
+    copies = F.col("__copies")
+    cnt = grouped.agg(F.coalesce(F.sum(copies), F.lit(0)).alias("raw"), F.count(F.lit(1)).alias("n"),
+                      F.count_if(allnull).alias("empty"),
+                      F.count_if(q(target).isNull() & ~allnull).alias("nt"),
+                      *[F.coalesce(F.sum(F.when(q(c).isNull(), copies)), F.lit(0)).alias(f"m{i}")
+                        for i, c in enumerate(cols)]).collect()[0]
+    raw = {"__n": int(cnt["raw"])}
+    raw_missing = {c: int(cnt[f"m{i}"]) for i, c in enumerate(cols)}
+    dedup = grouped.drop("__copies")
+    cleaned = dedup.where(~allnull).where(q(target).isNotNull())
     problem = cfg.problem_type or E.infer_problem_type(cleaned, target)
     class_counts = None
     if problem == "classification":
@@ -183,7 +189,7 @@ def clean_and_split(df: DataFrame, cfg: PrepConfig) -> Cleaned:
                                      seed=cfg.seed, class_counts=class_counts)
     split = materialize(split, False)
     split.count()               # fills the split cache, so the first copy can go
-    dedup.unpersist()
+    grouped.unpersist()
     return Cleaned(split, int(raw["__n"]), len(cols), raw_missing, int(raw["__n"]) - int(cnt["n"]),
                    int(cnt["empty"]), int(cnt["nt"]), name_map, keys, warnings, class_counts, problem)
 

@@ -23,12 +23,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BinaryType, BooleanType, DataType, MapType,
                                NumericType, StructType)
 
-# above this many rows exact quartiles (a value->count map per column, merged
-# in one task) are replaced by percentile_approx; the report says which.
-EXACT_QUANTILE_ROW_LIMIT = 5_000_000
+# exact quartiles keep a value->count map per column, merged in the one final
+# task of a global aggregate; above this many (rows x numeric columns) cells
+# percentile_approx is used instead and the profile says so.
+EXACT_QUANTILE_CELL_LIMIT = 20_000_000
 # categorical columns with more (approximate) levels than this are not
-# collected as value counts; their decisions use exact distinct counts only.
-LEVEL_COLLECT_LIMIT = 100_000
+# collected as value counts (they are never encoded: more than 10 levels);
+# their distinct counts are approximate, made exact near the 0.15 line, and
+# their modes come from a grouped top-1. The driver receives at most this
+# many rows per column.
+LEVEL_COLLECT_LIMIT = 1_000
 APPROX_ACCURACY = 100_000
 
 
@@ -103,13 +107,14 @@ def _kind(dt: DataType) -> str:
 
 
 def profile_table(df: DataFrame, rows: int | None = None, quantiles: bool = True,
-                  value_counts: bool = True, exact_quantile_limit: int = EXACT_QUANTILE_ROW_LIMIT,
+                  value_counts: bool = True, exact_quantile_limit: int = EXACT_QUANTILE_CELL_LIMIT,
                   level_limit: int = LEVEL_COLLECT_LIMIT) -> TableProfile:
     """Scan (a) and (b) described in the module docstring."""
     fields = df.schema.fields
     if rows is None:
         rows = df.count()
-    exact = rows <= exact_quantile_limit
+    n_numeric = sum(1 for f in fields if _kind(f.dataType) == "numeric")
+    exact = rows * max(1, n_numeric) <= exact_quantile_limit
     prof = TableProfile(rows=rows, quantile_method="exact" if exact else "approx",
                         order=[f.name for f in fields])
 

@@ -62,12 +62,19 @@ def sample_exact_n(df: DataFrame, key_cols: list[str], n: int = REFERENCE_ROW_CA
                    seed: int = REFERENCE_SAMPLE_SEED) -> DataFrame:
     """S4, exact size: the n rows with the smallest ``md5(seed|key)``.
 
-    Planned as a bounded top-n (each task keeps n rows, one merge of
-    n x tasks rows), so the cost does not grow beyond n per task.
-    Tables with at most n rows are returned whole.
-    """
-    h = hash_hex(*key_cols, seed=seed)
-    return (df.withColumn("__h", h).orderBy("__h", *key_cols).limit(n).drop("__h"))
+    Tables with at most n rows are returned whole. Otherwise the n-th
+    smallest hash is found by the split's radix search (a filter and a small
+    grouped count per level, never a global sort or a top-n merge in one
+    task), and the sample is a narrow filter ``hash <= threshold``. Keys
+    must be unique. ``df`` should be cached or cheap to rescan (two or three
+    scans)."""
+    from tabsmith.operators.split import kth_smallest_hash
+    total = df.count()
+    if total <= n:
+        return df
+    work = df.withColumn("__h", hash_hex(*key_cols, seed=seed)).withColumn("__grp", F.lit(0))
+    thr = kth_smallest_hash(work, "__grp", "__h", {0: n})[0]
+    return work.where(F.col("__h") <= F.lit(thr)).drop("__h", "__grp")
 
 
 def sample_fraction(df: DataFrame, key_cols: list[str], percent: int,

@@ -30,3 +30,17 @@ def test_random_settings_repeatable():
     assert len(G.random_settings(g)) == 5
     with pytest.raises(ValueError):
         G.tune_model(None, g, None, "classification", "bayes")
+
+
+def test_sample_exact_n_is_the_n_smallest_hashes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from tabsmith.functions.expr import hash_hex
+    from tabsmith.operators import split as D
+    monkeypatch.setattr(D, "FINAL_BUCKET_ROWS", 20)   # force several radix levels
+    df = spark.range(5000).withColumnRenamed("id", "k").cache()
+    got = {r["k"] for r in S.sample_exact_n(df, ["k"], 777).collect()}
+    want = {r["k"] for r in df.orderBy(hash_hex("k", seed=42)).limit(777).collect()}
+    assert got == want
+    assert S.sample_exact_n(df, ["k"], 10_000).count() == 5000
+    frac = S.sample_fraction(df, ["k"], 20).count()
+    assert 800 < frac < 1200
