@@ -101,9 +101,9 @@ def describe_numeric(df: DataFrame, exact: bool = True) -> DataFrame:
 def describe_categorical(df: DataFrame) -> DataFrame:
     """A8, categorical part: count, unique, top (smallest on ties), freq.
 
-    Value counts of all categorical columns in one shuffle; the top value is
-    found by joining the per-column maximum back (a tiny table), not by
-    collecting a column's levels into one task."""
+    Value counts of all categorical columns in one shuffle, then one
+    aggregate per column; the top value is ``min_by(value, (-count, value))``,
+    so no column's levels are ever gathered in one place."""
     cats = categorical_columns(df)
     spark = df.sparkSession
     if not cats:
@@ -115,13 +115,12 @@ def describe_categorical(df: DataFrame) -> DataFrame:
           .select(F.element_at(names, F.substring("col", 2, 10).cast("int") + 1).alias("column"),
                   "value", "count"))
     nn = vc.where(F.col("value").isNotNull())
-    per_col = nn.groupBy("column").agg(F.sum("count").cast("bigint").alias("count"),
-                                       F.count(F.lit(1)).cast("bigint").alias("unique"),
-                                       F.max("count").cast("bigint").alias("freq"))
-    top = (nn.join(F.broadcast(per_col.select("column", "freq")), "column")
-           .where(F.col("count") == F.col("freq"))
-           .groupBy("column").agg(F.min("value").alias("top")))
+    # top = most frequent value, smallest on ties: the minimum of (-count, value)
+    per_col = nn.groupBy("column").agg(
+        F.sum("count").cast("bigint").alias("count"), F.count(F.lit(1)).cast("bigint").alias("unique"),
+        F.max("count").cast("bigint").alias("freq"),
+        F.min_by("value", F.struct((-F.col("count")).alias("c"), F.col("value").alias("v"))).alias("top"))
     all_cols = spark.createDataFrame([(c,) for c in cats], "column string")
-    return (all_cols.join(per_col, "column", "left").join(top, "column", "left")
+    return (all_cols.join(F.broadcast(per_col), "column", "left")
             .select("column", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"),
                     F.coalesce("unique", F.lit(0)).cast("bigint").alias("unique"), "top", "freq"))

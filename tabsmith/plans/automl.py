@@ -130,7 +130,7 @@ class Prepared:
 
 
 def prepare_data(df: DataFrame, target: str, keys: list[str] | None = None, fit_on: str = "train",
-                 problem_type: str | None = None, checkpoint: bool = False) -> Prepared:
+                 problem_type: str | None = None, checkpoint: bool | None = None) -> Prepared:
     """Everything before training: cleaning, split, plan, compiled features."""
     cfg = PrepConfig(target=target, keys=list(keys or []), fit_on=fit_on, problem_type=problem_type,
                      checkpoint=checkpoint)
@@ -170,7 +170,7 @@ def train_and_rank(p: Prepared, profile: str = "reference", only: list[str] | No
 
 def fit(df: DataFrame, target: str, keys: list[str] | None = None, profile: str = "reference",
         only: list[str] | None = None, fit_on: str = "train", problem_type: str | None = None,
-        checkpoint: bool = False) -> RunResult:
+        checkpoint: bool | None = None) -> RunResult:
     """Q5: the whole dataflow. ``only`` restricts the model registry."""
     return train_and_rank(prepare_data(df, target, keys, fit_on, problem_type, checkpoint), profile, only)
 

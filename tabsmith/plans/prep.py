@@ -39,7 +39,9 @@ class PrepConfig:
     seed: int = DEFAULT_SEED
     fit_on: str = "train"            # "train" (no leakage) or "all" (reference order)
     problem_type: str | None = None  # None: inferred (T2)
-    checkpoint: bool = False         # cut lineage of the cleaned frame in the reliable dir
+    # cut lineage of the deduplicated frame in the reliable checkpoint folder;
+    # None: yes on a cluster, no in local mode
+    checkpoint: bool | None = None
 
 
 @dataclass
@@ -166,7 +168,10 @@ def clean_and_split(df: DataFrame, cfg: PrepConfig) -> Cleaned:
     if not keys:
         grouped = grouped.withColumn(ROW_KEY, row_hash(d0))
         keys = [ROW_KEY]
-    grouped = materialize(grouped, cfg.checkpoint)
+    use_ckpt = cfg.checkpoint
+    if use_ckpt is None:
+        use_ckpt = not df.sparkSession.sparkContext.master.startswith("local")
+    grouped = materialize(grouped, use_ckpt)
     allnull = C.all_null_condition(cols)
     copies = F.col("__copies")
     cnt = grouped.agg(F.coalesce(F.sum(copies), F.lit(0)).alias("raw"), F.count(F.lit(1)).alias("n"),
