@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BinaryType, BooleanType, DataType, MapType,
                                NumericType, StructType)
 
-# exact quartiles keep a value->count map per column, merged in the one final
+# ``percentile`` keeps a value->count map per column, merged in the one final
 # task of a global aggregate; above this many (rows x numeric columns) cells
-# percentile_approx is used instead and the profile says so.
+# the quartiles come from the range-narrowing search of operators.quantile
+# instead (still exact, a few more scans, no single-task merge).
 EXACT_QUANTILE_CELL_LIMIT = 20_000_000
 # categorical columns with more (approximate) levels than this are not
 # collected as value counts (they are never encoded: more than 10 levels);
@@ -115,7 +116,7 @@ def profile_table(df: DataFrame, rows: int | None = None, quantiles: bool = True
         rows = df.count()
     n_numeric = sum(1 for f in fields if _kind(f.dataType) == "numeric")
     exact = rows * max(1, n_numeric) <= exact_quantile_limit
-    prof = TableProfile(rows=rows, quantile_method="exact" if exact else "approx",
+    prof = TableProfile(rows=rows, quantile_method="exact" if exact else "exact-distributed",
                         order=[f.name for f in fields])
 
     aggs = []
@@ -128,23 +129,23 @@ def profile_table(df: DataFrame, rows: int | None = None, quantiles: bool = True
             d = c.cast("double")
             aggs += [F.min(d).alias(f"mn{i}"), F.max(d).alias(f"mx{i}"), F.avg(d).alias(f"av{i}"),
                      F.stddev_samp(d).alias(f"sd{i}"), F.var_pop(d).alias(f"vp{i}")]
-            if quantiles:
-                probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-                aggs.append((F.percentile(d, probs) if exact
-                             else F.percentile_approx(d, probs, APPROX_ACCURACY)).alias(f"qs{i}"))
+            if quantiles and exact:
+                aggs.append(F.percentile(d, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"qs{i}"))
         elif kind == "categorical":
             aggs.append(F.approx_count_distinct(c, 0.02).alias(f"ad{i}"))
     row = df.agg(*aggs).collect()[0] if aggs else None
 
     small_cats = []
+    numeric_names = []
     for i, f in enumerate(fields):
         st = prof.columns[f.name]
         st.non_null = int(row[f"nn{i}"])
         st.nulls = rows - st.non_null
         if st.kind == "numeric":
+            numeric_names.append(f.name)
             st.min, st.max, st.mean = row[f"mn{i}"], row[f"mx{i}"], row[f"av{i}"]
             st.std, st.var_pop = row[f"sd{i}"], row[f"vp{i}"]
-            if quantiles and row[f"qs{i}"] is not None:
+            if quantiles and exact and row[f"qs{i}"] is not None:
                 st.q1, st.median, st.q3 = [float(v) for v in row[f"qs{i}"]]
         elif st.kind == "categorical":
             st.approx_distinct = int(row[f"ad{i}"])
@@ -153,6 +154,16 @@ def profile_table(df: DataFrame, rows: int | None = None, quantiles: bool = True
             elif st.approx_distinct <= level_limit:
                 small_cats.append(f.name)
 
+    if quantiles and not exact and numeric_names:
+        # too big for one-task exact merges: exact quartiles by range narrowing
+        from tabsmith.operators.quantile import exact_quantiles
+        qs = exact_quantiles(df, numeric_names, [0.25, 0.5, 0.75],
+                             {c: (prof.columns[c].non_null, prof.columns[c].min, prof.columns[c].max)
+                              for c in numeric_names})
+        for c, v in qs.items():
+            if v[0] is not None:
+                prof.columns[c].q1, prof.columns[c].median, prof.columns[c].q3 = v
+
     if value_counts and small_cats:
         for name, counts in value_counts_of(df, small_cats).items():
             st = prof.columns[name]
