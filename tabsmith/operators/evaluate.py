@@ -25,16 +25,19 @@ def confusion_counts(pred: DataFrame) -> DataFrame:
 
 
 def class_table(pred: DataFrame) -> DataFrame:
-    """Per (model, class): support, predicted, tp over the sorted union of
-    true and predicted classes."""
+    """Per (model, class): support, predicted, tp over the union of true and
+    predicted classes. Each confusion cell emits a 'true class' and a
+    'predicted class' row, so one ``groupBy`` gives all three counts: one
+    pass over the confusion counts, no joins."""
     cc = confusion_counts(pred)
-    sup = cc.groupBy("model", F.col("label").alias("cls")).agg(F.sum("n").alias("support"))
-    prd = cc.groupBy("model", F.col("prediction").alias("cls")).agg(F.sum("n").alias("predicted"))
-    tp = cc.where(F.col("label") == F.col("prediction")).groupBy("model", F.col("label").alias("cls")) \
-        .agg(F.sum("n").alias("tp"))
-    t = sup.join(prd, ["model", "cls"], "full").join(tp, ["model", "cls"], "left")
-    t = t.select("model", "cls", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-                                   for c in ("support", "predicted", "tp")])
+    zero = F.lit(0).cast("bigint")
+    both = cc.select("model", F.inline(F.array(
+        F.struct(F.col("label").alias("cls"), F.col("n").alias("support"), zero.alias("predicted"),
+                 F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(zero).alias("tp")),
+        F.struct(F.col("prediction").alias("cls"), zero.alias("support"), F.col("n").alias("predicted"),
+                 zero.alias("tp")))))
+    t = both.groupBy("model", "cls").agg(*[F.sum(c).cast("bigint").alias(c)
+                                           for c in ("support", "predicted", "tp")])
     p = F.coalesce(F.try_divide(F.col("tp"), F.col("predicted")), F.lit(0.0))
     r = F.coalesce(F.try_divide(F.col("tp"), F.col("support")), F.lit(0.0))
     t = t.withColumn("precision", p.cast("double")).withColumn("recall", r.cast("double"))

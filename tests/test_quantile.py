@@ -36,3 +36,15 @@ def test_profile_uses_distributed_quartiles_above_limit(spark):
     for c in ["a", "b"]:
         s, b = small.columns[c], big.columns[c]
         assert (s.q1, s.median, s.q3) == pytest.approx((b.q1, b.median, b.q3), rel=1e-12)
+
+
+def test_describe_numeric_large_path_equals_small(spark, monkeypatch):
+    from tabsmith.operators import profile as A
+    from tabsmith.plans import profile as P
+    df = spark.createDataFrame([(float(i % 13), i) for i in range(500)], "a double, b long")
+    small = {r["column"]: r for r in A.describe_numeric(df).collect()}
+    monkeypatch.setattr(P, "EXACT_QUANTILE_CELL_LIMIT", 10)
+    big = {r["column"]: r for r in A.describe_numeric(df).collect()}
+    for c in ["a", "b"]:
+        for k in ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]:
+            assert small[c][k] == pytest.approx(big[c][k], rel=1e-12)
