@@ -61,83 +61,104 @@ def roc_auc(pred: DataFrame, buckets: int | None = None) -> DataFrame:
     """V5: exact ROC-AUC (ties count half) per model with scores on exactly
     two classes {0, 1}; other models get null.
 
-    Rows collapse to ``(model, score, pos, neg)``; the rank sum needs the
-    negatives below each score. Distinct scores are split into ranges by
-    approximate quantiles, so each window task sorts one range and a short
-    window over range totals supplies the offsets."""
-    allcol = pred.groupBy("model", "score").agg(
+    One small pre-job reads, per model, an approximate distinct count of the
+    scores and quantile bounds. The main query is a single chain over one
+    scan of the predictions: collapse to ``(model, score, pos, neg)``, cut
+    the distinct scores into ranges by the bounds (a broadcast of a few
+    thousand numbers per model), a window per (model, range) for the
+    negatives below each score, per-range totals, and a short window over
+    ranges for the negatives of all earlier ranges:
+    AUC = (sum_rows pos * (below_in_range + neg / 2) + sum_ranges off * pos_range) / (P * N)."""
+    spark = pred.sparkSession
+    probs = [i / AUC_MAX_BUCKETS for i in range(1, AUC_MAX_BUCKETS)]
+    pre = pred.groupBy("model").agg(F.approx_count_distinct("score", 0.05).alias("nd"),
+                                    F.percentile_approx("score", probs, 10_000).alias("bounds")).collect()
+    rows = []
+    for r in pre:
+        b = buckets if buckets is not None else int(min(AUC_MAX_BUCKETS, max(1, r["nd"] // AUC_ROWS_PER_BUCKET)))
+        bounds = [] if (b <= 1 or r["bounds"] is None) else \
+            sorted(set(r["bounds"][int(len(r["bounds"]) * i / b)] for i in range(1, b)))
+        rows.append((r["model"], bounds))
+    models = spark.createDataFrame(rows, "model string, bounds array<double>")
+
+    col = pred.where(F.col("score").isNotNull()).groupBy("model", "score").agg(
         F.sum((F.col("label") == 1).cast("bigint")).alias("pos"),
         F.sum((F.col("label") == 0).cast("bigint")).alias("neg"),
         F.sum(((F.col("label") != 0) & (F.col("label") != 1)).cast("bigint")).alias("other"))
-    # models without scores keep a (model, null) row here, so the model list
-    # below needs no second scan of the predictions
-    col = allcol.where(F.col("score").isNotNull())
-    if buckets is None:
-        n_distinct = col.count()
-        buckets = int(min(AUC_MAX_BUCKETS, max(1, n_distinct // AUC_ROWS_PER_BUCKET)))
-    if buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        bounds = col.groupBy("model").agg(F.percentile_approx("score", probs, 10_000).alias("bounds"))
-        col = col.join(F.broadcast(bounds), "model") \
-            .withColumn("b", F.size(F.filter("bounds", lambda x: x < F.col("score")))).drop("bounds")
-    else:
-        col = col.withColumn("b", F.lit(0))
-    tot = col.groupBy("model", "b").agg(F.sum("neg").alias("bneg"))
-    wb = Window.partitionBy("model").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.withColumn("off", F.coalesce(F.sum("bneg").over(wb), F.lit(0)))
+    col = col.join(F.broadcast(models), "model").withColumn(
+        "b", F.size(F.filter("bounds", lambda x: x < F.col("score")))).drop("bounds")
     w = Window.partitionBy("model", "b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = col.join(tot, ["model", "b"]).withColumn(
-        "below", F.col("off") + F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    agg = ranked.groupBy("model").agg(
-        F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg"))).alias("num"),
-        F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.sum("other").alias("O"))
+    per_range = (col.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+                 .groupBy("model", "b").agg(
+                     F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg"))).alias("inner"),
+                     F.sum("pos").alias("pb"), F.sum("neg").alias("nb"), F.sum("other").alias("ob")))
+    wb = Window.partitionBy("model").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    per_range = per_range.withColumn("off", F.coalesce(F.sum("nb").over(wb), F.lit(0)))
+    agg = per_range.groupBy("model").agg(
+        (F.sum("inner") + F.sum(F.col("off") * F.col("pb"))).alias("num"),
+        F.sum("pb").alias("P"), F.sum("nb").alias("N"), F.sum("ob").alias("O"))
     auc = F.when((F.col("O") == 0) & (F.col("P") > 0) & (F.col("N") > 0),
                  F.col("num") / (F.col("P") * F.col("N")))
-    models = allcol.select("model").distinct()
-    return models.join(agg.select("model", auc.cast("double").alias("roc_auc")), "model", "left")
+    return models.select("model").join(agg.select("model", auc.cast("double").alias("roc_auc")),
+                                       "model", "left")
+
+
+def _model_cells(pred: DataFrame) -> DataFrame:
+    """One row per model: its confusion cells (at most classes^2 of them)."""
+    return confusion_counts(pred).groupBy("model").agg(
+        F.collect_list(F.struct("label", "prediction", "n")).alias("cells"))
+
+
+def _grid(cells_col):
+    """Sorted union of classes, and every (true, predicted) pair with its count."""
+    classes = F.array_sort(F.array_distinct(F.concat(F.transform(cells_col, lambda c: c["label"]),
+                                                     F.transform(cells_col, lambda c: c["prediction"]))))
+    return F.transform(classes, lambda t: F.transform(classes, lambda p: F.struct(
+        t.alias("label"), p.alias("prediction"),
+        F.aggregate(F.filter(cells_col, lambda c: (c["label"] == t) & (c["prediction"] == p)),
+                    F.lit(0).cast("bigint"), lambda acc, c: acc + c["n"]).alias("count"))))
 
 
 def confusion_matrix(pred: DataFrame) -> DataFrame:
-    """V6: every (true, predicted) cell over the sorted union of classes, zeros kept."""
-    cc = confusion_counts(pred)
-    classes = (cc.select("model", F.explode(F.array("label", "prediction")).alias("c"))
-               .groupBy("model").agg(F.array_sort(F.collect_set("c")).alias("cs")))
-    grid = classes.select("model", F.explode("cs").alias("label"), "cs") \
-        .select("model", "label", F.explode("cs").alias("prediction"))
-    return grid.join(cc, ["model", "label", "prediction"], "left") \
-        .select("model", "label", "prediction", F.coalesce("n", F.lit(0)).cast("bigint").alias("count"))
+    """V6: every (true, predicted) cell over the sorted union of classes,
+    zeros kept; one pass over the predictions."""
+    g = _model_cells(pred).select("model", F.flatten(_grid(F.col("cells"))).alias("g"))
+    return g.select("model", F.inline("g"))
 
 
 def confusion_json(pred: DataFrame) -> DataFrame:
     """The matrix of each model as JSON text, rows = true classes."""
-    cm = confusion_matrix(pred)
-    rows = cm.groupBy("model", "label").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("prediction", "count"))),
-                    lambda s: s["count"]).alias("r"))
-    return rows.groupBy("model").agg(
-        F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("label", "r"))),
-                              lambda s: s["r"])).alias("matrix"))
+    g = _model_cells(pred).select("model", _grid(F.col("cells")).alias("g"))
+    return g.select("model", F.to_json(F.transform("g", lambda row: F.transform(row, lambda c: c["count"])))
+                    .alias("matrix"))
 
 
 def classification_report(pred: DataFrame) -> DataFrame:
     """V7: per class precision / recall / F1 / support, then accuracy,
-    macro and weighted averages (as in the usual text report)."""
+    macro and weighted averages (as in the usual text report). Summary
+    rows come from windows over the per-class rows of each model."""
     t = class_table(pred)
-    per = t.select("model", F.lit("class").alias("row_type"), F.col("cls").alias("class_value"),
-                   "precision", "recall", "f1", F.col("support").cast("bigint").alias("support"))
-    g = t.groupBy("model").agg(
-        F.sum("support").alias("N"), F.sum("tp").alias("TP"), F.count(F.lit(1)).alias("K"),
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        F.sum(F.col("support") * F.col("precision")).alias("wp"),
-        F.sum(F.col("support") * F.col("recall")).alias("wr"),
-        F.sum(F.col("support") * F.col("f1")).alias("wf"))
+    w = Window.partitionBy("model")
+    first = F.row_number().over(Window.partitionBy("model").orderBy("cls")) == 1
+    t = t.select("*", F.sum("support").over(w).alias("n_all"), F.sum("tp").over(w).alias("tp_all"),
+                 F.avg("precision").over(w).alias("mp"), F.avg("recall").over(w).alias("mr"),
+                 F.avg("f1").over(w).alias("mf"),
+                 F.sum(F.col("support") * F.col("precision")).over(w).alias("wp"),
+                 F.sum(F.col("support") * F.col("recall")).over(w).alias("wr"),
+                 F.sum(F.col("support") * F.col("f1")).over(w).alias("wf"), first.alias("first"))
     nulld = F.lit(None).cast("double")
-    acc = g.select("model", F.lit("accuracy"), nulld, nulld, nulld, (F.col("TP") / F.col("N")),
-                   F.col("N").cast("bigint"))
-    mac = g.select("model", F.lit("macro avg"), nulld, "mp", "mr", "mf", F.col("N").cast("bigint"))
-    wei = g.select("model", F.lit("weighted avg"), nulld, F.col("wp") / F.col("N"),
-                   F.col("wr") / F.col("N"), F.col("wf") / F.col("N"), F.col("N").cast("bigint"))
-    return per.unionAll(acc).unionAll(mac).unionAll(wei)
+    n = F.col("n_all").cast("bigint")
+
+    def row(kind, cls, p, r, f, sup):
+        return F.struct(F.lit(kind).alias("row_type"), cls.alias("class_value"), p.alias("precision"),
+                        r.alias("recall"), f.alias("f1"), sup.alias("support"))
+    own = row("class", F.col("cls"), F.col("precision"), F.col("recall"), F.col("f1"), F.col("support"))
+    summary = F.array(row("accuracy", nulld, nulld, nulld, F.col("tp_all") / F.col("n_all"), n),
+                      row("macro avg", nulld, F.col("mp"), F.col("mr"), F.col("mf"), n),
+                      row("weighted avg", nulld, F.col("wp") / F.col("n_all"), F.col("wr") / F.col("n_all"),
+                          F.col("wf") / F.col("n_all"), n))
+    rows = F.when(F.col("first"), F.concat(F.array(own), summary)).otherwise(F.array(own))
+    return t.select("model", F.inline(rows))
 
 
 def regression_metrics(pred: DataFrame) -> DataFrame:
