@@ -62,7 +62,7 @@ def roc_auc(pred: DataFrame, buckets: int | None = None) -> DataFrame:
     two classes {0, 1}; other models get null.
 
     One small pre-job reads, per model, an approximate distinct count of the
-    scores and quantile bounds. The main query is a single chain over one
+    scores (and quantile bounds where a model has more than one range). The main query is a single chain over one
     scan of the predictions: collapse to ``(model, score, pos, neg)``, cut
     the distinct scores into ranges by the bounds (a broadcast of a few
     thousand numbers per model), a window per (model, range) for the
@@ -70,16 +70,20 @@ def roc_auc(pred: DataFrame, buckets: int | None = None) -> DataFrame:
     ranges for the negatives of all earlier ranges:
     AUC = (sum_rows pos * (below_in_range + neg / 2) + sum_ranges off * pos_range) / (P * N)."""
     spark = pred.sparkSession
-    probs = [i / AUC_MAX_BUCKETS for i in range(1, AUC_MAX_BUCKETS)]
-    pre = pred.groupBy("model").agg(F.approx_count_distinct("score", 0.05).alias("nd"),
-                                    F.percentile_approx("score", probs, 10_000).alias("bounds")).collect()
-    rows = []
-    for r in pre:
-        b = buckets if buckets is not None else int(min(AUC_MAX_BUCKETS, max(1, r["nd"] // AUC_ROWS_PER_BUCKET)))
-        bounds = [] if (b <= 1 or r["bounds"] is None) else \
-            sorted(set(r["bounds"][int(len(r["bounds"]) * i / b)] for i in range(1, b)))
-        rows.append((r["model"], bounds))
-    models = spark.createDataFrame(rows, "model string, bounds array<double>")
+    pre = pred.groupBy("model").agg(F.approx_count_distinct("score", 0.05).alias("nd")).collect()
+    want = {r["model"]: (buckets if buckets is not None
+                         else int(min(AUC_MAX_BUCKETS, max(1, r["nd"] // AUC_ROWS_PER_BUCKET)))) for r in pre}
+    bounds = {m: [] for m in want}
+    wide = [m for m, b in want.items() if b > 1]
+    if wide:
+        # quantile bounds only for models with more than one range of scores
+        probs = [i / AUC_MAX_BUCKETS for i in range(1, AUC_MAX_BUCKETS)]
+        for r in (pred.where(F.col("model").isin(wide)).groupBy("model")
+                  .agg(F.percentile_approx("score", probs, 10_000).alias("q")).collect()):
+            qs, b = r["q"], want[r["model"]]
+            if qs:
+                bounds[r["model"]] = sorted(set(qs[int(len(qs) * i / b)] for i in range(1, b)))
+    models = spark.createDataFrame([(m, bounds[m]) for m in want], "model string, bounds array<double>")
 
     col = pred.where(F.col("score").isNotNull()).groupBy("model", "score").agg(
         F.sum((F.col("label") == 1).cast("bigint")).alias("pos"),
