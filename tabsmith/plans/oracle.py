@@ -406,3 +406,10 @@ ORACLE["validate_features"] = (
     "AND column_name <> 'o_orderdate')\n"
     "SELECT feature, CASE WHEN feature IN (SELECT feature FROM have) THEN 'ok' ELSE 'missing' END AS status "
     "FROM expected UNION ALL SELECT feature, 'unexpected' FROM have WHERE feature NOT IN (SELECT feature FROM expected)")
+
+_DUCK_TYPES = "CASE typeof({c}) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' " \
+              "WHEN 'VARCHAR' THEN 'string' ELSE lower(typeof({c})) END"
+ORACLE["profile_types"] = dirty(" UNION ALL ".join(
+    f"SELECT * FROM (SELECT '{c}' AS \"column\", {_DUCK_TYPES.format(c=c)} AS dtype, "
+    f"CASE WHEN typeof({c}) IN ('BIGINT', 'INTEGER', 'DOUBLE', 'FLOAT', 'SMALLINT', 'TINYINT') THEN 'numeric' "
+    f"ELSE 'categorical' END AS kind FROM dirty_orders LIMIT 1)" for c in DIRTY_COLUMNS))
