@@ -101,7 +101,9 @@ def q_describe_numeric(spark, sf):
 
 
 def q_describe_categorical(spark, sf):
-    return A.describe_categorical(_dirty(spark, sf)).withColumnRenamed("column", "col_name")
+    # freq is null for the empty column: shown as double (see q_dedup_rows)
+    return A.describe_categorical(_dirty(spark, sf)).withColumnRenamed("column", "col_name") \
+        .withColumn("freq", F.col("freq").cast("double"))
 
 
 # --------------------------------------------------------------- cleaning ---
@@ -117,7 +119,10 @@ def q_clean_names(spark, sf):
 
 
 def q_dedup_rows(spark, sf):
-    return C.remove_duplicate_rows(_dirty(spark, sf))
+    # the one all-null row keeps a null id: shown as double, so both engines
+    # hand the same (float) column to the comparison
+    d = C.remove_duplicate_rows(_dirty(spark, sf))
+    return d.withColumn("id", F.col("id").cast("double"))
 
 
 def _nonempty(spark, sf) -> DataFrame:

@@ -70,13 +70,13 @@ ORACLE["describe_numeric"] = " UNION ALL ".join(
 ORACLE["describe_categorical"] = dirty(" UNION ALL ".join(
     f"SELECT '{c}' AS col_name, CAST(count({c}) AS BIGINT) AS count, CAST(count(DISTINCT {c}) AS BIGINT) AS \"unique\", "
     f"(SELECT {c} FROM dirty_orders WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS top, "
-    f"(SELECT CAST(count(*) AS BIGINT) FROM dirty_orders WHERE {c} IS NOT NULL GROUP BY {c} "
+    f"(SELECT CAST(count(*) AS DOUBLE) FROM dirty_orders WHERE {c} IS NOT NULL GROUP BY {c} "
     f"ORDER BY count(*) DESC LIMIT 1) AS freq FROM dirty_orders" for c in DIRTY_CATEGORICAL))
 
 # --------------------------------------------------------------- cleaning ---
 ORACLE["clean_names"] = ("SELECT c_custkey AS cust_key, c_name AS customer_name, c_nationkey AS nation_key, "
                          "c_acctbal AS acct_bal, c_mktsegment AS mkt_segment FROM customer")
-ORACLE["dedup_rows"] = dirty("SELECT DISTINCT * FROM dirty_orders")
+ORACLE["dedup_rows"] = dirty("SELECT DISTINCT CAST(id AS DOUBLE) AS id, * EXCLUDE (id) FROM dirty_orders")
 ORACLE["drop_empty_rows"] = dirty("SELECT * FROM nonempty", True)
 ORACLE["drop_empty_columns"] = dirty(" UNION ALL ".join(
     f"SELECT '{c}' AS col_name, CAST(count({c}) AS BIGINT) AS non_null, "
