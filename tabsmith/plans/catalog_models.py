@@ -28,9 +28,11 @@ from tabsmith.plans.catalog import rounded
 from tabsmith.session import checkpoint_dir
 from tabsmith.sources import fixtures as X
 
-# registered keys use the benchmark profile (<=20 trees or rounds, depth <=8);
-# profile="reference" reproduces the reference sizes (100 trees or rounds)
-PROFILE = "fast"
+# registered model keys use the reference sizes (100 trees or rounds);
+# searches are capped (tune.FAST_CAPS: <=20 trees or rounds, depth <=8)
+# because the reference grids reach 300 rounds x 5 settings x 3 folds
+PROFILE = "reference"
+TUNING_CAPS = True
 
 
 @lru_cache(maxsize=4)
@@ -166,7 +168,7 @@ def _tuning(spark, sf, name, search):
 
 
 def _caps():
-    return G.FAST_CAPS if PROFILE == "fast" else None
+    return G.FAST_CAPS if TUNING_CAPS else None
 
 
 def _estimator_of(r, name):
