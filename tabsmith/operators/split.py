@@ -26,7 +26,6 @@ from tabsmith.functions.expr import DEFAULT_SEED, hash_hex
 TEST_SIZE = 0.2
 PREFIX_STEP = 3          # hex characters per level: 4,096 buckets
 FINAL_BUCKET_ROWS = 50_000
-MAX_HEX = "g"            # sorts after every hex digit
 
 
 def n_test_stratified(n: int, test_size: float = TEST_SIZE) -> int:

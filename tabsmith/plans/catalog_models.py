@@ -8,8 +8,7 @@ target; nearest neighbours also run on ``embeddings``.
 from __future__ import annotations
 
 import json
-import os
-import tempfile
+import uuid
 from functools import lru_cache
 
 from pyspark.ml.classification import NaiveBayes
@@ -231,8 +230,7 @@ def q_tune_top3(spark, sf):
 
 def _bundle(spark, sf):
     r = _run(spark, sf, "classification")
-    base = os.path.join(checkpoint_dir(spark), "bundles")
-    path = os.path.join(base, f"classification-{abs(hash(sf))}")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/bundles/classification-{uuid.uuid4().hex}"
     name = r.best_model_name
     if not hasattr(r.fitted[name], "transform"):
         name = [row["model"] for row in r.leaderboard.orderBy("rank").collect()
@@ -270,12 +268,12 @@ def q_stream_predict(spark, sf):
     (``availableNow`` trigger, checkpointed in the reliable folder)."""
     from tabsmith.streaming.score import score_stream
     r, path = _bundle(spark, sf)
-    out_dir = tempfile.mkdtemp(prefix="stream-out-", dir=checkpoint_dir(spark).replace("file:", ""))
+    # a fresh folder under the shared checkpoint dir (any file system: Spark creates it)
+    out_dir = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     src = X.labelled_docs(spark, sf).drop("quality")
-    src_dir = os.path.join(out_dir, "source")
+    src_dir = f"{out_dir}/source"
     src.write.mode("overwrite").parquet(src_dir)
-    return score_stream(spark, path, src_dir, os.path.join(out_dir, "sink"), src.schema,
-                        os.path.join(out_dir, "ckpt"), key="doc_id")
+    return score_stream(spark, path, src_dir, f"{out_dir}/sink", src.schema, f"{out_dir}/ckpt", key="doc_id")
 
 
 for _n, _f in list(globals().items()):
