@@ -44,3 +44,21 @@ def test_report_tables(spark):
     assert {"encoding", "scaling"} <= stages
     assert run.leaderboard.count() == 2
     assert run.evaluation_long().where(F.col("metric") == "Confusion Matrix").count() == 2
+
+
+def test_fit_on_all_rows_reference_order(spark):
+    docs = X.labelled_docs(spark, SF)
+    run = automl.fit(docs, "quality", keys=["doc_id"], profile="fast", only=["Naive Bayes"], fit_on="all")
+    assert run.leaderboard.count() == 1
+    # scaling was fitted on every row: the scaled features have mean 0 over all rows
+    feats = run.prep.transform(docs)
+    means = feats.agg(*[F.avg(c).alias(c) for c in run.prep.selected]).first()
+    assert all(abs(v) < 1e-9 for v in means)
+
+
+def test_regression_run(spark):
+    docs = X.labelled_docs(spark, SF).drop("quality")
+    run = automl.fit(docs, "n_chars", keys=["doc_id"], profile="fast", only=["Linear Regression", "KNN Regressor"])
+    board = {r["model"]: r for r in run.leaderboard.collect()}
+    assert run.problem_type == "regression" and set(board) == {"Linear Regression", "KNN Regressor"}
+    assert board["Linear Regression"]["r2"] > 0.5
