@@ -55,3 +55,13 @@ def test_split_fallback_on_singleton(spark):
     out, warn = D.assign_split(df, ["id"], "y")
     assert warn and warn[0].startswith("Stratified split failed")
     assert out.where(F.col("__part") == "test").count() == 10
+
+
+def test_split_many_classes_uses_smaller_prefix_step(spark):
+    # 300 classes (> 256): the radix search switches to two hex characters per level
+    rows = [(i, i % 300) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, y long").cache()
+    out, warn = D.assign_split(df, ["id"], "y")
+    assert not warn
+    per_class = {r["y"]: r["count"] for r in out.where(F.col("__part") == "test").groupBy("y").count().collect()}
+    assert len(per_class) == 300 and set(per_class.values()) == {D.n_test_stratified(10)}
