@@ -6,12 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import byte_bpe, decontaminate, html_extract, language_id, line_dedup, secrets, simhash, sketch
+from tabsmith.llm import byte_bpe, decontaminate, html_extract, language_id, line_dedup, secrets, simhash, sketch, toxicity
 from tabsmith.llm.common import held_out, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 5, 0))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), lambda doc_id: ~held_out(doc_id, 5, 0))
+    return toxicity.scored(spark, docs, model, ["doc_id", "held_out"])
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents grouped by source; lines beyond the boilerplate ratio go."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -50,6 +56,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op5_html_extract": op5_html_extract,

@@ -131,3 +131,38 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
         total = np.zeros(len(words) + 1, np.uint64)
         np.cumsum(words * WORD_POWERS.up[:len(words)], out=total[1:])
         return mixed((total[n:] - total[:-n]) * WORD_POWERS.down[:len(words) - n + 1])
+
+
+ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Hashed:
+    """Rows of values under packed keys: sorted hashes and a jump table on
+    their top bits, so a key is found in a step or two."""
+
+    def __init__(self, keys: np.ndarray, rows: np.ndarray, jump_bits: int = 20):
+        self.shift = np.uint64(64 - jump_bits)
+        with np.errstate(over="ignore"):
+            hashes = keys * ODD
+        order = np.argsort(hashes)
+        self.hashes, self.rows = np.append(hashes[order], np.uint64(0)), rows[order]
+        top = (hashes[order] >> self.shift).astype(np.int64)
+        self.jump = np.searchsorted(top, np.arange((1 << jump_bits) + 1)).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Index of each key, or -1."""
+        with np.errstate(over="ignore"):
+            h = keys * ODD
+        top = (h >> self.shift).astype(np.int64)
+        at, end = self.jump[top], self.jump[top + 1]
+        out = np.where((self.hashes[at] == h) & (at < end), at, -1)
+        left = np.flatnonzero((out < 0) & (at + 1 < end))
+        step = 1
+        while len(left):
+            spot = at[left] + step
+            same = self.hashes[spot] == h[left]
+            out[left[same]] = spot[same]
+            left = left[~same]
+            step += 1
+            left = left[at[left] + step < end[left]]
+        return out

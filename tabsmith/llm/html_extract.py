@@ -1,15 +1,16 @@
 """HTML extraction by differencing a page against its nearest page by URL.
 
-A page is cut into lines (blocks of text) with what the markup says of them:
-whether a line stands in the article, in prose markup, or in a part that is no
-content by its element or class name. Pages are put in order of host and URL
-path; a page's partner is the neighbour of the same host whose path begins
-alike for longest. Both pages' lines are aligned by a longest common
-subsequence, and the lines they share are deleted as template: all of them
-where the markup names no article; inside an article all but its prose (an
-article may quote what another one has). If the shared lines are most of a
-page, the partner is a copy, not a page of the same template, and the other
-neighbour is tried, else nothing is deleted for it.
+A page is cut into lines (all its blocks of text, menus and footers as well)
+with what the markup says of them: whether a line stands in the article, in
+prose markup, or in a part that is no content by its element or class name.
+Pages are put in order of host and URL path; a page's partner is the neighbour
+of the same host whose path begins alike for longest. Both pages' lines are
+aligned by a longest common subsequence, and the lines they share are deleted
+as template. Prose inside an article is spared, since an article may quote what
+another one has. If the shared lines are most of a page's content, the partner
+is a copy, not a page of the same template, and the other neighbour is tried.
+A check by markup follows: lines that no partner shares but that stand in a
+menu, an advert or another part that is no content go, too.
 
 Pages are dealt out by ranges of (host, path), so a hot host is many tasks; the
 first and last page of a range also go to the neighbouring ranges. A task
@@ -63,6 +64,9 @@ NO_CONTENT_NAMES = set("ad ads advert adverts advertisement advertising sponsor
 ARTICLE_NAMES = set("article post entry story content main".split())
 
 
+SPARED, OPEN, OUTSIDE = 0, 1, 2
+
+
 class Line:
     __slots__ = ("text", "place", "prose")
 
@@ -94,8 +98,8 @@ def _no_content(tag: str, attributes: str, inside: int) -> tuple[bool, bool]:
 
 
 def lines_of(html: str) -> list[Line]:
-    """The lines of a page that may be content. ``place``: 3 in an article
-    element, 2 in a main element, 1 in a part named like one, else 0."""
+    """All lines of a page. ``place``: 3 in an article element, 2 in a main
+    element, 1 in a part named like one, -1 in a part that is no content, else 0."""
     out: list[Line] = []
     text: list[str] = []
     stack: list[tuple[str, bool, int]] = []  # element, no content, place
@@ -105,14 +109,14 @@ def lines_of(html: str) -> list[Line]:
     def flush():
         nonlocal text
         joined = " ".join("".join(text).split())
-        if joined and not drop:
-            out.append(Line(joined, place, prose))
+        if joined:
+            out.append(Line(joined, -1 if drop else place, prose))
         text = []
 
     for m in MARKUP.finditer(html):
         if m.start() < at:
             continue
-        if m.start() > at and not drop:
+        if m.start() > at:
             text.append(unescape(html[at:m.start()]))
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
@@ -146,13 +150,19 @@ def lines_of(html: str) -> list[Line]:
                 stack.append((tag, bad or drop, max(place, here)))
             hard, place = stack[-1][1:] if stack else (False, 0)
             drop = hard or soft
-    if at < len(html) and not drop:
+    if at < len(html):
         rest = html[at:]
         cut = re.search(r"<[a-zA-Z/!][^>]*$", rest)  # markup that the end of the page cuts off
         text.append(unescape(rest[:cut.start()] if cut else rest))
     flush()
-    best = max((x.place for x in out), default=0)
-    return [x for x in out if x.place >= best]
+    return out
+
+
+def marks(lines: list[Line]) -> list[int]:
+    """SPARED for prose of the article, OPEN for other content, OUTSIDE for
+    what the markup places elsewhere."""
+    best = max((x.place for x in lines), default=0)
+    return [OUTSIDE if x.place < max(best, 0) else SPARED if x.place and x.prose else OPEN for x in lines]
 
 
 def url_key(url: str | None) -> tuple[str, str]:
@@ -196,28 +206,28 @@ def alike(a: str, b: str) -> tuple[int, int]:
 
 
 class Page:
-    __slots__ = ("bucket", "host", "path", "own", "page_id", "url", "lines", "free")
+    __slots__ = ("bucket", "host", "path", "own", "page_id", "url", "lines", "marks")
 
     def __init__(self, row):
-        self.bucket, key, self.own, self.page_id, self.url, texts, self.free = row
+        self.bucket, key, self.own, self.page_id, self.url, texts, marked = row
         self.host, self.path = key.split("\0")[:2]
-        self.lines = texts or []
+        self.lines, self.marks = texts or [], marked or []
 
 
 def content(page: Page, before: Page | None, after: Page | None) -> tuple[str, int]:
     """(text, shared lines deleted) of a page between its neighbours."""
     near = [p for p in (before, after) if p is not None and p.host == page.host]
     near.sort(key=lambda p: alike(page.path, p.path), reverse=True)
-    free = page.free or []
-    if any(free):
-        size = sum(len(x) for x in page.lines)
-        for partner in near:
-            shared = common_lines(page.lines, partner.lines)
-            if 2 * sum(len(page.lines[i]) for i in shared) > size:
-                continue  # a copy
-            gone = {i for i in shared if free[i]}
-            return "\n".join(x for i, x in enumerate(page.lines) if i not in gone), len(gone)
-    return "\n".join(page.lines), 0
+    inside = [i for i, m in enumerate(page.marks) if m != OUTSIDE]
+    size = sum(len(page.lines[i]) for i in inside)
+    gone: set[int] = set()
+    for partner in near:
+        shared = common_lines(page.lines, partner.lines)
+        if size and 2 * sum(len(page.lines[i]) for i in inside if i in shared) > size:
+            continue  # a copy
+        gone = {i for i in shared if page.marks[i] != SPARED}
+        break
+    return "\n".join(page.lines[i] for i in inside if i not in gone), len(gone)
 
 
 def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -267,16 +277,16 @@ def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
             for page, link, source in zip(*(c.to_pylist() for c in batch.columns)):
                 lines = lines_of(source or "")
                 key = key_of(page, link, hashlib.md5((source or "").encode()).hexdigest())
-                texts, free = [x.text for x in lines], [not (x.prose and x.place) for x in lines]
+                texts, marked = [x.text for x in lines], marks(lines)
                 home = bisect_right(bounds, key)
-                out += [(b, key, b == home, page, link, texts, free) for b in [home, *also.get(key, ())]]
+                out += [(b, key, b == home, page, link, texts, marked) for b in [home, *also.get(key, ())]]
             for i in range(0, len(out), 512):
                 part = list(zip(*out[i:i + 512]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, types)], names=[f.name for f in dealt.fields])
 
     dealt = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("key", T.StringType()), T.StructField("own", T.BooleanType()),
                           T.StructField("c0", id_type), T.StructField("c1", T.StringType()),
-                          T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("free", T.ArrayType(T.BooleanType()))])
+                          T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("marks", T.ArrayType(T.ByteType()))])
     types = [to_arrow_type(f.dataType) for f in dealt.fields]
     sorted_ = rows.mapInArrow(cut, dealt).repartition("bucket").sortWithinPartitions("bucket", "key")
 

@@ -35,18 +35,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabsmith.llm.common import Hashed
+
 ORDER = 4
 SLOTS = 1 << 20
 MAX_LANGUAGES = 256
 #: Training texts that set the rejection limits and the scale of scores, at most about.
 CALIBRATION_ROWS = 20_000
 Z = 8.0
+#: Least deviation of a language's cross-entropies, in nats: texts that mix languages are no noise.
+MIN_SPREAD = 0.2
 STEP_CHARS = 1 << 19
 UNKNOWN = "und"
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_JUMP_BITS = 20
 
 
 def plain(text: str | None) -> str:
@@ -116,36 +118,6 @@ def _counted(total):
                                              names=["lang", "gram", "n"])
 
 
-class Hashed:
-    """Rows of values under packed keys: sorted hashes and a jump table."""
-
-    def __init__(self, keys: np.ndarray, rows: np.ndarray):
-        with np.errstate(over="ignore"):
-            hashes = keys * _ODD
-        order = np.argsort(hashes)
-        self.hashes, self.rows = np.append(hashes[order], np.uint64(0)), rows[order].astype(np.float32)
-        top = (hashes[order] >> np.uint64(64 - _JUMP_BITS)).astype(np.int64)
-        self.jump = np.searchsorted(top, np.arange((1 << _JUMP_BITS) + 1)).astype(np.int32)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Index of each key, or -1."""
-        with np.errstate(over="ignore"):
-            h = keys * _ODD
-        top = (h >> np.uint64(64 - _JUMP_BITS)).astype(np.int64)
-        at, end = self.jump[top], self.jump[top + 1]
-        out = np.where((self.hashes[at] == h) & (at < end), at, -1)
-        left = np.flatnonzero((out < 0) & (at + 1 < end))
-        step = 1
-        while len(left):
-            spot = at[left] + step
-            same = self.hashes[spot] == h[left]
-            out[left[same]] = spot[same]
-            left = left[~same]
-            step += 1
-            left = left[at[left] + step < end[left]]
-        return out
-
-
 class Model:
     """Kneser-Ney models of several languages in shared tables."""
 
@@ -175,8 +147,8 @@ class Model:
                 below = np.full((len(keys), k), 2.0 ** -16)
             else:
                 below = np.exp(self._logs(keys & np.uint64((1 << 16 * (n - 1)) - 1), n - 1))
-            self.tables[n] = Hashed(keys, np.log(share + gamma[spot] * below))
-            self.back[n] = Hashed(contexts, np.log(gamma))
+            self.tables[n] = Hashed(keys, np.log(share + gamma[spot] * below).astype(np.float32))
+            self.back[n] = Hashed(contexts, np.log(gamma).astype(np.float32))
         self.mean = np.zeros(k)
         self.spread = np.full(k, np.inf)
         self.noise = np.zeros(k)
@@ -281,7 +253,7 @@ def _calibrate(model: Model, rows: DataFrame, lang: str, text: str, key: str) ->
         mine = best == k
         if mine.sum() >= 2:
             low = entropy[mine, k]
-            model.mean[k], model.spread[k] = low.mean(), max(low.std(), 0.05)
+            model.mean[k], model.spread[k] = low.mean(), max(low.std(), MIN_SPREAD)
             model.noise[k] = noise[mine].mean()
 
     def loss(scale):
