@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import byte_bpe, decontaminate, html_extract, language_id, line_dedup, secrets, simhash, sketch, toxicity
+from tabsmith.llm import brown_lm, byte_bpe, decontaminate, html_extract, language_id, line_dedup, secrets, simhash, sketch, toxicity
 from tabsmith.llm.common import held_out, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -24,6 +24,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.counted(docs).toDF("doc_id", "source", "text", "n_lines", "n_dropped")
 
 
+def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 5, 1))
+    model, rest = brown_lm.fit(docs, ~F.col("held_out"))
+    return brown_lm.scored(spark, docs, model, rest, ["doc_id", "held_out"])
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -58,6 +64,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
+    "op3_brown_lm": op3_brown_lm,
     "op4_secret_scan": op4_secret_scan,
     "op5_html_extract": op5_html_extract,
     "op6_decontaminate": op6_decontaminate,

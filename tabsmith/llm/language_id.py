@@ -265,6 +265,18 @@ def _calibrate(model: Model, rows: DataFrame, lang: str, text: str, key: str) ->
 
 def identified(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns, lang_pred, score, rejected, cross_entropy. No shuffle."""
+    return _identified(spark, docs, model, keep, text).toDF(*keep, "lang_pred", "score", "rejected", "cross_entropy")
+
+
+def accepted(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows that are not rejected, with all their columns. Without any
+    language to learn from only texts without a letter are rejected."""
+    found = _identified(spark, docs, model, docs.columns, text).where("NOT rejected")
+    return found.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
+def _identified(spark, docs, model, keep, text) -> DataFrame:
+    """As ``identified``; the ``keep`` columns are called c0, c1, ..."""
     sent = spark.sparkContext.broadcast(model)
     names = [f"c{k}" for k in range(len(keep))]
     fields = [T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, keep)]
@@ -281,18 +293,19 @@ def identified(spark: SparkSession, docs: DataFrame, model: Model, keep: list[st
                 best = entropy.argmin(axis=1)
                 low = entropy[np.arange(j - i), best]
                 share = 1 / np.exp(-m.scale * (entropy - low[:, None])).sum(axis=1)
-                none = (size == 0) | (len(m.langs) == 0)
+                empty = size == 0
+                none = empty | (len(m.langs) == 0)
                 best[none] = len(m.langs)
                 if m.langs:
                     k = np.minimum(best, len(m.langs) - 1)
                     limit = m.mean[k] + Z * np.sqrt(m.spread[k] ** 2 + m.noise[k] / np.maximum(size, 1))
-                    rejected = none | (low > limit)
+                    rejected = empty | (low > limit)
                 else:
-                    rejected = none
+                    rejected = empty
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(i, j - i) for c in range(len(keep))), pa.array(labels[best], pa.string()),
                      pa.array(np.where(none, 0.0, share)), pa.array(rejected), pa.array(np.where(none, None, low), pa.float64())],
                     names=[f.name for f in fields])
 
     source = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, keep)], F.col(f"`{text}`").cast("string").alias("text"))
-    return source.mapInArrow(run, T.StructType(fields)).toDF(*keep, "lang_pred", "score", "rejected", "cross_entropy")
+    return source.mapInArrow(run, T.StructType(fields))
