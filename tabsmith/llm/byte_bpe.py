@@ -155,14 +155,12 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, pattern: str, text:
            keep: list[str] | None = None, offsets: bool = False, digests: bool = False) -> DataFrame:
     """``keep`` columns plus n_tokens and either ids (with ``offsets`` also
     starts and ends, in code points) or, with ``digests``, ids_sha256 and
-    decoded_sha256.
+    decoded_sha256. A kept column of one of these names is replaced.
 
     The rank file has a fixed size and is broadcast; each task reads its own
     rows, so there is no shuffle and memory is one batch plus the piece table.
     """
     ranks = spark.sparkContext.broadcast(rank_file(path))
-    keep = list(docs.columns if keep is None else keep)
-    kept = [docs.schema[c] for c in keep]
     more = [T.StructField("n_tokens", T.LongType())]
     if digests:
         more += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
@@ -171,6 +169,9 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, pattern: str, text:
         if offsets:
             more += [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("starts", "ends")]
 
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in {f.name for f in more}]
+    kept = [docs.schema[c] for c in keep]
+
     def run(batches):
         coder = codec(ranks.value, pattern)
         for batch in batches:

@@ -1,3 +1,47 @@
 """DuckDB SQL for the text operators that SQL can express."""
 
+from tabsmith.llm.decontaminate import N
+from tabsmith.llm.line_dedup import MIN_PAGES, RATIO
+
 ORACLE: dict[str, str] = {}
+
+ORACLE["op2_line_dedup"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text, string_split(text, chr(10)) AS l FROM documents),
+pages AS (SELECT DISTINCT source, text, l FROM d WHERE text IS NOT NULL),
+totals AS (SELECT source, count(*) AS host_pages FROM pages GROUP BY source),
+lines AS (SELECT DISTINCT source, text, unnest(l) AS line FROM pages),
+solid AS (SELECT * FROM lines WHERE trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    ')) <> ''),
+counts AS (SELECT source, line, count(*) AS n FROM solid GROUP BY source, line),
+boiler AS (SELECT c.source, list(c.line) AS gone FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
+           WHERE c.n >= {MIN_PAGES} AND c.n > {RATIO} * t.host_pages GROUP BY c.source),
+j AS (SELECT d.rid, d.doc_id, d.source, d.text, d.l,
+             CASE WHEN b.gone IS NULL THEN d.l ELSE list_filter(d.l, lambda x: NOT list_contains(b.gone, x)) END AS kept
+      FROM d LEFT JOIN boiler b ON d.source IS NOT DISTINCT FROM b.source),
+m AS (SELECT *, coalesce(len(list_filter(l, lambda x: trim(translate(x, chr(9) || chr(11) || chr(12) || chr(13), '    ')) <> '')), 0) AS n_lines,
+             coalesce(len(list_filter(kept, lambda x: trim(translate(x, chr(9) || chr(11) || chr(12) || chr(13), '    ')) <> '')), 0) AS n_kept
+      FROM j)
+SELECT doc_id, source, CASE WHEN n_kept = 0 OR n_kept = n_lines THEN text ELSE array_to_string(kept, chr(10)) END AS text,
+       CAST(n_lines AS BIGINT) AS n_lines, CAST(CASE WHEN n_kept = 0 THEN 0 ELSE n_lines - n_kept END AS BIGINT) AS n_dropped
+FROM m
+"""
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+ORACLE["op6_decontaminate"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark),
+spots AS (SELECT item, w, least(len(w), {N}) AS n, unnest(range(1, greatest(len(w) - {N - 1}, 1) + 1)) AS i FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS k FROM spots),
+sizes AS (SELECT DISTINCT n FROM windows),
+at AS (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d JOIN sizes ON len(w) >= n),
+keyed AS (SELECT rid, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS k FROM at),
+found AS (SELECT rid, item, keyed.n, i FROM keyed JOIN windows ON keyed.n = windows.n AND keyed.k = windows.k),
+words AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM found) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+          FROM (SELECT DISTINCT rid, item FROM found) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
+"""
