@@ -30,8 +30,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Optimizer's size of a plan in bytes: the size of the files for a scan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Size of a frame's files as the optimizer knows it; of a frame that does
+    not come from files, the bytes of its texts, counted."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < 1 << 60:
+        return known
+    texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema if f.dataType.typeName() == "string"]
+    return int(df.agg(F.sum(sum(texts, F.lit(8)))).first()[0] or 0)
 
 
 def held_out(doc_id: Column, mod: int, rest: int) -> Column:

@@ -288,7 +288,7 @@ def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
                           T.StructField("c0", id_type), T.StructField("c1", T.StringType()),
                           T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("marks", T.ArrayType(T.ByteType()))])
     types = [to_arrow_type(f.dataType) for f in dealt.fields]
-    sorted_ = rows.mapInArrow(cut, dealt).repartition("bucket").sortWithinPartitions("bucket", "key")
+    sorted_ = rows.mapInArrow(cut, dealt).repartition(n, "bucket").sortWithinPartitions("bucket", "key")
 
     def compare(batches):
         before = page = None

@@ -251,10 +251,11 @@ def _calibrate(model: Model, rows: DataFrame, lang: str, text: str, key: str) ->
     best, size, noise = entropy.argmin(axis=1), got.column("size").to_numpy(), got.column("noise").to_numpy()
     for k in range(len(model.langs)):
         mine = best == k
-        if mine.sum() >= 2:
-            low = entropy[mine, k]
-            model.mean[k], model.spread[k] = low.mean(), max(low.std(), MIN_SPREAD)
-            model.noise[k] = noise[mine].mean()
+        if mine.sum() < 10:  # too few to tell: as all languages together
+            mine = np.ones(len(best), bool)
+        low = entropy[mine].min(axis=1)
+        model.mean[k], model.spread[k] = low.mean(), max(low.std(), MIN_SPREAD)
+        model.noise[k] = noise[mine].mean()
 
     def loss(scale):
         z = -scale * (entropy - entropy.min(axis=1, keepdims=True))

@@ -34,8 +34,8 @@ b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM
 spots AS (SELECT item, w, least(len(w), {N}) AS n, unnest(range(1, greatest(len(w) - {N - 1}, 1) + 1)) AS i FROM b WHERE len(w) > 0),
 windows AS (SELECT DISTINCT item, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS k FROM spots),
 sizes AS (SELECT DISTINCT n FROM windows),
-at AS (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d JOIN sizes ON len(w) >= n),
-keyed AS (SELECT rid, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS k FROM at),
+places AS (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d JOIN sizes ON len(w) >= n),
+keyed AS (SELECT rid, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS k FROM places),
 found AS (SELECT rid, item, keyed.n, i FROM keyed JOIN windows ON keyed.n = windows.n AND keyed.k = windows.k),
 words AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM found) GROUP BY rid),
 items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
