@@ -45,6 +45,9 @@ def _topk_factory(k: int, kt: str = "bigint"):
         Tm = np.stack(t["f"].to_numpy()).astype(np.float64)
         tid = t["tid"].to_numpy()
         tl = t["tlabel"].to_numpy(dtype=np.float64)
+        # centred, so large offsets cost no digits; close calls are settled below
+        # on direct differences
+        Q, Tm = Q - Tm.mean(axis=0), Tm - Tm.mean(axis=0)
         tn = (Tm * Tm).sum(axis=1)
         kk = min(k, len(tid))
         out_q, out_t, out_l, out_d = [], [], [], []
@@ -55,12 +58,15 @@ def _topk_factory(k: int, kt: str = "bigint"):
             np.maximum(d, 0.0, out=d)
             kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
             for i in range(len(blk)):
-                idx = np.nonzero(d[i] <= kth[i])[0]
-                order = idx[np.lexsort((tid[idx], d[i, idx]))][:kk]
+                slack = 1e-9 * ((blk[i] * blk[i]).sum() + tn.max())
+                idx = np.nonzero(d[i] <= kth[i] + slack)[0]
+                direct = ((Tm[idx] - blk[i]) ** 2).sum(axis=1)
+                best = np.lexsort((tid[idx], direct))[:kk]
+                order = idx[best]
                 out_q.append(np.array([qid[s + i]] * len(order), dtype=object if pdt == "object" else None))
                 out_t.append(tid[order])
                 out_l.append(tl[order])
-                out_d.append(d[i, order])
+                out_d.append(direct[best])
         return pd.DataFrame({"qid": np.concatenate(out_q).astype(pdt), "tid": np.concatenate(out_t).astype(pdt),
                              "tlabel": np.concatenate(out_l), "dist": np.concatenate(out_d)})
     return topk

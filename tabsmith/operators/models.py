@@ -1,7 +1,7 @@
 """Model registries (K1-K10, R1-R9) and the fit loop.
 
 Every entry is a small adapter with ``fit(train) -> fitted`` and
-``predict(fitted, test) -> (row_key, prediction, score)``. Spark ML does
+``predict(fitted, test) -> (row_key, label, prediction, score)``. Spark ML does
 the training (tree aggregation, L-BFGS, OWL-QN); the adapters only wire
 columns. Models the library lacks are built from its parts:
 
@@ -23,6 +23,7 @@ from typing import Any, Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Model
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, NaiveBayes, OneVsRest,
                                        RandomForestClassifier)
@@ -38,7 +39,7 @@ from tabsmith.operators import knn as KNN
 
 SEED = 42
 RFF_COMPONENTS = 256
-PLATT_FOLDS = 3
+PLATT_FOLDS = 5
 
 
 @dataclass
@@ -59,11 +60,16 @@ def _ml_predict(binary_score: bool):
             score = vector_to_array("probability")[1]
         else:
             score = F.lit(None).cast("double")
-        return out.select("row_key", F.col("prediction").cast("double").alias("prediction"),
+        return out.select("row_key", "label", F.col("prediction").cast("double").alias("prediction"),
                           score.alias("score"))
     return run
 
 
+def is_stage(model) -> bool:
+    """Whether a fitted model is one Spark ML stage, which can be saved."""
+    return isinstance(model, Model)
+
+
 def _ml(name, est, engine, binary_score=False) -> Spec:
     return Spec(name, lambda tr: est.fit(tr), _ml_predict(binary_score), engine, est)
 
@@ -126,13 +132,13 @@ def _svm_spec(num_classes: int, d: int, max_iter: int) -> Spec:
     def predict(fitted, test: DataFrame) -> DataFrame:
         if fitted[0] == "ovr":
             _, rff, m = fitted
-            return m.transform(rff(test)).select("row_key", F.col("prediction").cast("double").alias("prediction"),
+            return m.transform(rff(test)).select("row_key", "label", F.col("prediction").cast("double").alias("prediction"),
                                                  F.lit(None).cast("double").alias("score"))
         _, rff, final, platt = fitted
-        mar = final.transform(rff(test)).select("row_key", vector_to_array("rawPrediction")[1].alias("margin"))
+        mar = final.transform(rff(test)).select("row_key", "label", vector_to_array("rawPrediction")[1].alias("margin"))
         cal = platt.transform(mar.withColumn("features", array_to_vector(F.array("margin"))))
         score = vector_to_array("probability")[1]
-        return cal.select("row_key", (score >= 0.5).cast("double").alias("prediction"), score.alias("score"))
+        return cal.select("row_key", "label", (score >= 0.5).cast("double").alias("prediction"), score.alias("score"))
     return Spec("SVM", fit, predict, "random Fourier features + LinearSVC + Platt scaling")
 
 
@@ -144,7 +150,8 @@ def _knn_spec(name: str, classify: bool) -> Spec:
         nn = KNN.neighbours(train, test.select("row_key", "features"), "row_key", "features", "label")
         out = KNN.knn_classify(nn) if classify else KNN.knn_regress(nn).withColumn(
             "score", F.lit(None).cast("double"))
-        return out.withColumnRenamed("qid", "row_key")
+        # the neighbours come back by key (unique, see prep), so their label is fetched by it
+        return out.withColumnRenamed("qid", "row_key").join(test.select("row_key", "label"), "row_key")
     return Spec(name, fit, predict, "exact blocked k-nearest neighbours (k=5)")
 
 
@@ -155,7 +162,7 @@ def _svr_spec(d: int, max_iter: int) -> Spec:
 
     def predict(fitted, test):
         rff, m = fitted
-        return m.transform(rff(test)).select("row_key", "prediction", F.lit(None).cast("double").alias("score"))
+        return m.transform(rff(test)).select("row_key", "label", "prediction", F.lit(None).cast("double").alias("score"))
     return Spec("SVR", fit, predict, "random Fourier features + Huber linear regression (kernel Huber)")
 
 
@@ -164,7 +171,7 @@ def _svr_spec(d: int, max_iter: int) -> Spec:
 def _sizes(profile: str):
     if profile == "fast":
         return dict(trees=20, rounds=20, forest_depth=8, tree_depth=8, iters=50)
-    return dict(trees=100, rounds=100, forest_depth=16, tree_depth=30, iters=1000)
+    return dict(trees=100, rounds=100, forest_depth=30, tree_depth=30, iters=1000)
 
 
 def classifiers(n_train: int, num_classes: int, d: int, profile: str = "reference") -> list[Spec]:
@@ -185,7 +192,7 @@ def classifiers(n_train: int, num_classes: int, d: int, profile: str = "referenc
                                                     featureSubsetStrategy="sqrt", seed=SEED),
             "RandomForestClassifier", True),
         _knn_spec("KNN", True),
-        _svm_spec(num_classes, d, min(s["iters"], 100)),
+        _svm_spec(num_classes, d, s["iters"]),
         _ml("Gradient Boosting", boosted(maxIter=s["rounds"], maxDepth=3, stepSize=0.1),
             "GBTClassifier (one-vs-rest above two classes)", binary),
         _ml("Naive Bayes", NaiveBayes(modelType="gaussian"), "NaiveBayes gaussian", True),
@@ -209,7 +216,7 @@ def regressors(n_train: int, d: int, profile: str = "reference") -> list[Spec]:
                                                              featureSubsetStrategy="all", seed=SEED),
             "RandomForestRegressor"),
         _knn_spec("KNN Regressor", False),
-        _svr_spec(d, min(s["iters"], 100)),
+        _svr_spec(d, s["iters"]),
         _ml("Gradient Boosting Regressor", GBTRegressor(maxIter=s["rounds"], maxDepth=3, stepSize=0.1, seed=SEED),
             "GBTRegressor"),
         _ml("Boosted Trees Deep Regressor", GBTRegressor(maxIter=s["rounds"], maxDepth=6, stepSize=0.3, seed=SEED),
@@ -231,14 +238,13 @@ def train_all(specs: list[Spec], train: DataFrame, test: DataFrame, only: list[s
     from concurrent.futures import ThreadPoolExecutor
     from pyspark import StorageLevel
     chosen = [s for s in specs if only is None or s.name in only]
-    labels = test.select("row_key", "label")
 
     def one(i_spec):
         i, spec = i_spec
         if progress:
             progress(i, len(chosen), spec.name)
         m = spec.fit(train)
-        p = spec.predict(m, test).join(labels, "row_key").select(
+        p = spec.predict(m, test).select(
             "row_key", F.lit(spec.name).alias("model"), "label", "prediction", "score")
         p = p.persist(StorageLevel.MEMORY_AND_DISK)
         p.count()

@@ -60,7 +60,7 @@ SLOT_NAMES = {"Boosted Trees Deep": "XGBoost", "Boosted Trees Histogram": "Light
               "Boosted Trees Deep Regressor": "XGBoost Regressor",
               "Boosted Trees Histogram Regressor": "LightGBM Regressor"}
 # cheap models are searched exhaustively, the rest at random
-GRID_SEARCHED = {"Decision Tree", "KNN", "Naive Bayes", "Logistic Regression", "Linear Regression",
+GRID_SEARCHED = {"Decision Tree", "KNN", "Naive Bayes", "Linear Regression",
                  "Decision Tree Regressor", "KNN Regressor"}
 
 
@@ -108,7 +108,9 @@ def to_param_map(est, setting: dict, n_train: int, caps: dict | None = None) ->
             put("numTrees", int(v))
             put("maxIter", int(v))
         elif k == "max_depth":
-            put("maxDepth", 30 if v in (None, -1) else min(int(v), 30))
+            # an unbounded depth under a bound on leaves is the depth that many leaves need
+            leaves = (int(setting["num_leaves"]) - 1).bit_length() if "num_leaves" in setting else 30
+            put("maxDepth", leaves if v in (None, -1) else min(int(v), leaves))
         elif k == "min_samples_leaf":
             put("minInstancesPerNode", int(v))
         elif k == "criterion":
@@ -130,29 +132,32 @@ def evaluator(problem_type: str):
     return RegressionEvaluator(metricName="r2")
 
 
-def tune_model(est, grid: dict, train: DataFrame, problem_type: str, search: str = "grid",
-               n_iter: int = N_ITER, seed: int = SEED, folds: int = FOLDS, caps: dict | None = None):
-    """Returns dict(best_model, best_params, best_score, results).
-    ``caps`` bounds integer sizes (the fast profile uses ``FAST_CAPS``)."""
-    if search == "grid":
-        settings = reference_settings(grid)
-    elif search == "random":
-        settings = random_settings(grid, n_iter, seed)
-    else:
-        raise ValueError("Search type must be grid or random")
-    n = train.count()
+def distinct_maps(est, settings: list[dict], n_train: int, caps: dict | None = None) -> list[dict]:
+    """The settings as parameters of ``est``, equal ones once."""
     maps, seen = [], set()
     for s in settings:
-        pm = to_param_map(est, s, n, caps)
+        pm = to_param_map(est, s, n_train, caps)
         key = tuple(sorted((p.name, str(v)) for p, v in pm.items()))
         if key not in seen:
             seen.add(key)
             maps.append(pm)
+    return maps
+
+
+def tune_model(est, grid: dict, train: DataFrame, problem_type: str, search: str = "grid",
+               n_iter: int = N_ITER, seed: int = SEED, folds: int = FOLDS, caps: dict | None = None):
+    """Returns dict(best_model, best_params, best_score, results).
+    ``caps`` bounds integer sizes (the fast profile uses ``FAST_CAPS``)."""
+    if search not in ("grid", "random"):
+        raise ValueError("Search type must be grid or random")
+    maps = distinct_maps(est, reference_settings(grid), train.count(), caps)
+    if search == "random":   # drawn from settings that differ in Spark
+        maps = random.Random(seed).sample(maps, min(n_iter, len(maps)))
     if not maps:
         maps = ParamGridBuilder().build()
     data = train.withColumn("__fold", F.floor(hash_unit("row_key", seed=seed) * folds).cast("int"))
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator(problem_type),
-                        numFolds=folds, foldCol="__fold", parallelism=PARALLELISM, seed=seed)
+                        numFolds=folds, foldCol="__fold", parallelism=PARALLELISM, seed=seed, collectSubModels=False)
     m = cv.fit(data)
     best_i = max(range(len(maps)), key=lambda i: m.avgMetrics[i])
     results = [({p.name: str(v) for p, v in pm.items()}, float(score)) for pm, score in zip(maps, m.avgMetrics)]

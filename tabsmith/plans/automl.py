@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import IndexToString, SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +73,7 @@ class RunResult:
         rows = [("rows", "", c["raw_rows"]), ("columns", "", c["raw_columns"]),
                 ("missing_values_total", "", c["missing_total"]),
                 ("duplicate_rows_removed", "", c["duplicates_removed"])]
+        rows += [("missing_values", col, n) for col, n in c["missing"].items() if n]
         rows += [("dropped_column", col, 1) for col, _ in self.prep.dropped]
         rows += [("selected_feature", col, 1) for col in self.prep.selected]
         return self.predictions.sparkSession.createDataFrame(rows, "item string, col_name string, value bigint")
@@ -99,10 +100,15 @@ class RunResult:
         name = name or self.best_model_name
         m = self.fitted[name]
         prep = SQLTransformer(statement=self.prep.statement(with_label=False))
-        asm = VectorAssembler(inputCols=self.prep.selected, outputCol="features", handleInvalid="keep")
-        if not hasattr(m, "transform"):
+        asm = VectorAssembler(inputCols=self.prep.feature_columns(), outputCol="features", handleInvalid="keep")
+        if not K.is_stage(m):
             raise ValueError(f"{name} is not a single Spark ML model; choose another model to save")
-        return PipelineModel(stages=[prep, asm, m])
+        stages = [prep, asm, m]
+        if self.problem_type == "classification":
+            # the class values of the raw target, as text, beside their indexes
+            stages.append(IndexToString(inputCol="prediction", outputCol="predicted_label",
+                                        labels=[str(c) for c in self.prep.target_levels]))
+        return PipelineModel(stages=stages)
 
     def save(self, path: str, name: str | None = None) -> None:
         """Pipeline, evaluation report CSV, comparison CSV, best-parameter JSON."""
@@ -136,7 +142,7 @@ def prepare_data(df: DataFrame, target: str, keys: list[str] | None = None, fit_
                      checkpoint=checkpoint)
     model, prepared, cl = prepare(df, cfg)
     key = model.keys[0]
-    body = assemble(prepared.withColumnRenamed(key, "row_key"), model.selected) \
+    body = assemble(prepared.withColumnRenamed(key, "row_key"), model.feature_columns()) \
         .select("row_key", "__part", "label", "features")
     rows = cl.frame.count()          # cached: no scan
     body = right_size(body, rows, len(model.selected) + 2).persist(StorageLevel.MEMORY_AND_DISK)

@@ -140,6 +140,7 @@ def _state(spark: SparkSession, sf: str):
     df = _nonempty(spark, sf)
     prof = profile_table(df)
     protect = ["target"]
+    C.resolve_exact_distinct(df, prof, skip=protect)
     dropped = C.cleaning_decisions(prof, protect)
     gone = {c for c, _ in dropped}
     feats = [c for c in df.columns if c not in gone and c != "target"]

@@ -31,7 +31,7 @@ from tabsmith.sources import fixtures as X
 # searches are capped (tune.FAST_CAPS: <=20 trees or rounds, depth <=8)
 # because the reference grids reach 300 rounds x 5 settings x 3 folds
 PROFILE = "reference"
-TUNING_CAPS = True
+TUNING_CAPS = False
 
 
 @lru_cache(maxsize=4)
@@ -217,8 +217,7 @@ def q_tune_top3(spark, sf):
             continue
         search = "grid" if name in G.GRID_SEARCHED else "random"
         res = G.tune_model(est, grid, r.train, "classification", search, caps=_caps())
-        p = K._ml_predict(True)(res["best_model"], r.test).join(r.test.select("row_key", "label"), "row_key") \
-            .select("row_key", F.lit(name).alias("model"), "label", "prediction", "score")
+        p = K._ml_predict(True)(res["best_model"], r.test).select("row_key", F.lit(name).alias("model"), "label", "prediction", "score")
         tuned_preds = p if tuned_preds is None else tuned_preds.unionByName(p)
     if tuned_preds is None:
         return rounded(r.leaderboard.select("model", F.lit("original").alias("version"), "accuracy", "rank"))
@@ -232,9 +231,9 @@ def _bundle(spark, sf):
     r = _run(spark, sf, "classification")
     path = f"{checkpoint_dir(spark).rstrip('/')}/bundles/classification-{uuid.uuid4().hex}"
     name = r.best_model_name
-    if not hasattr(r.fitted[name], "transform"):
+    if not K.is_stage(r.fitted[name]):
         name = [row["model"] for row in r.leaderboard.orderBy("rank").collect()
-                if hasattr(r.fitted[row["model"]], "transform")][0]
+                if K.is_stage(r.fitted[row["model"]])][0]
     r.save(path, name)
     return r, path
 

@@ -65,34 +65,48 @@ class PrepModel:
     selected: list[str]
     warnings: list[str] = field(default_factory=list)
     counts: dict = field(default_factory=dict)
+    float_columns: list[str] = field(default_factory=list)   # raw names whose NaN counts as null
 
     # ---- compiled projection ------------------------------------------
+    def named_keys(self) -> list[str]:
+        """The key columns that the user named: they are in raw rows."""
+        return [C.clean_name(k) for k in self.config.keys]
+
     def label_sql(self) -> str:
         t = ident(self.target)
         if self.problem_type == "classification":
             return E.label_index_expression(self.target, self.target_levels)
         return f"CAST({t} AS DOUBLE)"
 
+    def feature_columns(self) -> list[str]:
+        """Column names of the selected features in compiled frames. They are
+        positions: a level may hold any character, so names made of levels
+        are for reports only (``selected``)."""
+        return [f"f{i}" for i in range(len(self.selected))]
+
     def feature_sql(self) -> list[tuple[str, str]]:
-        """(name, SQL) of every selected scaled feature over the renamed raw columns."""
+        """(column, SQL) of every selected scaled feature over the renamed raw columns."""
         out = []
-        for c in self.selected:
+        for name, c in zip(self.feature_columns(), self.selected):
             inner = self.input_sql[c]
             m = self.scaling[c]
             if m.mean is None:
-                out.append((c, f"CAST({inner} AS DOUBLE)"))
+                out.append((name, f"CAST({inner} AS DOUBLE)"))
             elif not m.std:
-                out.append((c, f"(CAST({inner} AS DOUBLE) - {literal(float(m.mean))})"))
+                out.append((name, f"(CAST({inner} AS DOUBLE) - {literal(float(m.mean))})"))
             else:
-                out.append((c, f"((CAST({inner} AS DOUBLE) - {literal(float(m.mean))}) / {literal(float(m.std))})"))
+                out.append((name, f"((CAST({inner} AS DOUBLE) - {literal(float(m.mean))}) / {literal(float(m.std))})"))
         return out
 
     def statement(self, with_label: bool = True, passthrough: list[str] = ()) -> str:
         """SQLTransformer statement: renames, fills, encodes, scales, selects."""
-        # scoring frames carry no target: only the other raw columns are read
-        rename = ", ".join(f"{ident(old)} AS {ident(new)}" for old, new in self.name_map.items()
+        # scoring frames carry no target: only the other raw columns are read;
+        # NaN becomes null as in training, so it is filled alike
+        read = lambda c: f"nullif({ident(c)}, CAST('NaN' AS DOUBLE))" if c in self.float_columns else ident(c)
+        rename = ", ".join(f"{read(old)} AS {ident(new)}" for old, new in self.name_map.items()
                            if old in self.raw_columns and (with_label or new != self.target))
-        cols = [f"{ident(k)}" for k in list(self.keys) + list(passthrough)]
+        # a key that the run made itself is not in the raw rows
+        cols = [ident(k) for k in [*self.named_keys(), *passthrough]]
         if with_label:
             cols.append(f"{self.label_sql()} AS `label`")
         cols += [f"{e} AS {ident(n)}" for n, e in self.feature_sql()]
@@ -100,10 +114,11 @@ class PrepModel:
 
     def transform(self, df: DataFrame, with_label: bool = True, passthrough: list[str] = ()) -> DataFrame:
         renamed = rename_raw(df, self.name_map)
-        exprs = [q(k) for k in list(self.keys) + list(passthrough)]
+        exprs = [q(k) for k in [*self.named_keys(), *passthrough]]
         if with_label:
             exprs.append(F.expr(self.label_sql()).alias("label"))
-        exprs += [F.expr(e).alias(n) for n, e in self.feature_sql()]
+        # display names here: this frame is for reading, models take the positional one
+        exprs += [F.expr(e).alias(c) for c, (_, e) in zip(self.selected, self.feature_sql())]
         return renamed.select(*exprs)
 
     def report_rows(self) -> list[tuple[str, str, str]]:
@@ -122,6 +137,11 @@ def rename_raw(df: DataFrame, name_map: dict[str, str]) -> DataFrame:
     return nan_to_null(df.select(*[q(c).alias(name_map.get(c, c)) for c in df.columns]))
 
 
+def _repeated(df: DataFrame, key: str) -> bool:
+    """Whether rows share a value of ``key`` (or several have none)."""
+    return bool(df.groupBy(q(key)).count().where("count > 1").take(1))
+
+
 def materialize(df: DataFrame, checkpoint: bool) -> DataFrame:
     """Cache a frame that later jobs scan several times. With ``checkpoint``
     the data is written to the reliable checkpoint folder, so a lost
@@ -147,6 +167,7 @@ class Cleaned:
     warnings: list[str]
     class_counts: dict | None
     problem_type: str
+    float_columns: list[str] = field(default_factory=list)
 
 
 def clean_and_split(df: DataFrame, cfg: PrepConfig) -> Cleaned:
@@ -165,13 +186,16 @@ def clean_and_split(df: DataFrame, cfg: PrepConfig) -> Cleaned:
     # counts, so the raw input is scanned only once
     grouped = d0.groupBy(*[q(c) for c in cols]).agg(F.count(F.lit(1)).alias("__copies"))
     keys = [C.clean_name(k) for k in cfg.keys]
-    if not keys:
+    if len(keys) != 1:
+        # rows are told apart by their content; named keys are columns that are no features
         grouped = grouped.withColumn(ROW_KEY, row_hash(d0))
         keys = [ROW_KEY]
     use_ckpt = cfg.checkpoint
     if use_ckpt is None:
         use_ckpt = not df.sparkSession.sparkContext.master.startswith("local")
     grouped = materialize(grouped, use_ckpt)
+    if keys != [ROW_KEY] and _repeated(grouped, keys[0]):
+        grouped, keys = grouped.withColumn(ROW_KEY, row_hash(d0)), [ROW_KEY]
     allnull = C.all_null_condition(cols)
     copies = F.col("__copies")
     cnt = grouped.agg(F.coalesce(F.sum(copies), F.lit(0)).alias("raw"), F.count(F.lit(1)).alias("n"),
@@ -196,7 +220,8 @@ def clean_and_split(df: DataFrame, cfg: PrepConfig) -> Cleaned:
     split.count()               # fills the split cache, so the first copy can go
     grouped.unpersist()
     return Cleaned(split, int(raw["__n"]), len(cols), raw_missing, int(raw["__n"]) - int(cnt["n"]),
-                   int(cnt["empty"]), int(cnt["nt"]), name_map, keys, warnings, class_counts, problem)
+                   int(cnt["empty"]), int(cnt["nt"]), name_map, keys, warnings, class_counts, problem,
+                   [f.name for f in df.schema if f.dataType.typeName() in ("double", "float")])
 
 
 def fit_plan(frame: DataFrame, cfg: PrepConfig, cl: Cleaned) -> PrepModel:
@@ -211,7 +236,7 @@ def fit_plan(frame: DataFrame, cfg: PrepConfig, cl: Cleaned) -> PrepModel:
     protect = [target] + [k for k in keys if k == ROW_KEY]
     C.resolve_exact_distinct(fit_rows, prof, skip=protect, threshold=cfg.cardinality_threshold)
     dropped = C.cleaning_decisions(prof, protect, cfg.id_names, cfg.cardinality_threshold)
-    gone = {c for c, _ in dropped} | set(keys) | {target}
+    gone = {c for c, _ in dropped} | set(keys) | {C.clean_name(k) for k in cfg.keys} | {target}
     features = [c for c in body_cols if c not in gone]
     nfill = M.numeric_fill_plan(prof, [c for c in features if prof.columns[c].kind == "numeric"])
     cfill = M.categorical_fill_plan(prof, [c for c in features if prof.columns[c].kind == "categorical"],
@@ -240,6 +265,8 @@ def fit_plan(frame: DataFrame, cfg: PrepConfig, cl: Cleaned) -> PrepModel:
             numeric_inputs.add(c)
         elif methods.get(c) == "one_hot":
             for name, e in E.one_hot_expressions(c, st.levels, st.dtype):
+                while name in tail or name in features:   # another column already has that name
+                    name += "_"
                 tail[name] = e.replace(ident(c), f"({base})")
                 numeric_inputs.add(name)
         else:
@@ -248,10 +275,14 @@ def fit_plan(frame: DataFrame, cfg: PrepConfig, cl: Cleaned) -> PrepModel:
     input_features = list(input_sql)
 
     num_cols = [c for c in input_features if c in numeric_inputs]
-    enc_frame = fit_rows.select(*[F.expr(input_sql[c]).alias(c) for c in num_cols])
-    stats = N.moments(enc_frame, num_cols)
+    # positions as column names: display names may differ in case only or hold dots
+    inner = {c: f"f{i}" for i, c in enumerate(num_cols)}
+    enc_frame = fit_rows.select(*[F.expr(input_sql[c]).alias(inner[c]) for c in num_cols])
+    inner_stats = N.moments(enc_frame, list(inner.values()))
+    stats = {c: inner_stats[n] for c, n in inner.items()}
     kept, vrep = N.variance_selection(input_features, numeric_inputs, stats, cfg.variance_threshold)
-    pairs = N.correlation_pairs(enc_frame, kept, stats)
+    outer = {n: c for c, n in inner.items()}
+    pairs = [(outer[a], outer[b], r) for a, b, r in N.correlation_pairs(enc_frame, [inner[c] for c in kept], inner_stats)]
     selected, crep = N.correlation_selection(kept, pairs, cfg.correlation_threshold)
 
     levels = None
@@ -264,7 +295,8 @@ def fit_plan(frame: DataFrame, cfg: PrepConfig, cl: Cleaned) -> PrepModel:
                       "duplicates_removed": cl.duplicates_removed,
                       "empty_rows_removed": cl.empty_rows_removed,
                       "null_target_removed": cl.null_target_removed,
-                      "missing_total": sum(cl.raw_missing.values())})
+                      "missing_total": sum(cl.raw_missing.values()), "missing": dict(cl.raw_missing)},
+                     cl.float_columns)
 
 
 def prepare(df: DataFrame, cfg: PrepConfig):

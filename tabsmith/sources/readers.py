@@ -9,6 +9,7 @@ partitioning).
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,16 +86,22 @@ def sample_fraction(df: DataFrame, key_cols: list[str], percent: int,
     return df.where(bucket < F.lit(percent))
 
 
-def json_records(df: DataFrame, column: str, sample_rows: int = 1000) -> DataFrame:
+def json_records(df: DataFrame, column: str) -> DataFrame:
     """Parse a column of JSON text into typed columns (S3 on data already in a
-    table). The schema is inferred from a bounded sample of rows, the parse
-    itself runs as ``from_json`` on every row."""
-    sample = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).limit(sample_rows).collect()]
-    if not sample:
+    table). One aggregate over all rows merges their schemas (``variant``
+    type); the parse runs as ``from_json`` on every row. Text that is no JSON
+    parses to nulls."""
+    found = df.select(F.expr(f"schema_of_variant_agg(try_parse_json({_quoted(column)}))")).first()[0]
+    if not found or not found.startswith("OBJECT<"):
         return df.select(F.lit(None).alias(column))
-    schema = df.sparkSession.read.json(df.sparkSession.sparkContext.parallelize(sample, 1)).schema
+    schema = re.sub(r"DECIMAL\(\d+, ?\d+\)", "DOUBLE", found.replace("OBJECT<", "STRUCT<"))
+    schema = re.sub(r"\b(VOID|VARIANT)\b", "STRING", schema)
     return df.select("*", F.from_json(F.col(column), schema).alias("__json")).select("*", "__json.*").drop("__json")
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 __all__ = ["load_table", "sample_exact_n", "sample_fraction", "json_records", "file_format",
            "UnsupportedFormatError", "REFERENCE_ROW_CAP", "hash_unit"]
