@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pieces kept for reuse by a Python worker; the table is emptied when full.
-PIECES = 600_000
+PIECES = 250_000
 #: Characters that one step encodes; a longer text is a step of its own.
 STEP_CHARS = 1 << 20
 

@@ -313,11 +313,12 @@ def deduplicated(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", t
     rows = stored(fingerprints(hashed, ["id", "h"], "text", shingle), "simhash")
     found = classes(rows, budget)
     best = rows.groupBy("fp").agg(F.min(F.struct(F.col("c0").isNull().alias("no"), "c0", "c1")).alias("k"))
+    # a row's name without nulls: join and removal of equal rows share one shuffle by it
+    name = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
     best = best.join(found, "fp").groupBy("root").agg(F.min("k").alias("k")).select(
-        F.col("k.c0").alias("__id"), F.col("k.c1").alias("__h"))
+        name(F.col("k.c0")).alias("__id"), F.col("k.c1").alias("__hash"))
     names = [f"c{k}" for k in range(len(docs.columns))]
     plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)],
-                        F.xxhash64(F.col(f"`{text}`")).alias("__hash"))
-    own = names[docs.columns.index(doc_id)]
-    kept = plain.join(best, F.col(own).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left_semi")
-    return kept.dropDuplicates([own, "__hash"]).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+                        name(F.col(f"`{doc_id}`")).alias("__id"), F.xxhash64(F.col(f"`{text}`")).alias("__hash"))
+    kept = plain.join(best, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
