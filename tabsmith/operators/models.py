@@ -40,6 +40,8 @@ from tabsmith.operators import knn as KNN
 SEED = 42
 RFF_COMPONENTS = 256
 PLATT_FOLDS = 5
+# the tolerance at which margin models stop, that of the library whose models they stand for
+MARGIN_TOL = 1e-3
 
 
 @dataclass
@@ -106,11 +108,11 @@ def _svm_spec(num_classes: int, d: int, max_iter: int) -> Spec:
         n0 = train.count()
         z = right_size(rff(train), n0, RFF_COMPONENTS + 2).cache()
         if num_classes > 2:
-            return ("ovr", rff, OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=1.0 / max(1, z.count()))).fit(z))
+            return ("ovr", rff, OneVsRest(classifier=LinearSVC(maxIter=max_iter, tol=MARGIN_TOL, regParam=1.0 / max(1, z.count()))).fit(z))
         fold = F.floor(hash_unit("row_key", seed=SEED + 1) * PLATT_FOLDS)
         z = z.withColumn("__fold", fold)
         n = z.count()
-        svc = LinearSVC(maxIter=max_iter, regParam=1.0 / max(1, n))
+        svc = LinearSVC(maxIter=max_iter, tol=MARGIN_TOL, regParam=1.0 / max(1, n))
 
         def fold_margins(k):
             m = svc.copy().fit(z.where(F.col("__fold") != k))
@@ -158,7 +160,7 @@ def _knn_spec(name: str, classify: bool) -> Spec:
 def _svr_spec(d: int, max_iter: int) -> Spec:
     def fit(train: DataFrame):
         rff = _rff_transform(d, _gamma_scale(train, d))
-        return rff, LinearRegression(loss="huber", maxIter=max_iter, regParam=0.0).fit(rff(train))
+        return rff, LinearRegression(loss="huber", maxIter=max_iter, tol=MARGIN_TOL, regParam=0.0).fit(rff(train))
 
     def predict(fitted, test):
         rff, m = fitted
