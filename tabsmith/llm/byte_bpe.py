@@ -4,8 +4,8 @@ A rank file gives token bytes and ranks. Every byte has a printable stand-in
 character, so the library's BPE model works on characters; its merges are all
 pairs of tokens whose union is a token, in the order of ranks, which is the
 rule that merges by rank alone. A text is cut by the pattern; pieces seen
-before come from a bounded table, the others go through the library in one
-call a batch. Decoding reverses the stand-in table; a token may hold part of a
+before come from a bounded table, the others go through the library some
+thousand at a time. Decoding reverses the stand-in table; a token may hold part of a
 character, so bytes are joined before they are read as UTF-8.
 
 Cases: null and empty texts have no tokens and decode to the empty string;
@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabsmith.llm.common import small_batches
+
 #: Pieces kept for reuse by a Python worker; the table is emptied when full.
 PIECES = 250_000
 #: Characters that one step encodes; a longer text is a step of its own.
@@ -96,8 +98,10 @@ class ByteBpe:
         self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def learn(self) -> None:
-        """Encode the pieces that wait, in one call of the library."""
-        coded = [x.ids for x in self.library.encode_batch(self.known.new, add_special_tokens=False)]
+        """Encode the pieces that wait; the library's results are large, so some at a time."""
+        new, coded = self.known.new, []
+        for i in range(0, len(new), 4096):
+            coded += [x.ids for x in self.library.encode_batch(new[i:i + 4096], add_special_tokens=False)]
         ends = np.cumsum([len(x) for x in coded], dtype=np.int64)
         self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(coded), np.uint32, int(ends[-1]))))
         self.at = np.concatenate((self.at, self.at[-1] + ends))
@@ -160,6 +164,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, pattern: str, text:
     The rank file has a fixed size and is broadcast; each task reads its own
     rows, so there is no shuffle and memory is one batch plus the piece table.
     """
+    small_batches(spark)
     ranks = spark.sparkContext.broadcast(rank_file(path))
     more = [T.StructField("n_tokens", T.LongType())]
     if digests:

@@ -29,6 +29,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows here hold long texts: Arrow batches of fewer rows bound the memory
+    of both sides of a task. A size that the user has set stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, "1000")
+
+
 def input_bytes(df: DataFrame) -> int:
     """Size of a frame's files as the optimizer knows it; of a frame that does
     not come from files, the bytes of its texts, counted."""

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsmith.llm.common import LOWER, byte_set, steps, stored, text_bytes, window_hashes, word_hashes, words_of
+from tabsmith.llm.common import LOWER, byte_set, small_batches, steps, stored, text_bytes, window_hashes, word_hashes, words_of
 
 N = 13
 BLOCK_BYTES = 8 << 20
@@ -122,6 +122,7 @@ def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: list[
 
 def _scanned(spark, docs, benchmark, keep, n=N, text="text", item_id="item_id", item_text="text", with_text=False) -> DataFrame:
     """As ``hits``; the ``keep`` columns are called c0, c1, ... here, so no name of theirs can clash."""
+    small_batches(spark)
     inner = [f"c{k}" for k in range(len(keep))]
     fields = [T.StructField(c, docs.schema[k].dataType) for c, k in zip(inner, keep)]
     fields += [T.StructField("__text", T.StringType()), T.StructField("n_words", T.LongType()),

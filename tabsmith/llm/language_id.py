@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsmith.llm.common import Hashed
+from tabsmith.llm.common import Hashed, small_batches
 
 ORDER = 4
 SLOTS = 1 << 20
@@ -203,6 +203,7 @@ class Model:
 
 def fit(docs: DataFrame, train: Column, lang: str = "lang", text: str = "text", key: str = "doc_id") -> Model:
     """Models from the rows for which ``train`` holds, calibrated on some of them."""
+    small_batches(docs.sparkSession)
     rows = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
     slot = F.shiftrightunsigned(F.xxhash64("gram"), 64 - SLOTS.bit_length() + 1)
     kept = count_grams(rows, lang, text).groupBy("lang", slot.alias("slot")).agg(
@@ -278,6 +279,7 @@ def accepted(spark: SparkSession, docs: DataFrame, model: Model, text: str = "te
 
 def _identified(spark, docs, model, keep, text) -> DataFrame:
     """As ``identified``; the ``keep`` columns are called c0, c1, ..."""
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
     names = [f"c{k}" for k in range(len(keep))]
     fields = [T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, keep)]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsmith.llm.common import stored
+from tabsmith.llm.common import small_batches, stored
 
 SHINGLE, BITS = 3, 2
 SEED = 42
@@ -62,6 +62,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``keep`` columns as c0, c1, ... and ``fp`` (long). No shuffle."""
+    small_batches(docs.sparkSession)
     fields = [T.StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(keep)] + [T.StructField("fp", T.LongType())]
 
     def run(batches):

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsmith.llm.common import Hashed, stored
+from tabsmith.llm.common import Hashed, small_batches, stored
 
 DECAY, SPAN, DEGREE = 0.8, 6, 3
 LANDMARKS, CLEAN_LANDMARKS = 320, 128
@@ -290,6 +290,7 @@ def _compared(units: DataFrame, landmarks: Landmarks, vectors: bool) -> DataFram
 
 def fit(docs: DataFrame, labels: DataFrame, train, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """``train``: function of the id column that tells the rows to learn from."""
+    small_batches(docs.sparkSession)
     own = F.col(f"`{doc_id}`")
     known = labels.where(train(own) & F.col(label).isNotNull() & own.isNotNull()) \
         .select(own.alias("id"), (F.col(label) != 0).cast("int").alias("toxic"))
@@ -371,6 +372,7 @@ def _valued(sample: DataFrame, model: Model) -> DataFrame:
 
 def scored(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns, score, predicted, worst (the word with the highest value). No shuffle."""
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
     names = [f"c{k}" for k in range(len(keep))]
     fields = [T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, keep)]
