@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 from pyspark.ml.classification import NaiveBayes
@@ -28,10 +29,11 @@ from tabsmith.session import checkpoint_dir
 from tabsmith.sources import fixtures as X
 
 # registered model keys use the reference sizes (100 trees or rounds);
-# searches are capped (tune.FAST_CAPS: <=20 trees or rounds, depth <=8)
-# because the reference grids reach 300 rounds x 5 settings x 3 folds
+# tune_grid, tune_random and tuning_results search the full translated grids; tune_top3,
+# which searches three models, bounds sizes by tune.FAST_CAPS (<=20 trees or rounds,
+# depth <=8): its grids reach 300 rounds x 5 settings x 3 folds a model
 PROFILE = "reference"
-TUNING_CAPS = False
+TOP3_CAPS = G.FAST_CAPS
 
 
 @lru_cache(maxsize=4)
@@ -163,11 +165,7 @@ def _tuning(spark, sf, name, search):
     specs = K.classifiers(p.n_train, len(p.prep.target_levels), len(p.prep.selected), PROFILE)
     est = next(s.estimator for s in specs if s.name == name).copy()
     grid = G.CLASSIFICATION_GRIDS[G.SLOT_NAMES.get(name, name)]
-    return G.tune_model(est, grid, p.train, "classification", search, caps=_caps())
-
-
-def _caps():
-    return G.FAST_CAPS if TUNING_CAPS else None
+    return G.tune_model(est, grid, p.train, "classification", search)
 
 
 def _estimator_of(r, name):
@@ -209,15 +207,22 @@ def q_tune_top3(spark, sf):
     only when its test accuracy is strictly higher, rank again."""
     r = _run(spark, sf, "classification")
     top = [row["model"] for row in L.top_models(r.leaderboard).orderBy("rank").collect()]
-    tuned_preds = None
-    for name in top:
+
+    def tuned_predictions(name):
         est = _estimator_of(r, name)
         grid = G.CLASSIFICATION_GRIDS.get(G.SLOT_NAMES.get(name, name))
         if est is None or grid is None:
-            continue
+            return None
         search = "grid" if name in G.GRID_SEARCHED else "random"
-        res = G.tune_model(est, grid, r.train, "classification", search, caps=_caps())
-        p = K._ml_predict(True)(res["best_model"], r.test).select("row_key", F.lit(name).alias("model"), "label", "prediction", "score")
+        res = G.tune_model(est, grid, r.train, "classification", search, caps=TOP3_CAPS)
+        return K._ml_predict(True)(res["best_model"], r.test).select(
+            "row_key", F.lit(name).alias("model"), "label", "prediction", "score")
+
+    # the searches are independent: their jobs share the cluster
+    with ThreadPoolExecutor(max_workers=len(top) or 1) as pool:
+        parts = [p for p in pool.map(tuned_predictions, top) if p is not None]
+    tuned_preds = None
+    for p in parts:
         tuned_preds = p if tuned_preds is None else tuned_preds.unionByName(p)
     if tuned_preds is None:
         return rounded(r.leaderboard.select("model", F.lit("original").alias("version"), "accuracy", "rank"))
