@@ -48,7 +48,9 @@ def merged(df: DataFrame, by: list[str], sketch: str = "sketch", k: int = K) ->
     """``by`` and the sketch of all rows of a group. Hashes are made distinct
     and cut to ``k`` a task before the last shuffle, so a hot group costs no
     more than another."""
-    values = df.select(*by, F.explode(sketch).alias("__h")).distinct()
+    # outer: else Spark infers a filter on the array and pushes the whole sketch
+    # into it, below the columns that keep its words from being split again
+    values = df.select(*by, F.explode_outer(sketch).alias("__h")).where("__h IS NOT NULL").distinct()
     first = Window.partitionBy(*by).orderBy("__h")
     return values.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= k) \
         .groupBy(*by).agg(F.sort_array(F.collect_list("__h")).alias(sketch))
