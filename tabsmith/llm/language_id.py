@@ -10,14 +10,16 @@ probabilities a gram, so a text costs one lookup a character for a gram that
 any language knows.
 
 The language with the lowest cross-entropy a character is chosen. Rejection is
-calibrated on training texts: beyond ``Z`` standard deviations of their
-cross-entropy under the chosen language, with a spread for short texts from
-the variance of single characters, a text is rejected; so are texts without a
-letter.
+calibrated on all training texts, by one aggregate: beyond ``Z`` standard
+deviations of their cross-entropy under the chosen language, with a spread for
+short texts from the variance of single characters, a text is rejected; so are
+texts without a letter.
 
-Bounds: a language keeps at most ``SLOTS`` 4-grams (one, the most frequent, for
-each hash slot), so what is collected and broadcast is bounded by
-languages x SLOTS whatever the corpus; more than ``MAX_LANGUAGES`` labels fail.
+Every 4-gram counts. Up to ``WHOLE_CELLS`` (counts x languages) the tables are
+collected and broadcast. Beyond, ``Blocks`` keeps all orders, discounts and
+context sums as tables in the shared folder: the grams of the texts at hand get
+their probabilities by joins, order after order, and meet the texts in buckets
+of rows. More than ``MAX_LANGUAGES`` labels fail.
 
 Cases: a null text or one without a letter is ``und`` with score 0; equal
 cross-entropies give the first label in order; repeated rows count as often as
@@ -27,6 +29,7 @@ kept where named and never read.
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -35,16 +38,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsmith.llm.common import Hashed, small_batches
+from tabsmith.llm.common import Hashed, input_bytes, small_batches, stored
 
 ORDER = 4
-SLOTS = 1 << 20
+#: Counts of 4-grams times languages up to which every task holds the models.
+WHOLE_CELLS = 1 << 22
+#: 4-grams that a counting task holds before it hands them on.
+HELD = 1 << 21
+#: Texts of one task where the models are joined, for up to four languages.
+BUCKET_BYTES = 8 << 20
 MAX_LANGUAGES = 256
-#: Training texts that set the rejection limits and the scale of scores, at most about.
-CALIBRATION_ROWS = 20_000
 Z = 8.0
 #: Least deviation of a language's cross-entropies, in nats: texts that mix languages are no noise.
 MIN_SPREAD = 0.2
+#: Scales of scores that calibration tries.
+SCALES = [2.0 ** (k / 2) for k in range(-2, 15)]
 STEP_CHARS = 1 << 19
 UNKNOWN = "und"
 
@@ -102,7 +110,7 @@ def count_grams(docs: DataFrame, lang: str, text: str) -> DataFrame:
                         both, back = np.unique(np.concatenate((old, g)), return_inverse=True)
                         g, n = both, np.bincount(back, np.concatenate((many, n)), len(both)).astype(np.int64)
                     total[name] = g, n
-            if sum(len(g) for g, _ in total.values()) > 2 * SLOTS:
+            if sum(len(g) for g, _ in total.values()) > HELD:
                 yield from _counted(total)
                 total = {}
         yield from _counted(total)
@@ -118,6 +126,38 @@ def _counted(total):
                                              names=["lang", "gram", "n"])
 
 
+class Limits:
+    """What calibration tells of each language: mean and spread of its
+    cross-entropies, variance of its characters; and the scale of scores."""
+
+    def __init__(self, langs: list[str]):
+        self.langs = langs
+        self.mean = np.zeros(len(langs))
+        self.spread = np.full(len(langs), np.inf)
+        self.noise = np.zeros(len(langs))
+        self.scale = 10.0
+
+
+def discount(ones: int, twos: int) -> float:
+    return ones / (ones + 2 * twos) if ones and twos else 0.5
+
+
+def entropies(texts: list[str | None], k: int, logs_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cross-entropy by language, variance of it by language, symbols) of each
+    text; ``logs_of`` gives the log probabilities of packed 4-grams."""
+    packed, at = grams([plain(t) for t in texts])
+    size = at[1:] - at[:-1]
+    total, square = np.zeros((len(texts), max(k, 1))), np.zeros((len(texts), max(k, 1)))
+    some = size > 0
+    if some.any() and k:
+        logs = logs_of(packed)
+        total[some] = np.add.reduceat(logs, at[:-1][some], axis=0, dtype=np.float64)
+        square[some] = np.add.reduceat(logs * logs, at[:-1][some], axis=0, dtype=np.float64)
+    n = np.maximum(size, 1)[:, None]
+    entropy = -total / n
+    return entropy, np.maximum(square / n - entropy ** 2, 0), size
+
+
 class Model:
     """Kneser-Ney models of several languages in shared tables."""
 
@@ -138,8 +178,7 @@ class Model:
                 ctx, where = np.unique(g >> np.uint64(16), return_inverse=True)
                 total = np.bincount(where, c)
                 types = np.bincount(where)
-                ones, twos = int((c == 1).sum()), int((c == 2).sum())
-                cut = ones / (ones + 2 * twos) if ones and twos else 0.5
+                cut = discount(int((c == 1).sum()), int((c == 2).sum()))
                 share[np.searchsorted(keys, g), j] = np.maximum(c - cut, 0) / total[where]
                 gamma[np.searchsorted(contexts, ctx), j] = cut * types / total
             spot = np.searchsorted(contexts, keys >> np.uint64(16))
@@ -149,10 +188,7 @@ class Model:
                 below = np.exp(self._logs(keys & np.uint64((1 << 16 * (n - 1)) - 1), n - 1))
             self.tables[n] = Hashed(keys, np.log(share + gamma[spot] * below).astype(np.float32))
             self.back[n] = Hashed(contexts, np.log(gamma).astype(np.float32))
-        self.mean = np.zeros(k)
-        self.spread = np.full(k, np.inf)
-        self.noise = np.zeros(k)
-        self.scale = 10.0
+        self.limits = Limits(self.langs)
 
     @staticmethod
     def _orders(g: np.ndarray, n: np.ndarray):
@@ -187,90 +223,179 @@ class Model:
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(cross-entropy by language, variance of it by language, symbols) of each text."""
-        packed, at = grams([plain(t) for t in texts])
-        size = at[1:] - at[:-1]
-        k = max(len(self.langs), 1)
-        total, square = np.zeros((len(texts), k)), np.zeros((len(texts), k))
-        some = size > 0
-        if some.any() and self.langs:
-            logs = self._logs(packed, ORDER)
-            total[some] = np.add.reduceat(logs, at[:-1][some], axis=0, dtype=np.float64)
-            square[some] = np.add.reduceat(logs * logs, at[:-1][some], axis=0, dtype=np.float64)
-        n = np.maximum(size, 1)[:, None]
-        entropy = -total / n
-        return entropy, np.maximum(square / n - entropy ** 2, 0), size
-
-
-def fit(docs: DataFrame, train: Column, lang: str = "lang", text: str = "text", key: str = "doc_id") -> Model:
-    """Models from the rows for which ``train`` holds, calibrated on some of them."""
+        return entropies(texts, len(self.langs), lambda packed: self._logs(packed, ORDER))
+
+    def through(self, source: DataFrame, made, schema: T.StructType) -> DataFrame:
+        """What ``made(score, batch)`` yields for the batches of ``source``. No shuffle."""
+        sent = source.sparkSession.sparkContext.broadcast(self)
+
+        def run(batches):
+            for batch in batches:
+                yield from made(sent.value.score, batch)
+
+        return source.mapInArrow(run, schema)
+
+
+class Blocks:
+    """The models of ``Model`` as tables in the shared folder, for any number of
+    grams: counts of each order, and totals and kinds of each context."""
+
+    def __init__(self, counts: DataFrame, langs: list[str]):
+        self.langs, self.limits = langs, Limits(langs)
+        self.cuts, self.grams, self.contexts = {}, {}, {}
+        place = F.from_json(F.lit(json.dumps({name: j for j, name in enumerate(langs)})), "map<string,int>")
+        own = counts.select(F.try_element_at(place, F.col("lang")).alias("j"), "gram", "n")
+        by_lang = lambda *values: F.map_from_entries(F.collect_list(F.struct("j", *values)))
+        for n in range(ORDER, 0, -1):
+            if n < ORDER:
+                own = own.groupBy("j", _suffix(n).alias("gram")).agg(F.count("*").alias("n"))
+            own = stored(own, f"order{n}")
+            self.cuts[n] = [0.5] * len(langs)
+            for r in own.groupBy("j").agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).collect():
+                self.cuts[n][r["j"]] = discount(r["ones"], r["twos"])
+            self.grams[n] = stored(own.groupBy("gram").agg(by_lang("n").alias("counts")), f"grams{n}")
+            sums = own.groupBy("j", _context().alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("types"))
+            self.contexts[n] = stored(sums.groupBy("context").agg(by_lang(F.struct("total", "types")).alias("sums")), f"contexts{n}")
+
+    def probabilities(self, wanted: DataFrame) -> DataFrame:
+        """(gram, logs): log probabilities by language of distinct 4-grams."""
+        levels = {ORDER: wanted}
+        for n in range(ORDER - 1, 0, -1):
+            levels[n] = levels[n + 1].select(_suffix(n).alias("gram")).distinct()
+        out = None
+        for n in range(1, ORDER + 1):
+            rows = levels[n].join(self.grams[n], "gram", "left").withColumn("context", _context()) \
+                .join(self.contexts[n], "context", "left")
+            if n == 1:
+                rows = rows.withColumn("p", F.array_repeat(F.lit(2.0 ** -16), len(self.langs)))
+            else:
+                rows = rows.withColumn("below", _suffix(n - 1)).join(out.withColumnRenamed("gram", "below"), "below")
+            out = stored(rows.select("gram", F.transform("p", _interpolated(self.cuts[n])).alias("p")), f"probabilities{n}")
+        return out.select("gram", F.transform("p", lambda p: F.log(p).cast("float")).alias("logs"))
+
+    def through(self, source: DataFrame, made, schema: T.StructType) -> DataFrame:
+        """As of ``Model``. Rows are dealt into buckets by their place, so neither
+        an id nor a text that is frequent makes one large; each bucket's grams
+        are joined to the models."""
+        k, last = len(self.langs), source.columns[-1]
+        buckets = max(1, input_bytes(source) * max(k, 4) // (4 * BUCKET_BYTES))
+        # written first: a repeated task must deal its rows alike
+        rows = stored(source.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)).alias("bucket"), "*"), "texts")
+
+        def needs(batches):
+            for batch in batches:
+                bucket, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+                for i, j in _steps(texts):
+                    packed, at = grams([plain(t) for t in texts[i:j]])
+                    b = np.repeat(bucket[i:j], at[1:] - at[:-1])
+                    order = np.lexsort((packed, b))
+                    packed, b = packed[order], b[order]
+                    first = np.ones(len(b), bool)
+                    first[1:] = (packed[1:] != packed[:-1]) | (b[1:] != b[:-1])
+                    yield pa.RecordBatch.from_arrays([pa.array(b[first]), pa.array(packed[first].view(np.int64))], names=["bucket", "gram"])
+
+        wanted = stored(rows.select("bucket", last).mapInArrow(needs, "bucket long, gram long").distinct(), "wanted")
+        found = wanted.join(self.probabilities(wanted.select("gram").distinct()), "gram").select("bucket", "gram", "logs")
+        names = schema.names
+
+        def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+            own = found.column("gram").to_numpy().view(np.uint64)
+            order = np.argsort(own)
+            own = own[order]
+            logs = found.column("logs").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(own), k)[order]
+            score = lambda t: entropies(t, k, lambda packed: logs[np.searchsorted(own, packed)])
+            out = [b for batch in texts.drop_columns(["bucket"]).to_batches() for b in made(score, batch)]
+            return pa.Table.from_batches(out).select(names)
+
+        return rows.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(run, schema)
+
+
+def _interpolated(cuts: list[float]):
+    """The probability of a language, from that of the order below."""
+    def step(p, j):
+        at, cut = F.try_element_at("sums", j), F.get(F.array(*map(F.lit, cuts)), j)
+        many = F.coalesce(F.try_element_at("counts", j), F.lit(0))
+        return F.when(at.isNull(), p).otherwise((F.greatest(many - cut, F.lit(0.0)) + cut * at["types"] * p) / at["total"])
+
+    return step
+
+
+def _suffix(n: int) -> Column:
+    return F.col("gram").bitwiseAND(F.lit((1 << 16 * n) - 1))
+
+
+def _context() -> Column:
+    return F.shiftrightunsigned("gram", 16)
+
+
+def fit(docs: DataFrame, train: Column, lang: str = "lang", text: str = "text") -> Model | Blocks:
+    """Models from the rows for which ``train`` holds, calibrated on all of them."""
     small_batches(docs.sparkSession)
     rows = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    slot = F.shiftrightunsigned(F.xxhash64("gram"), 64 - SLOTS.bit_length() + 1)
-    kept = count_grams(rows, lang, text).groupBy("lang", slot.alias("slot")).agg(
-        F.max(F.struct("n", "gram")).alias("g")).select("lang", "g.gram", "g.n")
     many = rows.select(lang).distinct().limit(MAX_LANGUAGES + 1).count()
     if many > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    table = kept.toArrow()
-    names = np.array(table.column("lang").to_pylist(), object)
-    g, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    counts = {}
-    for name in sorted(set(names)):
-        mine = names == name
-        order = np.argsort(g[mine])
-        counts[name] = g[mine][order], n[mine][order]
-    model = Model(counts)
-    if counts:
-        _calibrate(model, rows, lang, text, key)
+    kept = stored(count_grams(rows, lang, text), "grams")
+    langs = sorted(r[0] for r in kept.select("lang").distinct().collect())
+    if kept.count() * len(langs) > WHOLE_CELLS:
+        model = Blocks(kept, langs)
+    else:
+        table = kept.toArrow()
+        names = np.array(table.column("lang").to_pylist(), object)
+        g, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
+        counts = {}
+        for name in langs:
+            mine = names == name
+            order = np.argsort(g[mine])
+            counts[name] = g[mine][order], n[mine][order]
+        model = Model(counts)
+    if langs:
+        _calibrate(model, rows, lang, text)
     return model
 
 
-def _calibrate(model: Model, rows: DataFrame, lang: str, text: str, key: str) -> None:
+def _calibrate(model: Model | Blocks, rows: DataFrame, lang: str, text: str) -> None:
     """Mean and spread of cross-entropies by language, and the scale at which
-    scores are likeliest, from about CALIBRATION_ROWS training rows."""
-    total = rows.count()
-    share = min(1.0, CALIBRATION_ROWS / max(total, 1))
-    own = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("calibration")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
-    sample = rows.where(own).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    sent = rows.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for batch in batches:
-            labels, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, j in _steps(texts):
-                entropy, noise, size = sent.value.score(texts[i:j])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(labels[i:j]), pa.array(entropy.tolist(), pa.list_(pa.float64())),
-                     pa.array(noise[np.arange(j - i), entropy.argmin(axis=1)]), pa.array(size)],
-                    names=["lang", "entropy", "noise", "size"])
-
-    got = sample.mapInArrow(run, "lang string, entropy array<double>, noise double, size long").where("size > 0").toArrow()
-    if not got.num_rows:
+    scores are likeliest, from all training rows: sums of each batch, summed."""
+    langs, sums = model.langs, ["n", "low", "square", "noise", *[f"loss{k}" for k in range(len(SCALES))]]
+
+    def made(score, batch):
+        labels, texts = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
+        for i, j in _steps(texts):
+            entropy, noise, size = score(texts[i:j])
+            some = size > 0
+            entropy, noise = entropy[some], noise[some]
+            label = np.searchsorted(langs, labels[i:j][some].astype(str))
+            best, low = entropy.argmin(axis=1), entropy.min(axis=1)
+            values = [np.ones(len(best)), low, low ** 2, noise[np.arange(len(best)), best]]
+            for scale in SCALES:
+                z = -scale * (entropy - low[:, None])
+                values.append(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), label])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(langs))), *(pa.array(np.bincount(best, v, len(langs))) for v in values)],
+                                             names=["best", *sums])
+
+    schema = T.StructType([T.StructField("best", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in sums]])
+    source = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    got = model.through(source, made, schema).groupBy("best").agg(*[F.sum(c).alias(c) for c in sums]).toArrow()
+    table = np.zeros((len(langs), len(sums)))
+    table[got.column("best").to_numpy()] = np.stack([got.column(c).to_numpy() for c in sums], axis=1)
+    whole, limits = table.sum(axis=0), model.limits
+    if not whole[0]:
         return
-    entropy = np.array(got.column("entropy").to_pylist())
-    label = np.searchsorted(model.langs, got.column("lang").to_pylist())
-    best, size, noise = entropy.argmin(axis=1), got.column("size").to_numpy(), got.column("noise").to_numpy()
-    for k in range(len(model.langs)):
-        mine = best == k
-        if mine.sum() < 10:  # too few to tell: as all languages together
-            mine = np.ones(len(best), bool)
-        low = entropy[mine].min(axis=1)
-        model.mean[k], model.spread[k] = low.mean(), max(low.std(), MIN_SPREAD)
-        model.noise[k] = noise[mine].mean()
-
-    def loss(scale):
-        z = -scale * (entropy - entropy.min(axis=1, keepdims=True))
-        return (np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), label]).mean()
-
-    model.scale = min((2.0 ** (k / 2) for k in range(-2, 15)), key=loss)
-
-
-def identified(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns, lang_pred, score, rejected, cross_entropy. No shuffle."""
+    for k in range(len(langs)):
+        n, low, square, noise = (table[k] if table[k, 0] >= 10 else whole)[:4]  # too few to tell: as all languages together
+        limits.mean[k] = low / n
+        limits.spread[k] = max(max(square / n - (low / n) ** 2, 0.0) ** 0.5, MIN_SPREAD)
+        limits.noise[k] = noise / n
+    limits.scale = SCALES[int(whole[4:].argmin())]
+
+
+def identified(spark: SparkSession, docs: DataFrame, model: Model | Blocks, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns, lang_pred, score, rejected, cross_entropy. No shuffle unless the models are ``Blocks``."""
     return _identified(spark, docs, model, keep, text).toDF(*keep, "lang_pred", "score", "rejected", "cross_entropy")
 
 
-def accepted(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def accepted(spark: SparkSession, docs: DataFrame, model: Model | Blocks, text: str = "text") -> DataFrame:
     """The rows that are not rejected, with all their columns. Without any
     language to learn from only texts without a letter are rejected."""
     found = _identified(spark, docs, model, docs.columns, text).where("NOT rejected")
@@ -280,35 +405,35 @@ def accepted(spark: SparkSession, docs: DataFrame, model: Model, text: str = "te
 def _identified(spark, docs, model, keep, text) -> DataFrame:
     """As ``identified``; the ``keep`` columns are called c0, c1, ..."""
     small_batches(spark)
-    sent = spark.sparkContext.broadcast(model)
+    limits = model.limits
     names = [f"c{k}" for k in range(len(keep))]
     fields = [T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, keep)]
     fields += [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
                T.StructField("rejected", T.BooleanType()), T.StructField("cross_entropy", T.DoubleType())]
+    columns = [f.name for f in fields]
 
-    def run(batches):
-        m = sent.value
+    def made(score, batch):
+        m = limits
         labels = np.array([*m.langs, UNKNOWN], object)
-        for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            for i, j in _steps(texts):
-                entropy, _, size = m.score(texts[i:j])
-                best = entropy.argmin(axis=1)
-                low = entropy[np.arange(j - i), best]
-                share = 1 / np.exp(-m.scale * (entropy - low[:, None])).sum(axis=1)
-                empty = size == 0
-                none = empty | (len(m.langs) == 0)
-                best[none] = len(m.langs)
-                if m.langs:
-                    k = np.minimum(best, len(m.langs) - 1)
-                    limit = m.mean[k] + Z * np.sqrt(m.spread[k] ** 2 + m.noise[k] / np.maximum(size, 1))
-                    rejected = empty | (low > limit)
-                else:
-                    rejected = empty
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(i, j - i) for c in range(len(keep))), pa.array(labels[best], pa.string()),
-                     pa.array(np.where(none, 0.0, share)), pa.array(rejected), pa.array(np.where(none, None, low), pa.float64())],
-                    names=[f.name for f in fields])
+        texts = batch.column(len(keep)).to_pylist()
+        for i, j in _steps(texts):
+            entropy, _, size = score(texts[i:j])
+            best = entropy.argmin(axis=1)
+            low = entropy[np.arange(j - i), best]
+            share = 1 / np.exp(-m.scale * (entropy - low[:, None])).sum(axis=1)
+            empty = size == 0
+            none = empty | (len(m.langs) == 0)
+            best[none] = len(m.langs)
+            if m.langs:
+                k = np.minimum(best, len(m.langs) - 1)
+                limit = m.mean[k] + Z * np.sqrt(m.spread[k] ** 2 + m.noise[k] / np.maximum(size, 1))
+                rejected = empty | (low > limit)
+            else:
+                rejected = empty
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).slice(i, j - i) for c in range(len(keep))), pa.array(labels[best], pa.string()),
+                 pa.array(np.where(none, 0.0, share)), pa.array(rejected), pa.array(np.where(none, None, low), pa.float64())],
+                names=columns)
 
     source = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, keep)], F.col(f"`{text}`").cast("string").alias("text"))
-    return source.mapInArrow(run, T.StructType(fields))
+    return model.through(source, made, T.StructType(fields))

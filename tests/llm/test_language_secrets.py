@@ -88,6 +88,38 @@ def test_other_script_is_rejected(spark):
     assert got == {1: False, 2: True}
 
 
+def test_blocks_equal_whole_model(spark, monkeypatch):
+    """Models beyond what a task may hold keep every 4-gram and give the same results."""
+    rng = np.random.default_rng(3)
+    noise = [("".join(map(chr, rng.integers(0x4E00, 0x9FA5, 400))), "zh") for _ in range(40)]
+    docs = odd(spark, [(60 + k, t, lang, "a", 1) for k, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 20 + noise)])
+    docs = clashing(docs).localCheckpoint()
+    train = ~held_out(F.col("doc_id"), 3, 1)
+    whole = language_id.fit(docs, train)
+    monkeypatch.setattr(language_id, "WHOLE_CELLS", 0)
+    monkeypatch.setattr(language_id, "BUCKET_BYTES", 20_000)
+    blocks = language_id.fit(docs, train)
+    assert isinstance(whole, language_id.Model) and isinstance(blocks, language_id.Blocks)
+    kept = language_id.count_grams(docs.where(train), "lang", "text").where("lang = 'zh'").count()
+    assert kept > 10_000 and blocks.grams[4].where("map_contains_key(counts, 3)").count() == kept and blocks.langs[3] == "zh"
+    for a, b in ((whole.limits.mean, blocks.limits.mean), (whole.limits.spread, blocks.limits.spread), (whole.limits.noise, blocks.limits.noise)):
+        assert np.allclose(a, b, rtol=1e-4, atol=1e-4)
+    key = lambda r: (str(r["doc_id"]), r["text"] or "", r["lang_pred"])
+    got, expected = (sorted(language_id.identified(spark, docs, m, ["doc_id", "text"]).collect(), key=key) for m in (blocks, whole))
+    assert len(got) == len(expected) == docs.count()
+    for g, e in zip(got, expected):
+        assert key(g) == key(e) and g["rejected"] == e["rejected"] and abs(g["score"] - e["score"]) < 1e-3
+        assert (g["cross_entropy"] is None) == (e["cross_entropy"] is None) and abs((g["cross_entropy"] or 0) - (e["cross_entropy"] or 0)) < 1e-4
+
+
+def test_calibration_sees_every_training_row(spark):
+    rows = [(60 + k, f"the cat and the dog number {chr(97 + k % 26)} went to town", "en", "a", 1) for k in range(300)]
+    docs = odd(spark, rows).where("doc_id >= 60")
+    model = language_id.fit(docs, F.lit(True))
+    low = [r["cross_entropy"] for r in language_id.identified(spark, docs, model, ["doc_id"]).collect()]
+    assert abs(model.limits.mean[0] - np.mean(low)) < 1e-9
+
+
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A)
 
 
