@@ -52,11 +52,6 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % mod == rest
 
 
-def doc_key(doc_id: Column, text: Column) -> Column:
-    """Well-spread 64-bit key of a row; rows without an id spread by their text."""
-    return F.xxhash64(F.when(doc_id.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(doc_id)))
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null has length zero."""
     column = column.cast(pa.large_string()).fill_null("")

@@ -8,6 +8,9 @@ maxima over 1,024 equal-width buckets (partial aggregation map-side, so the
 output is ranges x 1,024 rows whatever the data). The range then becomes
 the [min, max] of the bucket that holds the rank. When a range holds few
 values, or one value, those values are fetched and ordered on the driver.
+Infinities and NaN (the largest value, as Spark orders it) are counted and
+split off first. The least and the largest finite value of a range are never in
+one bucket, so a range always shrinks and no more than few values are fetched.
 Quantiles use linear interpolation between the two neighbouring ranks,
 like ``percentile`` and pandas.
 
@@ -55,6 +58,24 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
 
     # state per unresolved target: (range min, range max, values below the range)
     state = {t: (float(stats[t[0]][1]), float(stats[t[0]][2]), 0) for t in targets}
+    odd = sorted({t[0] for t, (a, b, _) in state.items() if not (math.isfinite(a) and math.isfinite(b))})
+    if odd:
+        aggs = []
+        for i, c in enumerate(odd):
+            d = q(c).cast("double")
+            finite = F.when(~F.isnan(d) & (F.abs(d) < F.lit(math.inf)), d)
+            aggs += [F.count_if(d == F.lit(-math.inf)).alias(f"l{i}"), F.count(finite).alias(f"n{i}"),
+                     F.count_if(d == F.lit(math.inf)).alias(f"h{i}"), F.min(finite).alias(f"a{i}"), F.max(finite).alias(f"b{i}")]
+        r = df.agg(*aggs).collect()[0]
+        at = {c: i for i, c in enumerate(odd)}
+        for t in [t for t in state if t[0] in at]:
+            i = at[t[0]]
+            low, n, high = r[f"l{i}"], r[f"n{i}"], r[f"h{i}"]
+            if low <= t[1] < low + n:
+                state[t] = (r[f"a{i}"], r[f"b{i}"], low)
+            else:
+                targets[t] = -math.inf if t[1] < low else math.inf if t[1] < low + n + high else math.nan
+                del state[t]
     for t, (a, b, _) in list(state.items()):
         if a == b:
             targets[t] = a
@@ -66,7 +87,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
         entries = []
         for (c, a, b), i in rid.items():
             x = q(c).cast("double")
-            bucket = F.least(F.floor((x - F.lit(a)) / F.lit(b - a) * F.lit(BUCKETS)).cast("int"),
+            part = 1.0 if math.isfinite(b - a) else 0.5  # the width itself may overflow
+            bucket = F.least(F.floor((x * F.lit(part) - F.lit(a * part)) / F.lit(b * part - a * part) * F.lit(BUCKETS)).cast("int"),
                              F.lit(BUCKETS - 1))
             entries.append(F.when((x >= F.lit(a)) & (x <= F.lit(b)),
                                   F.struct(F.lit(i).alias("r"), bucket.alias("k"), x.alias("x"))))
@@ -84,7 +106,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                 if acc + n > t[1]:
                     if lo == hi:
                         targets[t] = lo
-                    elif n <= FINAL_VALUES or (lo, hi) == (a, b):
+                    elif n <= FINAL_VALUES:
                         finals[t] = (lo, hi, acc)
                     else:
                         nxt[t] = (lo, hi, acc)
@@ -93,7 +115,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
         state = nxt
 
     if finals:
-        # each final range holds at most FINAL_VALUES values (or cannot shrink further)
+        # each final range holds at most FINAL_VALUES values
         conds = [(q(c).cast("double") >= F.lit(lo)) & (q(c).cast("double") <= F.lit(hi))
                  for (c, _), (lo, hi, _) in finals.items()]
         items = list(finals.items())
@@ -119,7 +141,9 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
             lo = math.floor(h)
             v = targets[(c, lo)]
             if h > lo:
-                v = v + (h - lo) * (targets[(c, lo + 1)] - v)
+                w = targets[(c, lo + 1)]
+                if v != w:
+                    v = v + (h - lo) * (w - v) if math.isfinite(w - v) else (1 - (h - lo)) * v + (h - lo) * w
             res.append(float(v))
         out[c] = res
     return out

@@ -143,6 +143,22 @@ def information(pairs, own):
     return f(t) - f(t.sum(axis=0)) - f(t.sum(axis=1))
 
 
+def test_one_id_is_many_buckets(spark, monkeypatch):
+    """Rows of one id, or of one text without an id, are no task of their own."""
+    monkeypatch.setattr(brown_lm, "BUCKET_BYTES", 1000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        same = [(7 if k % 2 else None, "one text of many rows", "en", "a", 1) for k in range(400)]
+        docs = odd(spark, same).where("text LIKE 'one text%'").repartition(4)
+        model, rest = brown_lm.fit(docs, F.lit(True))
+        got = brown_lm.scored(spark, docs, model, rest, ["doc_id"]).groupBy("doc_id", F.spark_partition_id().alias("p")).count().collect()
+        assert sum(r["count"] for r in got) == 400
+        for own in (7, None):
+            assert max(r["count"] for r in got if r["doc_id"] == own) < 150
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_exchange_finds_hidden_classes_and_never_loses():
     rng = np.random.default_rng(4)
     hidden = np.concatenate(([0], rng.integers(1, 4, 60)))

@@ -48,3 +48,28 @@ def test_describe_numeric_large_path_equals_small(spark, monkeypatch):
     for c in ["a", "b"]:
         for k in ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]:
             assert small[c][k] == pytest.approx(big[c][k], rel=1e-12)
+
+
+def test_infinities_and_nan_fetch_few_values(spark, monkeypatch):
+    """Ranges shrink beside infinities, NaN and widths that overflow; what the driver fetches stays bounded."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    monkeypatch.setattr(Q, "BUCKETS", 16)
+    monkeypatch.setattr(Q, "FINAL_VALUES", 20)
+    inf, nan = float("inf"), float("nan")
+    base = [float(i * 7919 % 4001) for i in range(2000)]
+    odd = {"one": [inf], "both": [-inf] * 3 + [inf], "many": [-inf] * 900 + [inf] * 1200, "nans": [nan] * 5 + [inf], "wide": [1.7e308, -1.7e308],
+           "only": [inf] * 4000}
+    rows = [tuple(float(x) if x is not None else None for x in r)
+            for r in zip(*[(v + (base if k != "only" else []) + [None] * 5000)[:5000] for k, v in odd.items()])]
+    df = spark.createDataFrame(rows, ", ".join(f"{k} double" for k in odd)).repartition(4).cache()
+    probs = [0.001, 0.25, 0.5, 0.75, 0.999]
+    want = {k: spark.createDataFrame([(x,) for x in map(lambda r: r[i], rows) if x is not None], "x double").agg(F.percentile("x", probs)).first()[0]
+            for i, k in enumerate(odd)}
+    fetched, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: fetched.append(collect(self)) or fetched[-1])
+    got = Q.exact_quantiles(df, list(odd), probs)
+    assert max(map(len, fetched)) <= 20 * 10 * len(odd)
+    for k in odd:
+        assert got[k] == pytest.approx(want[k], rel=1e-9, nan_ok=True)
+    one = Q.exact_quantiles(df, ["one"], [0.5])
+    assert one["one"] == pytest.approx([want["one"][2]]) and len(fetched[-1]) <= 40
