@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import brown_lm, byte_bpe, decontaminate, html_extract, language_id, line_dedup, secrets, simhash, sketch, toxicity
+from tabsmith.llm import brown_lm, byte_bpe, decontaminate, fill_middle, html_extract, language_id, line_dedup, secrets, simhash, sketch, toxicity
 from tabsmith.llm.common import held_out, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -61,6 +61,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_report(table(spark, sf_dir, "documents"))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.report(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -72,4 +76,5 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_simhash": op9_simhash,
     "op10_fingerprints": op10_fingerprints,
+    "op13_fill_middle": op13_fill_middle,
 }
