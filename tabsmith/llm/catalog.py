@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import brown_lm, byte_bpe, decontaminate, fill_middle, html_extract, language_id, line_dedup, secrets, simhash, sketch, toxicity
+from tabsmith.llm import brown_lm, byte_bpe, decontaminate, divergence, fill_middle, html_extract, language_id, line_dedup, packing, secrets, simhash, sketch, toxicity
 from tabsmith.llm.common import held_out, table
 
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -61,6 +62,14 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_report(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(spark, table(spark, sf_dir, "documents"), WORDS)
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.report(spark, table(spark, sf_dir, "documents"))
 
@@ -76,5 +85,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_simhash": op9_simhash,
     "op10_fingerprints": op10_fingerprints,
+    "op11_divergence": op11_divergence,
+    "op12_packing": op12_packing,
     "op13_fill_middle": op13_fill_middle,
 }
