@@ -79,29 +79,11 @@ def high_cardinality_columns(profile: TableProfile, skip: list[str],
         st = profile.columns[c]
         if c in skip or st.non_null == 0:
             continue
-        d = st.distinct if st.distinct is not None else st.approx_distinct
-        if d / profile.rows > threshold:
+        if st.distinct / profile.rows > threshold:
             out.append(c)
     return out
 
 
-def resolve_exact_distinct(df: DataFrame, profile: TableProfile, skip: list[str],
-                           threshold: float = CARDINALITY_THRESHOLD, margin: float = 0.1) -> None:
-    """High-cardinality columns carry only an approximate distinct count; fetch
-    exact counts (one aggregate) for those whose ratio is within ``margin``
-    of the threshold, so the decision is exact where it matters."""
-    from tabsmith.plans.profile import exact_distinct
-    near = []
-    for c in profile.categorical():
-        st = profile.columns[c]
-        if st.distinct is None and c not in skip and profile.rows:
-            ratio = st.approx_distinct / profile.rows
-            if abs(ratio - threshold) <= threshold * margin:
-                near.append(c)
-    for c, d in exact_distinct(df, near).items():
-        profile.columns[c].distinct = d
-
-
 def drop_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     keep = [c for c in df.columns if c not in set(columns)]
     return df.select(*[q(c) for c in keep])

@@ -3,8 +3,8 @@
 The IQR outlier test of the reference ("any value strictly outside
 Q1 - 1.5 IQR, Q3 + 1.5 IQR") reduces to ``min < lo or max > hi``, so the
 quartiles and extremes of the profile decide it without a second scan.
-Fills are ``coalesce`` expressions; medians are exact ``percentile`` up to
-the profile's row limit (``ml.feature.Imputer`` is approximate).
+Fills are ``coalesce`` expressions; medians are exact at any size
+(``ml.feature.Imputer`` is approximate).
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def numeric_fill_plan(profile: TableProfile, columns: list[str] | None = None) -
 def categorical_fill_plan(profile: TableProfile, columns: list[str] | None = None,
                           df: DataFrame | None = None) -> dict[str, tuple[str, str]]:
     """M4 decision: column -> (mode, report text). Ties: smallest value.
-    Columns too wide for collected value counts get their mode from a
+    A column whose most frequent value is long gets its mode from a
     grouped top-1 over ``df``."""
     from tabsmith.plans.profile import column_mode
     plan = {}

@@ -76,54 +76,39 @@ def profile_bytes(df: DataFrame) -> DataFrame:
     return _long(df, structs)
 
 
+QUARTILES = [0.25, 0.5, 0.75]
+
+
 def profile_preview(df: DataFrame, order_by: list[str] | None = None, n: int = 5) -> DataFrame:
     """First n rows; ordered by the given key so the answer is stable."""
     return (df.orderBy(*order_by) if order_by else df).limit(n)
 
 
-def describe_numeric(df: DataFrame, exact: bool = True, rows: int | None = None) -> DataFrame:
+def describe_numeric(df: DataFrame, exact: bool = True) -> DataFrame:
     """A8, numeric part: count, mean, sample std, min, quartiles, max.
 
-    Quartiles are exact. Small inputs use ``percentile`` in the same
-    aggregate; above the profile's cell limit the quartiles come from the
-    distributed range-narrowing search (no single-task merge) and are joined
-    to the one-pass moments. ``exact=False`` uses ``percentile_approx``."""
-    from tabsmith.plans.profile import EXACT_QUANTILE_CELL_LIMIT
+    The moments are one aggregate. Quartiles are exact at any size
+    (``operators.quantile``); ``exact=False`` takes ``percentile_approx``."""
+    from tabsmith.operators.quantile import exact_quantiles
     nums = numeric_columns(df)
-    if exact and nums:
-        rows = df.count() if rows is None else rows
-        if rows * len(nums) > EXACT_QUANTILE_CELL_LIMIT:
-            return _describe_numeric_large(df, nums)
     structs = []
     for c in nums:
         d = q(c).cast("double")
-        probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-        qs = F.percentile(d, probs) if exact else F.percentile_approx(d, probs, APPROX_ACCURACY)
         structs.append(F.struct(
             F.lit(c).alias("column"), F.count(d).cast("bigint").alias("count"),
             F.avg(d).alias("mean"), F.stddev_samp(d).alias("std"), F.min(d).alias("min"),
-            qs.alias("qs"), F.max(d).alias("max")))
+            (F.lit(None).cast("array<double>") if exact else F.percentile_approx(d, F.array(*[F.lit(p) for p in QUARTILES]), APPROX_ACCURACY)).alias("qs"),
+            F.max(d).alias("max")))
     out = _long(df, structs)
+    if exact:
+        found = exact_quantiles(df, nums, QUARTILES)
+        quartiles = df.sparkSession.createDataFrame([(c, v) for c, v in found.items()], "column string, qs array<double>")
+        out = out.drop("qs").join(F.broadcast(quartiles), "column")
     return out.select("column", "count", "mean", "std", "min",
                       F.col("qs")[0].alias("q25"), F.col("qs")[1].alias("q50"),
                       F.col("qs")[2].alias("q75"), "max")
 
 
-def _describe_numeric_large(df: DataFrame, nums: list[str]) -> DataFrame:
-    from tabsmith.operators.quantile import exact_quantiles
-    mom = _long(df, [F.struct(F.lit(c).alias("column"), F.count(q(c)).cast("bigint").alias("count"),
-                              F.avg(q(c).cast("double")).alias("mean"),
-                              F.stddev_samp(q(c).cast("double")).alias("std"),
-                              F.min(q(c).cast("double")).alias("min"),
-                              F.max(q(c).cast("double")).alias("max")) for c in nums]).collect()
-    stats = {r["column"]: (r["count"], r["min"], r["max"]) for r in mom}
-    qs = exact_quantiles(df, nums, [0.25, 0.5, 0.75], stats)
-    rows = [(r["column"], r["count"], r["mean"], r["std"], r["min"], *qs[r["column"]], r["max"]) for r in mom]
-    return df.sparkSession.createDataFrame(
-        rows, "column string, count bigint, mean double, std double, min double, q25 double, q50 double, "
-              "q75 double, max double")
-
-
 def describe_categorical(df: DataFrame) -> DataFrame:
     """A8, categorical part: count, unique, top (smallest on ties), freq.
 

@@ -1,149 +1,168 @@
-"""Exact quantiles at any size, without gathering a column in one task.
-
-``percentile`` merges a value->count map of the whole column in the final
-task of a global aggregate. Here each wanted rank is located by narrowing a
-value range: every level is one scan with an ``explode`` of the ranges a
-row falls into and a ``groupBy(range, bucket)`` of counts, minima and
-maxima over 1,024 equal-width buckets (partial aggregation map-side, so the
-output is ranges x 1,024 rows whatever the data). The range then becomes
-the [min, max] of the bucket that holds the rank. When a range holds few
-values, or one value, those values are fetched and ordered on the driver.
-Infinities and NaN (the largest value, as Spark orders it) are counted and
-split off first. The least and the largest finite value of a range are never in
-one bucket, so a range always shrinks and no more than few values are fetched.
-Quantiles use linear interpolation between the two neighbouring ranks,
-like ``percentile`` and pandas.
-
-A value shared by a third of the rows is one bucket whose minimum equals its
-maximum after at most a level or two, so heavy values end the search early.
+"""Exact quantiles at any size: a mergeable sketch picks bounds, counts confirm them.
+
+Every wanted pair of ranks is held by a range of values that is known to
+contain it. A round is two scans, each one aggregate for all columns and ranges:
+
+1. ``percentile_approx`` over the range's values proposes bounds a little below
+   and above the ranks (its summaries are merged map-side, its rank error is bounded);
+2. exact counts: below the lower bound, equal to it, between, equal to the
+   upper bound, and the least and largest value between.
+
+The counts tell on which of these parts a rank lies. On a bound, the value is
+found; between, the range shrinks to [least, largest] of what lies there, some
+thousandth of it; outside (the sketch was wrong) it shrinks to that side. A
+range of at most ``FINAL_VALUES`` values is fetched and ordered. Every round
+removes at least a bound's value from the range, so ties, however many, end the search
+rather than lengthen it. There is one path whatever the number of rows.
+
+Infinities need no care, as values are only compared; NaN (the largest value, as
+Spark orders it) is counted apart. Quantiles are interpolated linearly between
+the two neighbouring ranks, like ``percentile`` and pandas.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.plans.profile import q
+from tabsmith.functions.expr import quoted
 
-BUCKETS = 1024
+#: Values of a range up to which it is fetched.
 FINAL_VALUES = 10_000
+#: Accuracy of the sketch: ranks are off by at most 1 / ACCURACY of the values.
+ACCURACY = 10_000
+
+
+@dataclass
+class _Range:
+    column: str
+    ranks: tuple[int, ...]      # wanted, from 0 over the column's values but NaN
+    low: float | None           # None: unbounded
+    high: float | None
+    below: int                  # values under the range
+    size: int                   # values in it
+
+    def holds(self, x: Column) -> Column:
+        cond = x.isNotNull() & ~F.isnan(x)
+        if self.low is not None:
+            cond = cond & (x >= F.lit(self.low))
+        if self.high is not None:
+            cond = cond & (x <= F.lit(self.high))
+        return cond
+
+
+def _value(column: str) -> Column:
+    return quoted(column).cast("double")
+
+
+def _proposed(df: DataFrame, ranges: list[_Range]) -> list[tuple[float, float]]:
+    """Scan 1: bounds around the ranks of every range."""
+    aggs = []
+    for i, r in enumerate(ranges):
+        at = [(k - r.below) / r.size for k in (r.ranks[0], r.ranks[-1])]
+        slack = 2.0 / ACCURACY + 1.0 / r.size
+        probs = F.array(F.lit(max(0.0, at[0] - slack)), F.lit(min(1.0, at[1] + slack)))
+        x = _value(r.column)
+        aggs.append(F.percentile_approx(F.when(r.holds(x), x), probs, ACCURACY).alias(f"p{i}"))
+    row = df.agg(*aggs).first()
+    return [tuple(row[f"p{i}"]) for i in range(len(ranges))]
+
 
+def _counted(df: DataFrame, ranges: list[_Range], bounds) -> list[dict]:
+    """Scan 2: exact counts of every range's parts."""
+    aggs = []
+    for i, (r, (a, b)) in enumerate(zip(ranges, bounds)):
+        x, a, b = _value(r.column), F.lit(a), F.lit(b)
+        inside = r.holds(x)
+        between = F.when(inside & (x > a) & (x < b), x)
+        under, over = F.when(inside & (x < a), x), F.when(inside & (x > b), x)
+        aggs += [F.struct(F.count(under).alias("under"), F.max(under).alias("under_max"), F.count_if(inside & (x == a)).alias("at_low"),
+                          F.count(between).alias("between"), F.min(between).alias("least"), F.max(between).alias("largest"),
+                          F.count_if(inside & (x == b)).alias("at_high"), F.min(over).alias("over_min"), F.count(over).alias("over")).alias(f"c{i}")]
+    row = df.agg(*aggs).first()
+    return [row[f"c{i}"].asDict() for i in range(len(ranges))]
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    stats: dict | None = None) -> dict[str, list[float | None]]:
-    """{column: [quantile for each prob]} with linear interpolation.
-    ``stats`` may give {column: (non_null_count, min, max)} to skip a scan."""
-    if stats is None:
-        aggs = []
-        for i, c in enumerate(columns):
-            d = q(c).cast("double")
-            aggs += [F.count(d).alias(f"n{i}"), F.min(d).alias(f"a{i}"), F.max(d).alias(f"b{i}")]
-        r = df.agg(*aggs).collect()[0]
-        stats = {c: (int(r[f"n{i}"]), r[f"a{i}"], r[f"b{i}"]) for i, c in enumerate(columns)}
-
-    # wanted 0-based ranks per column
-    targets: dict[tuple[str, int], float | None] = {}
-    for c in columns:
-        n = stats[c][0]
+
+def _parts(r: _Range, a: float, b: float, c: dict) -> list[tuple[int, float | None, float | None]]:
+    """(size, lowest, highest) of the parts of a range in order."""
+    parts = [(c["under"], r.low, c["under_max"]), (c["at_low"], a, a)]
+    if a < b:
+        parts += [(c["between"], c["least"], c["largest"]), (c["at_high"], b, b)]
+    return [*parts, (c["over"], c["over_min"], r.high)]
+
+
+def _narrowed(r: _Range, a: float, b: float, c: dict, found: dict) -> list[_Range]:
+    """The ranges left for the ranks of ``r``; ranks on a single value go to ``found``."""
+    out, below = [], r.below
+    for size, low, high in _parts(r, a, b, c):
+        ranks = tuple(k for k in r.ranks if below <= k < below + size)
+        if ranks and low is not None and low == high:
+            found.update({(r.column, k): low for k in ranks})
+        elif ranks:
+            out.append(_Range(r.column, ranks, low, high, below, size))
+        below += size
+    return out
+
+
+def _fetched(df: DataFrame, ranges: list[_Range], found: dict) -> None:
+    """The values of small ranges, ordered here: at most FINAL_VALUES a range."""
+    entries = [F.when(r.holds(_value(r.column)), F.struct(F.lit(i).alias("r"), _value(r.column).alias("x"))) for i, r in enumerate(ranges)]
+    rows = df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).groupBy("e.r", "e.x").count().collect()
+    values: dict[int, list] = {}
+    for row in rows:
+        values.setdefault(row["r"], []).append((row["x"], row["count"]))
+    for i, r in enumerate(ranges):
+        at, ranks = r.below, list(r.ranks)
+        for x, n in sorted(values.get(i, [])):
+            while ranks and ranks[0] < at + n:
+                found[(r.column, ranks.pop(0))] = x
+            at += n
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+    """{column: [quantile for each prob]} with linear interpolation; None for a column without values."""
+    if not columns:
+        return {}
+    sizes = df.agg(*[F.struct(F.count(_value(c)).alias("n"), F.count_if(F.isnan(_value(c))).alias("nan")).alias(f"s{i}")
+                     for i, c in enumerate(columns)]).first()
+    total = {c: sizes[f"s{i}"]["n"] for i, c in enumerate(columns)}
+    found: dict[tuple[str, int], float] = {}
+    state = []
+    for i, c in enumerate(columns):
+        solid = total[c] - sizes[f"s{i}"]["nan"]
         for p in probs:
-            if n == 0:
-                continue
-            h = (n - 1) * p
-            lo = math.floor(h)
-            targets[(c, lo)] = None
-            if h > lo:
-                targets[(c, lo + 1)] = None
-
-    # state per unresolved target: (range min, range max, values below the range)
-    state = {t: (float(stats[t[0]][1]), float(stats[t[0]][2]), 0) for t in targets}
-    odd = sorted({t[0] for t, (a, b, _) in state.items() if not (math.isfinite(a) and math.isfinite(b))})
-    if odd:
-        aggs = []
-        for i, c in enumerate(odd):
-            d = q(c).cast("double")
-            finite = F.when(~F.isnan(d) & (F.abs(d) < F.lit(math.inf)), d)
-            aggs += [F.count_if(d == F.lit(-math.inf)).alias(f"l{i}"), F.count(finite).alias(f"n{i}"),
-                     F.count_if(d == F.lit(math.inf)).alias(f"h{i}"), F.min(finite).alias(f"a{i}"), F.max(finite).alias(f"b{i}")]
-        r = df.agg(*aggs).collect()[0]
-        at = {c: i for i, c in enumerate(odd)}
-        for t in [t for t in state if t[0] in at]:
-            i = at[t[0]]
-            low, n, high = r[f"l{i}"], r[f"n{i}"], r[f"h{i}"]
-            if low <= t[1] < low + n:
-                state[t] = (r[f"a{i}"], r[f"b{i}"], low)
-            else:
-                targets[t] = -math.inf if t[1] < low else math.inf if t[1] < low + n + high else math.nan
-                del state[t]
-    for t, (a, b, _) in list(state.items()):
-        if a == b:
-            targets[t] = a
-            del state[t]
-    finals: dict[tuple[str, int], tuple[float, float, int]] = {}
+            h = (total[c] - 1) * p
+            wanted = sorted({math.floor(h), math.ceil(h)}) if total[c] else []
+            found.update({(c, k): math.nan for k in wanted if k >= solid})
+            ranks = tuple(k for k in wanted if k < solid)
+            if ranks:
+                state.append(_Range(c, ranks, None, None, 0, solid))
+    small = []
     while state:
-        ranges = sorted({(t[0], a, b) for t, (a, b, _) in state.items()})
-        rid = {r: i for i, r in enumerate(ranges)}
-        entries = []
-        for (c, a, b), i in rid.items():
-            x = q(c).cast("double")
-            part = 1.0 if math.isfinite(b - a) else 0.5  # the width itself may overflow
-            bucket = F.least(F.floor((x * F.lit(part) - F.lit(a * part)) / F.lit(b * part - a * part) * F.lit(BUCKETS)).cast("int"),
-                             F.lit(BUCKETS - 1))
-            entries.append(F.when((x >= F.lit(a)) & (x <= F.lit(b)),
-                                  F.struct(F.lit(i).alias("r"), bucket.alias("k"), x.alias("x"))))
-        hist = (df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
-                .groupBy("e.r", "e.k").agg(F.count(F.lit(1)).alias("n"), F.min("e.x").alias("lo"),
-                                             F.max("e.x").alias("hi"))
-                .collect())
-        by_range: dict[int, list] = {}
-        for row in hist:
-            by_range.setdefault(row["r"], []).append((row["k"], int(row["n"]), row["lo"], row["hi"]))
-        nxt = {}
-        for t, (a, b, below) in state.items():
-            acc = below
-            for k, n, lo, hi in sorted(by_range.get(rid[(t[0], a, b)], [])):
-                if acc + n > t[1]:
-                    if lo == hi:
-                        targets[t] = lo
-                    elif n <= FINAL_VALUES:
-                        finals[t] = (lo, hi, acc)
-                    else:
-                        nxt[t] = (lo, hi, acc)
-                    break
-                acc += n
-        state = nxt
-
-    if finals:
-        # each final range holds at most FINAL_VALUES values
-        conds = [(q(c).cast("double") >= F.lit(lo)) & (q(c).cast("double") <= F.lit(hi))
-                 for (c, _), (lo, hi, _) in finals.items()]
-        items = list(finals.items())
-        fetched = df.select(*[F.when(cond, q(c).cast("double")).alias(f"v{i}")
-                              for i, ((c, _), cond) in enumerate(zip([t for t, _ in items], conds))])
-        keep = F.col("v0").isNotNull()
-        for i in range(1, len(items)):
-            keep = keep | F.col(f"v{i}").isNotNull()
-        rows = fetched.where(keep).collect()
-        for i, (t, (lo, hi, below)) in enumerate(items):
-            vals = sorted(r[f"v{i}"] for r in rows if r[f"v{i}"] is not None)
-            targets[t] = vals[t[1] - below]
-
-    out = {}
-    for c in columns:
-        n = stats[c][0]
-        res = []
-        for p in probs:
-            if n == 0:
-                res.append(None)
-                continue
-            h = (n - 1) * p
-            lo = math.floor(h)
-            v = targets[(c, lo)]
-            if h > lo:
-                w = targets[(c, lo + 1)]
-                if v != w:
-                    v = v + (h - lo) * (w - v) if math.isfinite(w - v) else (1 - (h - lo)) * v + (h - lo) * w
-            res.append(float(v))
-        out[c] = res
-    return out
+        small += [r for r in state if r.size <= FINAL_VALUES]
+        state = [r for r in state if r.size > FINAL_VALUES]
+        if state:
+            bounds = _proposed(df, state)
+            counts = _counted(df, state, bounds)
+            state = [x for r, (a, b), c in zip(state, bounds, counts) for x in _narrowed(r, a, b, c, found)]
+    if small:
+        # ranges of one column may be the same one: fetched once
+        merged: dict[tuple, _Range] = {}
+        for r in small:
+            key = (r.column, r.low, r.high)
+            merged[key] = _Range(r.column, tuple(sorted({*r.ranks, *(merged[key].ranks if key in merged else ())})), r.low, r.high, r.below, r.size)
+        _fetched(df, list(merged.values()), found)
+
+    def quantile(c: str, p: float) -> float | None:
+        if not total[c]:
+            return None
+        h = (total[c] - 1) * p
+        v, w = found[(c, math.floor(h))], found[(c, math.ceil(h))]
+        part = h - math.floor(h)
+        if v == w or not part:
+            return float(v)
+        return float(v + part * (w - v) if math.isfinite(w - v) else (1 - part) * v + part * w)
+    return {c: [quantile(c, p) for p in probs] for c in columns}

@@ -1,7 +1,7 @@
 """Scaling (N1, N2) and feature selection.
 
 Moments of all features come from one aggregate over the (cached) encoded
-frame; covariances from a second one over centred products. Population
+frame; covariances from a second scan of centred products. Population
 statistics are used throughout, as the reference's scaler and selector do
 (``ml.StandardScaler`` divides by the sample deviation). Correlation does
 not change under scaling, so it is computed on the unscaled columns.
@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +24,8 @@ STANDARD_TEXT = "Standard Scaling"
 MIN_MAX_TEXT = "Min-Max Scaling"
 VARIANCE_THRESHOLD = 0.0
 CORRELATION_THRESHOLD = 0.90
-# above this many features the k x k matrix comes from ml.stat.Correlation
-WIDE_FEATURES = 60
+# columns of a block of pairs, rows of one product, groups of tasks whose blocks are added first
+PAIR_BLOCK, PAIR_ROWS, PAIR_FANIN = 256, 4096, 32
 
 
 @dataclass
@@ -117,49 +119,67 @@ def variance_selection(columns: list[str], numeric: set[str], stats: dict[str, M
 
 
 def correlation_pairs(df: DataFrame, columns: list[str], stats: dict[str, Moments]) -> list[tuple[str, str, float | None]]:
-    """Pearson r of every pair i < j (None when undefined), from one scan of
-    centred products; wide inputs use the distributed Gramian of
-    ``ml.stat.Correlation`` instead of k^2 aggregate expressions."""
-    k = len(columns)
-    if k < 2:
-        return []
-    if k > WIDE_FEATURES:
-        return _correlation_wide(df, columns, stats)
-    aggs, pairs = [], []
-    for i in range(k):
-        for j in range(i + 1, k):
-            ci, cj = columns[i], columns[j]
-            mi, mj = stats[ci].mean or 0.0, stats[cj].mean or 0.0
-            aggs.append(F.avg((q(ci).cast("double") - F.lit(mi)) * (q(cj).cast("double") - F.lit(mj)))
-                        .alias(f"p{len(pairs)}"))
-            pairs.append((ci, cj))
-    r = df.agg(*aggs).collect()[0]
-    out = []
-    for n, (ci, cj) in enumerate(pairs):
-        si, sj = stats[ci].std, stats[cj].std
-        cov = r[f"p{n}"]
-        out.append((ci, cj, None if not si or not sj or cov is None else cov / (si * sj)))
-    return out
-
-
-def _correlation_wide(df: DataFrame, columns, stats):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
+    """Pearson r of every pair i < j (None when undefined) from one scan: the mean
+    product of centred values over the rows where both are there, over the
+    columns' deviations. One path for any number of columns (``products``)."""
     live = [c for c in columns if stats[c].std]
-    vec = VectorAssembler(inputCols=live, outputCol="__v", handleInvalid="skip").transform(
-        df.select(*[q(c).cast("double").alias(c) for c in live]))
-    mat = Correlation.corr(vec, "__v").collect()[0][0].toArray()
-    idx = {c: i for i, c in enumerate(live)}
+    at = {c: i for i, c in enumerate(live)}
+    sums, rows = products(df, live, [stats[c].mean or 0.0 for c in live])
     out = []
     for i, ci in enumerate(columns):
         for cj in columns[i + 1:]:
-            if ci in idx and cj in idx:
-                out.append((ci, cj, float(mat[idx[ci], idx[cj]])))
-            else:
-                out.append((ci, cj, None))
+            r = None
+            if ci in at and cj in at and rows[at[ci], at[cj]]:
+                r = float(sums[at[ci], at[cj]] / rows[at[ci], at[cj]] / (stats[ci].std * stats[cj].std))
+            out.append((ci, cj, r))
     return out
 
 
+def products(df: DataFrame, columns: list[str], means: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of products of centred values, counts) of every pair of columns over the
+    rows where neither is null. A task multiplies the matrix of its
+    rows (nulls as 0) and that of its marks for non-nulls with themselves, a
+    step at a time, and emits both in blocks of ``PAIR_BLOCK`` columns; blocks
+    are added up in two rounds, so no task receives those of all tasks. Only the k x k result reaches the driver."""
+    k = len(columns)
+    if k < 2:
+        return np.zeros((k, k)), np.zeros((k, k))
+    mean = np.array(means)
+    cuts = [(a, min(a + PAIR_BLOCK, k)) for a in range(0, k, PAIR_BLOCK)]
+
+    def multiply(batches):
+        total = np.zeros((2, k, k))
+        for batch in batches:
+            for i in range(0, batch.num_rows, PAIR_ROWS):
+                part = batch.slice(i, PAIR_ROWS)
+                x = np.stack([c.to_numpy(zero_copy_only=False) for c in part.columns], axis=1).astype(np.float64) - mean
+                there = ~np.isnan(x)
+                x[~there] = 0.0
+                total[0] += x.T @ x
+                marks = there.astype(np.float64)
+                total[1] += marks.T @ marks
+        rows = [(i, j, total[:, a:b, c:d].ravel()) for i, (a, b) in enumerate(cuts) for j, (c, d) in enumerate(cuts) if i <= j]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
+                                          pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["i", "j", "v"])
+
+    def add(block: pa.Table) -> pa.Table:
+        v = sum(np.asarray(chunk.flatten()).reshape(len(chunk), -1).sum(axis=0) for chunk in block["v"].chunks if len(chunk))
+        return pa.table({"i": block["i"].slice(0, 1), "j": block["j"].slice(0, 1), "v": pa.array([v], pa.list_(pa.float64()))})
+
+    schema = "i int, j int, v array<double>"
+    parts = df.select(*[q(c).cast("double").alias(f"c{n}") for n, c in enumerate(columns)]).mapInArrow(multiply, schema)
+    parts = parts.withColumn("__task", F.pmod(F.spark_partition_id(), F.lit(PAIR_FANIN)))
+    parts = parts.groupBy("i", "j", "__task").applyInArrow(add, schema).groupBy("i", "j").applyInArrow(add, schema)
+    sums, rows = np.zeros((k, k)), np.zeros((k, k))
+    for r in parts.collect():
+        (a, b), (c, d) = cuts[r["i"]], cuts[r["j"]]
+        both = np.array(r["v"]).reshape(2, b - a, d - c)
+        for m, v in zip((sums, rows), both):
+            m[a:b, c:d] = v
+            m[c:d, a:b] = v.T
+    return sums, rows
+
+
 def correlation_selection(columns: list[str], pairs, threshold: float = CORRELATION_THRESHOLD):
     """drop column j when any earlier column i (dropped or not) has
     |r| > threshold; undefined r never drops."""

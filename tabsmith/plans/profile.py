@@ -1,39 +1,34 @@
 """The fused column profile: every data-dependent decision of cleaning,
 imputing and encoding is taken from it.
 
-Two scans replace the reference's one-pass-per-column-per-question loops:
+Scans replace the reference's one-pass-per-column-per-question loops:
 
 (a) one ``agg`` over all columns: row count, non-null count per column,
-    min / max / mean / std / var_pop / quartiles per numeric column,
-    ``approx_count_distinct`` per categorical column;
-(b) one ``unpivot`` of the low-cardinality categorical columns (cast to
-    string) followed by ``groupBy(column, value).count()``: exact distinct
-    counts, modes and level lists at once. Partial aggregation happens
-    map-side, so a value that holds a third of all rows costs one row per task.
-
-Only the profile (O(columns x levels)) is collected, never rows.
+    min / max / mean / std / var_pop per numeric column; exact quartiles follow
+    from ``operators.quantile``, whatever the size;
+(b) one ``unpivot`` of the categorical columns followed by
+    ``groupBy(column, key).count()``, reduced inside Spark to levels, mode and
+    the first levels of each column. Partial aggregation happens map-side,
+    so a value that holds a third of all rows costs one row per task. The key
+    of a long value is its digest, so wide text is not shuffled.
+
+The level counts are exact for any number of levels. Only the profile reaches
+the driver: a row a column and at most ``KEPT_LEVELS`` levels of each.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (ArrayType, BinaryType, BooleanType, DataType, MapType,
+from pyspark.sql.types import (ArrayType, BinaryType, DataType, MapType,
                                NumericType, StructType)
 
-# ``percentile`` keeps a value->count map per column, merged in the one final
-# task of a global aggregate; above this many (rows x numeric columns) cells
-# the quartiles come from the range-narrowing search of operators.quantile
-# instead (still exact, a few more scans, no single-task merge).
-EXACT_QUANTILE_CELL_LIMIT = 20_000_000
-# categorical columns with more (approximate) levels than this are not
-# collected as value counts (they are never encoded: more than 10 levels);
-# their distinct counts are approximate, made exact near the 0.15 line, and
-# their modes come from a grouped top-1. The driver receives at most this
-# many rows per column.
-LEVEL_COLLECT_LIMIT = 1_000
+#: Levels of a column that the profile keeps; encodings take at most ten.
+KEPT_LEVELS = 50
+#: Bytes up to which a value stands for itself when levels are counted.
+SHORT_BYTES = 64
 APPROX_ACCURACY = 100_000
 
 
@@ -77,11 +72,9 @@ class ColumnStats:
     median: float | None = None
     q3: float | None = None
     # categorical
-    approx_distinct: int | None = None
-    distinct: int | None = None    # exact non-null distinct, when known
-    levels: list[str] | None = None  # sorted, when collected
-    counts: dict[str, int] | None = None
-    mode: str | None = None
+    distinct: int | None = None    # exact non-null distinct
+    levels: list[str] | None = None  # sorted, up to KEPT_LEVELS of them
+    mode: str | None = None          # None also where the most frequent value is long: see column_mode
     mode_count: int | None = None
 
 
@@ -89,7 +82,6 @@ class ColumnStats:
 class TableProfile:
     rows: int
     columns: dict[str, ColumnStats] = field(default_factory=dict)
-    quantile_method: str = "exact"
     order: list[str] = field(default_factory=list)
 
     def numeric(self) -> list[str]:
@@ -107,19 +99,11 @@ def _kind(dt: DataType) -> str:
     return "categorical"
 
 
-def profile_table(df: DataFrame, rows: int | None = None, quantiles: bool = True,
-                  value_counts: bool = True, exact_quantile_limit: int = EXACT_QUANTILE_CELL_LIMIT,
-                  level_limit: int = LEVEL_COLLECT_LIMIT) -> TableProfile:
-    """Scan (a) and (b) described in the module docstring."""
+def profile_table(df: DataFrame, rows: int | None = None, quantiles: bool = True, value_counts: bool = True) -> TableProfile:
+    """Scans (a) and (b) described in the module docstring."""
     fields = df.schema.fields
-    if rows is None:
-        rows = df.count()
-    n_numeric = sum(1 for f in fields if _kind(f.dataType) == "numeric")
-    exact = rows * max(1, n_numeric) <= exact_quantile_limit
-    prof = TableProfile(rows=rows, quantile_method="exact" if exact else "exact-distributed",
-                        order=[f.name for f in fields])
-
-    aggs = []
+    prof = TableProfile(rows=0, order=[f.name for f in fields])
+    aggs = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(fields):
         kind = _kind(f.dataType)
         prof.columns[f.name] = ColumnStats(f.name, kind, f.dataType.simpleString())
@@ -129,71 +113,63 @@ def profile_table(df: DataFrame, rows: int | None = None, quantiles: bool = True
             d = c.cast("double")
             aggs += [F.min(d).alias(f"mn{i}"), F.max(d).alias(f"mx{i}"), F.avg(d).alias(f"av{i}"),
                      F.stddev_samp(d).alias(f"sd{i}"), F.var_pop(d).alias(f"vp{i}")]
-            if quantiles and exact:
-                aggs.append(F.percentile(d, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"qs{i}"))
-        elif kind == "categorical":
-            aggs.append(F.approx_count_distinct(c, 0.02).alias(f"ad{i}"))
-    row = df.agg(*aggs).collect()[0] if aggs else None
-
-    small_cats = []
-    numeric_names = []
+    row = df.agg(*aggs).first()
+    prof.rows = int(row["rows"]) if rows is None else rows
     for i, f in enumerate(fields):
         st = prof.columns[f.name]
         st.non_null = int(row[f"nn{i}"])
-        st.nulls = rows - st.non_null
+        st.nulls = prof.rows - st.non_null
         if st.kind == "numeric":
-            numeric_names.append(f.name)
             st.min, st.max, st.mean = row[f"mn{i}"], row[f"mx{i}"], row[f"av{i}"]
             st.std, st.var_pop = row[f"sd{i}"], row[f"vp{i}"]
-            if quantiles and exact and row[f"qs{i}"] is not None:
-                st.q1, st.median, st.q3 = [float(v) for v in row[f"qs{i}"]]
-        elif st.kind == "categorical":
-            st.approx_distinct = int(row[f"ad{i}"])
-            if st.non_null == 0:
-                st.distinct, st.levels, st.counts = 0, [], {}
-            elif st.approx_distinct <= level_limit:
-                small_cats.append(f.name)
-
-    if quantiles and not exact and numeric_names:
-        # too big for one-task exact merges: exact quartiles by range narrowing
+        elif st.kind == "categorical" and not st.non_null:
+            st.distinct, st.levels = 0, []
+
+    if quantiles:
         from tabsmith.operators.quantile import exact_quantiles
-        qs = exact_quantiles(df, numeric_names, [0.25, 0.5, 0.75],
-                             {c: (prof.columns[c].non_null, prof.columns[c].min, prof.columns[c].max)
-                              for c in numeric_names})
-        for c, v in qs.items():
-            if v[0] is not None:
-                prof.columns[c].q1, prof.columns[c].median, prof.columns[c].q3 = v
-
-    if value_counts and small_cats:
-        for name, counts in value_counts_of(df, small_cats).items():
-            st = prof.columns[name]
-            st.counts = counts
-            st.levels = sorted(counts)
-            st.distinct = len(counts)
-            if counts:
-                st.mode_count = max(counts.values())
-                st.mode = min(v for v, n in counts.items() if n == st.mode_count)
+        for c, (q1, median, q3) in exact_quantiles(df, prof.numeric(), [0.25, 0.5, 0.75]).items():
+            prof.columns[c].q1, prof.columns[c].median, prof.columns[c].q3 = q1, median, q3
+
+    filled = [c for c in prof.categorical() if prof.columns[c].non_null]
+    if value_counts and filled:
+        levels_of(df, filled, prof)
     return prof
 
 
-def value_counts_of(df: DataFrame, columns: list[str]) -> dict[str, dict[str, int]]:
-    """Pass (b): non-null value counts of several columns in one shuffle."""
-    as_text = df.select(*[q(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
-    long = as_text.unpivot([], [f"c{i}" for i in range(len(columns))], "col", "value")
-    rows = long.where(F.col("value").isNotNull()).groupBy("col", "value").count().collect()
-    out: dict[str, dict[str, int]] = {c: {} for c in columns}
-    for r in rows:
-        out[columns[int(r["col"][1:])]][r["value"]] = int(r["count"])
-    return out
-
-
-def exact_distinct(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    """Exact non-null distinct counts for high-cardinality columns, only
-    requested when an approximate count is too close to a threshold."""
-    if not columns:
-        return {}
-    row = df.agg(*[F.count_distinct(q(c)).alias(f"d{i}") for i, c in enumerate(columns)]).collect()[0]
-    return {c: int(row[f"d{i}"]) for i, c in enumerate(columns)}
+def level_key(value: Column) -> Column:
+    """A short value marked ``=``, or the digest of a long one marked ``#``."""
+    return F.when(F.octet_length(value) <= SHORT_BYTES, F.concat(F.lit("="), value)).otherwise(F.concat(F.lit("#"), F.md5(value)))
+
+
+def level_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Pass (b): (col, key, n) of the non-null values of several columns, ``col`` being
+    the place in ``columns``; one shuffle."""
+    keys = df.select(*[level_key(q(c).cast("string")).alias(f"c{i}") for i, c in enumerate(columns)])
+    long = keys.unpivot([], [f"c{i}" for i in range(len(columns))], "col", "key").where(F.col("key").isNotNull())
+    return long.groupBy(F.substring("col", 2, 10).cast("int").alias("col"), "key").agg(F.count("*").alias("n"))
+
+
+def levels_of(df: DataFrame, columns: list[str], prof: TableProfile) -> None:
+    """Exact level counts, modes (smallest on ties) and first levels of the columns, reduced in Spark."""
+    counts = level_counts(df, columns).persist()
+    try:
+        for r in counts.groupBy("col").agg(F.count("*").alias("levels"), F.max("n").alias("n"),
+                                           F.min_by("key", F.struct((-F.col("n")).alias("n"), "key")).alias("key")).collect():
+            st = prof.columns[columns[r["col"]]]
+            st.distinct, st.mode_count = int(r["levels"]), int(r["n"])
+            st.mode = r["key"][1:] if r["key"].startswith("=") else None
+        few = [i for i, c in enumerate(columns) if (prof.columns[c].distinct or 0) <= KEPT_LEVELS]
+        found: dict[int, list[str]] = {i: [] for i in few}
+        for r in counts.where(F.col("col").isin(few)).select("col", "key").collect() if few else []:
+            found[r["col"]].append(r["key"])
+    finally:
+        counts.unpersist()
+    for i, keys in found.items():
+        c = columns[i]
+        if any(k.startswith("#") for k in keys):    # few, but long: read from the rows
+            prof.columns[c].levels = sorted(r["v"] for r in df.where(q(c).isNotNull()).select(q(c).cast("string").alias("v")).distinct().collect())
+        else:
+            prof.columns[c].levels = sorted(k[1:] for k in keys)
 
 
 def column_mode(df: DataFrame, column: str):

@@ -6,7 +6,7 @@ from tabsmith.operators import quantile as Q
 
 
 def test_exact_quantiles_match_percentile(spark, monkeypatch):
-    monkeypatch.setattr(Q, "BUCKETS", 8)         # several levels on small data
+    monkeypatch.setattr(Q, "ACCURACY", 20)       # several rounds on small data
     monkeypatch.setattr(Q, "FINAL_VALUES", 5)
     rng = np.random.default_rng(7)
     a = rng.normal(size=3000)
@@ -27,33 +27,47 @@ def test_constant_and_empty_columns(spark):
     assert got == {"k": [1.0], "e": [None]}
 
 
-def test_profile_uses_distributed_quartiles_above_limit(spark):
-    from tabsmith.plans.profile import profile_table
-    df = spark.createDataFrame([(float(i % 97), float(i)) for i in range(2000)], "a double, b double")
-    small = profile_table(df)
-    big = profile_table(df, exact_quantile_limit=10)
-    assert small.quantile_method == "exact" and big.quantile_method == "exact-distributed"
-    for c in ["a", "b"]:
-        s, b = small.columns[c], big.columns[c]
-        assert (s.q1, s.median, s.q3) == pytest.approx((b.q1, b.median, b.q3), rel=1e-12)
+def test_bounds_that_miss_cost_a_round_only(spark, monkeypatch):
+    """Counts decide: whatever the sketch proposes, the rank is found."""
+    monkeypatch.setattr(Q, "FINAL_VALUES", 3)
+    df = spark.createDataFrame([(float(i % 50),) for i in range(400)], "a double").cache()
+    want = df.agg(F.percentile("a", [0.1, 0.5, 0.99])).first()[0]
+    for wrong in ((0.0, 0.0), (49.0, 49.0), (-5.0, 99.0), (10.0, 11.0), (25.5, 30.0)):
+        rounds = []
+
+        def propose(df, ranges, wrong=wrong, rounds=rounds):
+            rounds.append(len(ranges))
+            return [wrong] * len(ranges) if len(rounds) == 1 else right(df, ranges)
+        right = Q._proposed
+        monkeypatch.setattr(Q, "_proposed", propose)
+        got = Q.exact_quantiles(df, ["a"], [0.1, 0.5, 0.99])
+        monkeypatch.setattr(Q, "_proposed", right)
+        assert got["a"] == pytest.approx(want) and len(rounds) < 20
+
+
+def test_two_heavy_values_side_by_side(spark, monkeypatch):
+    monkeypatch.setattr(Q, "FINAL_VALUES", 5)
+    df = spark.createDataFrame([(v,) for v in [1.0] * 500 + [2.0] * 500 + [0.5, 3.0]], "a double").cache()
+    assert Q.exact_quantiles(df, ["a"], [0.0, 0.25, 0.5, 0.75, 1.0]) == {"a": [0.5, 1.0, 1.5, 2.0, 3.0]}
 
 
-def test_describe_numeric_large_path_equals_small(spark, monkeypatch):
+def test_profile_and_describe_take_the_one_path(spark, monkeypatch):
     from tabsmith.operators import profile as A
-    from tabsmith.plans import profile as P
-    df = spark.createDataFrame([(float(i % 13), i) for i in range(500)], "a double, b long")
-    small = {r["column"]: r for r in A.describe_numeric(df).collect()}
-    monkeypatch.setattr(P, "EXACT_QUANTILE_CELL_LIMIT", 10)
-    big = {r["column"]: r for r in A.describe_numeric(df).collect()}
-    for c in ["a", "b"]:
-        for k in ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]:
-            assert small[c][k] == pytest.approx(big[c][k], rel=1e-12)
+    from tabsmith.plans.profile import profile_table
+    monkeypatch.setattr(Q, "FINAL_VALUES", 50)
+    df = spark.createDataFrame([(float(i % 97), i, None) for i in range(2000)], "a double, b long, e double").cache()
+    prof, rows = profile_table(df), {r["column"]: r for r in A.describe_numeric(df).collect()}
+    want = df.agg(*[F.percentile(c, [0.25, 0.5, 0.75]).alias(c) for c in ("a", "b")]).first()
+    for c in ("a", "b"):
+        st = prof.columns[c]
+        assert [st.q1, st.median, st.q3] == pytest.approx(want[c]) == [rows[c]["q25"], rows[c]["q50"], rows[c]["q75"]]
+    assert rows["e"]["count"] == 0 and rows["e"]["q50"] is None and prof.columns["e"].median is None
 
 
 def test_infinities_and_nan_fetch_few_values(spark, monkeypatch):
     """Ranges shrink beside infinities, NaN and widths that overflow; what the driver fetches stays bounded."""
     from pyspark.sql.classic.dataframe import DataFrame
-    monkeypatch.setattr(Q, "BUCKETS", 16)
+    monkeypatch.setattr(Q, "ACCURACY", 50)
     monkeypatch.setattr(Q, "FINAL_VALUES", 20)
     inf, nan = float("inf"), float("nan")
     base = [float(i * 7919 % 4001) for i in range(2000)]
