@@ -10,6 +10,11 @@ from pyspark.sql.types import DoubleType, FloatType
 DEFAULT_SEED = 42
 
 
+def quoted(name: str) -> Column:
+    """A column by its exact name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """pandas treats NaN and None alike; Spark does not. Turn NaN into null
     on float columns so counts, averages and fills agree with that view."""

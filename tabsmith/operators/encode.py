@@ -9,9 +9,6 @@ indicators for one-hot columns.
 
 from __future__ import annotations
 
-from datetime import datetime
-from decimal import Decimal
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +30,7 @@ def encoding_plan(profile: TableProfile, columns: list[str]) -> list[tuple[str,
         st = profile.columns[c]
         if st.kind != "categorical":
             continue
-        n = st.distinct if st.distinct is not None else st.approx_distinct
+        n = st.distinct
         if n == 2:
             out.append((c, n, "label"))
         elif 2 < n <= MAX_ONE_HOT_LEVELS:
@@ -113,28 +110,3 @@ def infer_problem_type(df: DataFrame, target: str) -> str:
     if is_numeric_type(dt) and target_distinct(df, target) > REGRESSION_MIN_DISTINCT:
         return "regression"
     return "classification"
-
-
-def target_levels(df: DataFrame, target: str) -> list:
-    """Sorted class values of a classification target (numeric order for
-    numbers, text order otherwise). At most a few thousand classes."""
-    rows = df.where(q(target).isNotNull()).select(q(target).alias("v")).distinct().orderBy("v").collect()
-    return [r["v"] for r in rows]
-
-
-def label_index_expression(target: str, levels: list) -> str:
-    """Class value -> index 0..k-1 in sorted order, as double (Spark ML labels)."""
-    column = ident(target)
-    if any(not isinstance(v, (str, bool, int, float)) for v in levels):
-        # decimals, dates and times are compared as the text Spark writes for them
-        column, levels = f"CAST({column} AS STRING)", [spark_text(v) for v in levels]
-    arr = ", ".join(literal(v) for v in levels)
-    return f"CAST(array_position(array({arr}), {column}) - 1 AS DOUBLE)"
-
-
-def spark_text(v) -> str:
-    """A collected value as Spark casts it to a string."""
-    if isinstance(v, datetime):
-        text = v.strftime("%Y-%m-%d %H:%M:%S")
-        return f"{text}.{v.microsecond:06d}".rstrip("0") if v.microsecond else text
-    return f"{v:f}" if isinstance(v, Decimal) else str(v)

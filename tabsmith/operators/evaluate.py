@@ -18,9 +18,15 @@ CLASSIFICATION_METRICS = ["Accuracy", "Precision", "Recall", "F1 Score", "ROC-AU
 REGRESSION_METRICS = ["MAE", "MSE", "RMSE", "R2"]
 AUC_MAX_BUCKETS = 4096
 AUC_ROWS_PER_BUCKET = 1_000_000
+#: True classes in one strip of a confusion grid, about.
+GRID_BLOCK = 64
 
 
 def confusion_counts(pred: DataFrame) -> DataFrame:
+    """(model, label, prediction, n). Counts are taken as they are, so what is
+    derived from them may be given either."""
+    if pred.columns == ["model", "label", "prediction", "n"]:
+        return pred
     return pred.groupBy("model", "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -107,34 +113,36 @@ def roc_auc(pred: DataFrame, buckets: int | None = None) -> DataFrame:
                                        "model", "left")
 
 
-def _model_cells(pred: DataFrame) -> DataFrame:
-    """One row per model: its confusion cells (at most classes^2 of them)."""
-    return confusion_counts(pred).groupBy("model").agg(
-        F.collect_list(F.struct("label", "prediction", "n")).alias("cells"))
-
-
-def _grid(cells_col):
-    """Sorted union of classes, and every (true, predicted) pair with its count."""
-    classes = F.array_sort(F.array_distinct(F.concat(F.transform(cells_col, lambda c: c["label"]),
-                                                     F.transform(cells_col, lambda c: c["prediction"]))))
-    return F.transform(classes, lambda t: F.transform(classes, lambda p: F.struct(
-        t.alias("label"), p.alias("prediction"),
-        F.aggregate(F.filter(cells_col, lambda c: (c["label"] == t) & (c["prediction"] == p)),
-                    F.lit(0).cast("bigint"), lambda acc, c: acc + c["n"]).alias("count"))))
+def _classes(counts: DataFrame) -> DataFrame:
+    """(model, cls): sorted union of true and predicted classes, one row each."""
+    return counts.select("model", F.explode(F.array("label", "prediction")).alias("cls")).distinct()
 
 
 def confusion_matrix(pred: DataFrame) -> DataFrame:
     """V6: every (true, predicted) cell over the sorted union of classes,
-    zeros kept; one pass over the predictions."""
-    g = _model_cells(pred).select("model", F.flatten(_grid(F.col("cells"))).alias("g"))
-    return g.select("model", F.inline("g"))
+    zeros kept; one pass over the predictions. The grid is built from class
+    rows: true classes are dealt into blocks of ``GRID_BLOCK``, predicted ones
+    sent to every block, so a task holds a strip of a model's grid, never
+    all of it; the counts that exist are joined to it."""
+    counts = confusion_counts(pred)
+    classes = _classes(counts)
+    blocks = F.greatest(F.ceil(F.count("*").over(Window.partitionBy("model")) / GRID_BLOCK), F.lit(1))
+    dealt = classes.withColumn("blocks", blocks.cast("int"))
+    true = dealt.select("model", F.col("cls").alias("label"), F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"))
+    every = dealt.select("model", F.col("cls").alias("prediction"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    grid = true.join(every, ["model", "block"]).drop("block")
+    return grid.join(counts, ["model", "label", "prediction"], "left") \
+        .select("model", "label", "prediction", F.coalesce("n", F.lit(0).cast("bigint")).alias("count"))
 
 
 def confusion_json(pred: DataFrame) -> DataFrame:
-    """The matrix of each model as JSON text, rows = true classes."""
-    g = _model_cells(pred).select("model", _grid(F.col("cells")).alias("g"))
-    return g.select("model", F.to_json(F.transform("g", lambda row: F.transform(row, lambda c: c["count"])))
-                    .alias("matrix"))
+    """The matrix of each model as JSON text, rows = true classes. A row
+    is put together first, so no aggregate holds all cells as structs."""
+    value = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["v"])
+    rows = confusion_matrix(pred).groupBy("model", "label").agg(
+        F.array_join(value(F.struct("prediction", F.col("count").alias("v"))), ",").alias("line"))
+    whole = F.array_join(value(F.struct("label", F.concat(F.lit("["), "line", F.lit("]")).alias("v"))), ",")
+    return rows.groupBy("model").agg(F.concat(F.lit("["), whole, F.lit("]")).alias("matrix"))
 
 
 def classification_report(pred: DataFrame) -> DataFrame:
@@ -165,6 +173,28 @@ def classification_report(pred: DataFrame) -> DataFrame:
     return t.select("model", F.inline(rows))
 
 
+def report_text(pred: DataFrame) -> DataFrame:
+    """The class report of each model as the usual text table, two
+    decimals, classes by ascending value (whole numbers without a point)."""
+    t = classification_report(pred)
+    whole = F.col("class_value") == F.floor("class_value")
+    name = F.when(F.col("row_type") != "class", F.col("row_type")).when(whole, F.col("class_value").cast("bigint").cast("string")) \
+        .otherwise(F.col("class_value").cast("string"))
+    # Fixed order and texts of that table.
+    kind = F.element_at(F.create_map(*[F.lit(x) for p in zip(["class", "accuracy", "macro avg", "weighted avg"], range(4)) for x in p]), F.col("row_type"))
+    width = F.greatest(F.lit(len("weighted avg")), F.max(F.length("name")).over(Window.partitionBy("model")))
+    t = t.withColumn("name", name).withColumn("kind", kind)
+    two = lambda c: F.when(F.col(c).isNull(), F.lit("")).otherwise(F.format_string("%.2f", F.round(c, 6)))
+    cells = [F.lpad(two(c), 9, " ") for c in ("precision", "recall", "f1")] + [F.lpad(F.col("support").cast("string"), 9, " ")]
+    pad = lambda c: F.concat(F.repeat(F.lit(" "), F.greatest(F.col("width") - F.length(c), F.lit(0))), c)
+    t = t.withColumn("width", width)
+    line = F.concat_ws(" ", F.concat(pad(F.col("name")), F.lit(" ")), *cells)
+    t = t.select("model", "kind", "class_value", "width", line.alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("kind", "class_value", "line"))), lambda x: F.when(x["kind"] == 1, F.concat(F.lit("\n"), x["line"])).otherwise(x["line"]))
+    head = F.concat(F.repeat(F.lit(" "), F.max("width") + 1), *[F.concat(F.lit(" "), F.lit(h.rjust(9))) for h in ("precision", "recall", "f1-score", "support")])
+    return t.groupBy("model").agg(F.concat(head, F.lit("\n\n"), F.array_join(lines, "\n"), F.lit("\n")).alias("report"))
+
+
 def regression_metrics(pred: DataFrame) -> DataFrame:
     """V8 + V9: MAE, MSE, RMSE, R2 per model, one aggregate."""
     e = F.col("label") - F.col("prediction")
@@ -182,11 +212,14 @@ def evaluation_long(pred: DataFrame, problem_type: str = "classification") -> Da
             F.struct(F.lit(n).alias("metric"), F.col(c).alias("value"),
                      F.lit(None).cast("string").alias("value_json"))
             for n, c in zip(REGRESSION_METRICS, ["mae", "mse", "rmse", "r2"])])))
-    m = classification_metrics(pred).join(roc_auc(pred), "model", "left") \
-        .join(confusion_json(pred), "model", "left")
+    counts = confusion_counts(pred).persist()     # read by four tables below
+    m = classification_metrics(counts).join(roc_auc(pred), "model", "left") \
+        .join(confusion_json(counts), "model", "left").join(report_text(counts), "model", "left")
     names = zip(CLASSIFICATION_METRICS, ["accuracy", "precision", "recall", "f1", "roc_auc"])
     structs = [F.struct(F.lit(n).alias("metric"), F.col(c).alias("value"),
                         F.lit(None).cast("string").alias("value_json")) for n, c in names]
     structs.append(F.struct(F.lit("Confusion Matrix").alias("metric"), F.lit(None).cast("double").alias("value"),
                             F.col("matrix").alias("value_json")))
+    structs.append(F.struct(F.lit("Classification Report").alias("metric"), F.lit(None).cast("double").alias("value"),
+                            F.col("report").alias("value_json")))
     return m.select("model", F.inline(F.array(*structs)))

@@ -4,12 +4,14 @@ Every row gets ``h = md5(seed|key)``. The test part of a class is its
 ``n_test`` rows with the smallest ``h``, so the split is exact in size,
 independent of partitioning, and reproducible in SQL.
 
-Finding the k-th smallest hash of each class never sorts a class in one
-task: hex prefixes of ``h`` form a radix tree, each level is a filter and
-a ``groupBy(class, prefix).count()`` (at most 4,096 rows per class are
-collected), and only the final boundary bucket - a few thousand rows -
-is ranked with a window. A class holding most of the rows costs the same
-as any other.
+Finding the k-th smallest hash of each class never sorts a large class in one
+task: hex prefixes of ``h`` form a radix tree. The state of the search is a
+table (class, prefix, rows under it, rank wanted); a level joins it to the rows,
+counts the next prefixes (at most 4,096 a class) and picks the one that holds
+the rank. A class whose prefix holds at most ``FINAL_BUCKET_ROWS`` rows is
+ranked by a window. So a class holding most of the rows costs the same as any
+other, and the number of classes is free: no class reaches the driver, and
+a table is broadcast only when its counted rows are few.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tabsmith.functions.expr import DEFAULT_SEED, hash_hex
+from tabsmith.operators.classes import kept, sized, summary
 
 TEST_SIZE = 0.2
 PREFIX_STEP = 3          # hex characters per level: 4,096 buckets
@@ -38,100 +41,79 @@ def n_test_random(n: int, test_size: float = TEST_SIZE) -> int:
     return math.ceil(Fraction(str(test_size)) * n)
 
 
-def stratify_problem(class_counts: dict, test_size: float = TEST_SIZE) -> str | None:
+def stratify_problem(classes: int, rows: int, smallest: int, test_size: float = TEST_SIZE) -> str | None:
     """D3: why a stratified split cannot be made, or None."""
-    n = sum(class_counts.values())
-    if not class_counts:
+    if not classes:
         return "no rows"
-    small = [k for k, v in class_counts.items() if v < 2]
-    if small:
-        return ("The least populated class in y has only 1 member, which is too few. "
-                "The minimum number of groups for any class cannot be less than 2.")
-    n_test = n_test_random(n, test_size)
-    k = len(class_counts)
-    if n_test < k:
-        return f"The test_size = {n_test} should be greater or equal to the number of classes = {k}"
-    if n - n_test < k:
-        return f"The train_size = {n - n_test} should be greater or equal to the number of classes = {k}"
+    if smallest < 2:
+        return "a class has one row, and two are needed to stand on both sides"
+    n_test = n_test_random(rows, test_size)
+    for side, n in (("test", n_test), ("training", rows - n_test)):
+        if n < classes:
+            return f"the {side} part would have {n} rows for {classes} classes"
     return None
 
 
-def kth_smallest_hash(df: DataFrame, group: str, hcol: str, k_by_group: dict) -> dict:
-    """The k-th smallest value of ``hcol`` per group (k >= 1), see module doc."""
-    spark = df.sparkSession
-    state = {g: ("", k) for g, k in k_by_group.items() if k > 0}
-    result = {}
-    gtype = df.schema[group].dataType.simpleString()
-    while state:
-        pref = spark.createDataFrame([(g, p) for g, (p, _) in state.items()],
-                                     f"__g {gtype}, __p string")
-        plen = len(next(iter(state.values()))[0])
-        # at most ~1M bucket counts per level reach the driver
-        step = PREFIX_STEP if len(state) <= 256 else (2 if len(state) <= 4096 else 1)
-        cand = (df.join(F.broadcast(pref), df[group].eqNullSafe(pref["__g"]))
-                .where(F.substring(hcol, 1, plen) == F.col("__p")))
-        counts = (cand.groupBy("__g", F.substring(hcol, 1, plen + step).alias("b"))
-                  .count().collect())
-        by_group: dict = {}
-        for r in counts:
-            by_group.setdefault(r["__g"], []).append((r["b"], int(r["count"])))
-        finals, nxt = {}, {}
-        for g, (p, k) in state.items():
-            acc = 0
-            for b, c in sorted(by_group.get(g, [])):
-                if acc + c >= k:
-                    if c <= FINAL_BUCKET_ROWS or len(b) >= 32:
-                        finals[g] = (b, k - acc)
-                    else:
-                        nxt[g] = (b, k - acc)
-                    break
-                acc += c
-        if finals:
-            fin = spark.createDataFrame([(g, b, k) for g, (b, k) in finals.items()],
-                                        f"__g {gtype}, __b string, __k bigint")
-            w = Window.partitionBy("__g").orderBy(hcol)
-            picked = (df.join(F.broadcast(fin), df[group].eqNullSafe(fin["__g"]))
-                      .where(F.substring(hcol, 1, F.length("__b")) == F.col("__b"))
-                      .select("__g", "__k", hcol)
-                      .withColumn("__rn", F.row_number().over(w))
-                      .where(F.col("__rn") == F.col("__k")).select("__g", hcol).collect())
-            for r in picked:
-                result[r["__g"]] = r[hcol]
-        state = nxt
-    return result
+def kth_smallest(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(g, thr): the k-th smallest ``h`` of every group. ``rows`` has columns g
+    and h (32 hex characters), ``wanted`` g, n (rows of the group) and k."""
+    state = wanted.where("k > 0").select("g", F.lit("").alias("prefix"), F.col("n").cast("bigint").alias("n"), F.col("k").cast("bigint").alias("k"))
+    found, length = None, 0
+    while True:
+        state = kept(state)
+        few = (F.col("n") <= FINAL_BUCKET_ROWS) if length < 32 else F.lit(True)
+        sizes = {r["few"]: r["count"] for r in state.groupBy(few.alias("few")).count().collect()}
+        hits = _under(rows, state.where(few), sizes.get(True, 0), length) \
+            .withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("h"))).where("r = k").select("g", F.col("h").alias("thr"))
+        found = hits if found is None else found.unionByName(hits)
+        if not sizes.get(False):
+            return kept(found)
+        counts = _under(rows, state.where(~few), sizes[False], length).groupBy("g", "k", F.substring("h", 1, length + PREFIX_STEP).alias("prefix")).count()
+        upto = F.sum("count").over(Window.partitionBy("g").orderBy("prefix"))
+        state = counts.withColumn("upto", upto).where("upto >= k AND upto - count < k") \
+            .select("g", "prefix", F.col("count").alias("n"), (F.col("k") - F.col("upto") + F.col("count")).alias("k"))
+        length += PREFIX_STEP
+
+
+def _under(rows: DataFrame, state: DataFrame, groups: int, length: int) -> DataFrame:
+    """(g, h, k) of the rows under the groups' prefixes, all of one length."""
+    table = sized(state.select(F.col("g").alias("sg"), "prefix", "k"), groups)
+    return rows.join(table, F.col("g").eqNullSafe(F.col("sg")) & (F.substring("h", 1, length) == F.col("prefix"))).select("g", "h", "k")
 
 
 def assign_split(df: DataFrame, keys: list[str], label: str | None = None,
                  stratify: bool = True, test_size: float = TEST_SIZE,
-                 seed: int = DEFAULT_SEED, class_counts: dict | None = None):
+                 seed: int = DEFAULT_SEED, classes: DataFrame | None = None):
     """Add ``__part`` ('train' | 'test'). Returns (frame, warnings).
 
-    ``df`` should be cached: it is scanned once per radix level (two or three
-    scans at any size)."""
+    ``classes`` (value, n) spares a count where it is known. ``df`` should be
+    cached: it is scanned once per radix level (two or three scans at any size)."""
     warnings = []
-    h = hash_hex(*keys, seed=seed)
-    work = df.withColumn("__h", h)
+    work = df.withColumn("__h", hash_hex(*keys, seed=seed))
+    groups = 1
     if stratify and label is not None:
-        if class_counts is None:
-            class_counts = {r[0]: int(r[1]) for r in
-                            work.groupBy(label).count().collect()}
-        problem = stratify_problem(class_counts, test_size)
+        if classes is None:
+            classes = kept(work.groupBy(F.col(label).alias("value")).agg(F.count("*").alias("n")))
+        found = classes.agg(summary(classes).alias("s")).first()["s"]
+        problem = stratify_problem(found["k"], found["rows"], found["smallest"], test_size)
         if problem:
             warnings.append(f"Stratified split failed, using a random split instead: {problem}")
             stratify = False
+        groups = found["k"]
     if stratify and label is not None:
-        k = {g: n_test_stratified(n, test_size) for g, n in class_counts.items()}
+        share = Fraction(str(test_size))
+        # round half up of test_size x n, in whole numbers
+        k = F.call_function("div", F.col("n") * (2 * share.numerator) + share.denominator, F.lit(2 * share.denominator))
+        wanted = classes.select(F.col("value").alias("g"), "n", k.alias("k"))
         work = work.withColumn("__grp", F.col(label))
     else:
-        n = sum(class_counts.values()) if class_counts else work.count()
-        k = {0: n_test_random(n, test_size)}
+        groups = 1
+        n = work.count()
+        wanted = df.sparkSession.createDataFrame([(0, n, n_test_random(n, test_size))], "g int, n bigint, k bigint")
         work = work.withColumn("__grp", F.lit(0))
-    thr = kth_smallest_hash(work, "__grp", "__h", k)
-    gtype = work.schema["__grp"].dataType.simpleString()
-    spark = df.sparkSession
-    rows = [(g, thr.get(g, "")) for g in k]
-    tt = spark.createDataFrame(rows, f"__tg {gtype}, __thr string")
-    out = (work.join(F.broadcast(tt), work["__grp"].eqNullSafe(tt["__tg"]), "left")
+    thresholds = kth_smallest(work.select(F.col("__grp").alias("g"), F.col("__h").alias("h")), wanted)
+    table = sized(thresholds.select(F.col("g").alias("__tg"), F.col("thr").alias("__thr")), groups)
+    out = (work.join(table, F.col("__grp").eqNullSafe(F.col("__tg")), "left")
            .withColumn("__part", F.when(F.col("__h") <= F.coalesce("__thr", F.lit("")), "test")
                        .otherwise("train"))
            .drop("__h", "__grp", "__tg", "__thr"))

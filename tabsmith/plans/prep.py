@@ -21,10 +21,13 @@ from tabsmith.operators import encode as E
 from tabsmith.operators import impute as M
 from tabsmith.operators import scale as N
 from tabsmith.operators import split as D
+from tabsmith.operators.classes import class_dictionary, labelled
 from tabsmith.plans.profile import TableProfile, is_numeric_type, profile_table, q
 from tabsmith.plans.sqltext import ident, literal
 
 ROW_KEY = "__row_key"
+# apart from raw columns, one of which may be called label
+LABEL = "__target_index"
 
 
 @dataclass
@@ -52,7 +55,8 @@ class PrepModel:
     raw_columns: list[str]
     name_map: dict[str, str]
     problem_type: str
-    target_levels: list | None
+    classes: DataFrame | None        # (value, label, n) of a classification target
+    n_classes: int
     dropped: list[tuple[str, str]]
     numeric_fills: dict
     categorical_fills: dict
@@ -72,11 +76,15 @@ class PrepModel:
         """The key columns that the user named: they are in raw rows."""
         return [C.clean_name(k) for k in self.config.keys]
 
-    def label_sql(self) -> str:
-        t = ident(self.target)
+    def with_label(self, df: DataFrame) -> DataFrame:
+        """``df`` (renamed columns) with ``__label``: the class's index, or the target as a number."""
         if self.problem_type == "classification":
-            return E.label_index_expression(self.target, self.target_levels)
-        return f"CAST({t} AS DOUBLE)"
+            return labelled(df, self.target, self.classes, LABEL, self.n_classes)
+        return df.withColumn(LABEL, q(self.target).cast("double"))
+
+    def class_names(self) -> DataFrame:
+        """(label, name): the classes as the text that Spark writes for them."""
+        return self.classes.select("label", F.col("value").cast("string").alias("name"))
 
     def feature_columns(self) -> list[str]:
         """Column names of the selected features in compiled frames. They are
@@ -98,25 +106,24 @@ class PrepModel:
                 out.append((name, f"((CAST({inner} AS DOUBLE) - {literal(float(m.mean))}) / {literal(float(m.std))})"))
         return out
 
-    def statement(self, with_label: bool = True, passthrough: list[str] = ()) -> str:
-        """SQLTransformer statement: renames, fills, encodes, scales, selects."""
+    def statement(self) -> str:
+        """SQLTransformer statement over raw rows: renames, fills, encodes, scales, selects."""
         # scoring frames carry no target: only the other raw columns are read;
         # NaN becomes null as in training, so it is filled alike
         read = lambda c: f"nullif({ident(c)}, CAST('NaN' AS DOUBLE))" if c in self.float_columns else ident(c)
         rename = ", ".join(f"{read(old)} AS {ident(new)}" for old, new in self.name_map.items()
-                           if old in self.raw_columns and (with_label or new != self.target))
+                           if old in self.raw_columns and new != self.target)
         # a key that the run made itself is not in the raw rows
-        cols = [ident(k) for k in [*self.named_keys(), *passthrough]]
-        if with_label:
-            cols.append(f"{self.label_sql()} AS `label`")
+        cols = [ident(k) for k in self.named_keys()]
         cols += [f"{e} AS {ident(n)}" for n, e in self.feature_sql()]
         return f"SELECT {', '.join(cols)} FROM (SELECT {rename} FROM __THIS__)"
 
-    def transform(self, df: DataFrame, with_label: bool = True, passthrough: list[str] = ()) -> DataFrame:
+    def transform(self, df: DataFrame, with_label: bool = True) -> DataFrame:
         renamed = rename_raw(df, self.name_map)
-        exprs = [q(k) for k in [*self.named_keys(), *passthrough]]
+        exprs = [q(k) for k in self.named_keys()]
         if with_label:
-            exprs.append(F.expr(self.label_sql()).alias("label"))
+            renamed = self.with_label(renamed)
+            exprs.append(F.col(LABEL).alias("label"))
         # display names here: this frame is for reading, models take the positional one
         exprs += [F.expr(e).alias(c) for c, (_, e) in zip(self.selected, self.feature_sql())]
         return renamed.select(*exprs)
@@ -165,7 +172,8 @@ class Cleaned:
     name_map: dict
     keys: list[str]
     warnings: list[str]
-    class_counts: dict | None
+    classes: DataFrame | None
+    n_classes: int
     problem_type: str
     float_columns: list[str] = field(default_factory=list)
 
@@ -208,19 +216,15 @@ def clean_and_split(df: DataFrame, cfg: PrepConfig) -> Cleaned:
     dedup = grouped.drop("__copies")
     cleaned = dedup.where(~allnull).where(q(target).isNotNull())
     problem = cfg.problem_type or E.infer_problem_type(cleaned, target)
-    class_counts = None
-    if problem == "classification":
-        class_counts = {r[0]: int(r[1]) for r in cleaned.groupBy(q(target)).count().collect()}
-    else:
-        class_counts = {0: int(cnt["n"]) - int(cnt["empty"]) - int(cnt["nt"])}
+    classes = class_dictionary(cleaned, target) if problem == "classification" else None
     split, warnings = D.assign_split(cleaned, keys, target if problem == "classification" else None,
                                      stratify=problem == "classification", test_size=cfg.test_size,
-                                     seed=cfg.seed, class_counts=class_counts)
+                                     seed=cfg.seed, classes=classes)
     split = materialize(split, False)
     split.count()               # fills the split cache, so the first copy can go
     grouped.unpersist()
     return Cleaned(split, int(raw["__n"]), len(cols), raw_missing, int(raw["__n"]) - int(cnt["n"]),
-                   int(cnt["empty"]), int(cnt["nt"]), name_map, keys, warnings, class_counts, problem,
+                   int(cnt["empty"]), int(cnt["nt"]), name_map, keys, warnings, classes, 0 if classes is None else classes.count(), problem,
                    [f.name for f in df.schema if f.dataType.typeName() in ("double", "float")])
 
 
@@ -234,7 +238,6 @@ def fit_plan(frame: DataFrame, cfg: PrepConfig, cl: Cleaned) -> PrepModel:
     fit_rows = fit_rows.select(*[q(c) for c in body_cols])
     prof = profile_table(fit_rows)
     protect = [target] + [k for k in keys if k == ROW_KEY]
-    C.resolve_exact_distinct(fit_rows, prof, skip=protect, threshold=cfg.cardinality_threshold)
     dropped = C.cleaning_decisions(prof, protect, cfg.id_names, cfg.cardinality_threshold)
     gone = {c for c, _ in dropped} | set(keys) | {C.clean_name(k) for k in cfg.keys} | {target}
     features = [c for c in body_cols if c not in gone]
@@ -285,10 +288,7 @@ def fit_plan(frame: DataFrame, cfg: PrepConfig, cl: Cleaned) -> PrepModel:
     pairs = [(outer[a], outer[b], r) for a, b, r in N.correlation_pairs(enc_frame, [inner[c] for c in kept], inner_stats)]
     selected, crep = N.correlation_selection(kept, pairs, cfg.correlation_threshold)
 
-    levels = None
-    if cl.problem_type == "classification":
-        levels = sorted(cl.class_counts)
-    return PrepModel(cfg, target, keys, list(cl.name_map), cl.name_map, cl.problem_type, levels,
+    return PrepModel(cfg, target, keys, list(cl.name_map), cl.name_map, cl.problem_type, cl.classes, cl.n_classes,
                      dropped, nfill, cfill, enc, input_features, input_sql, stats, vrep, crep,
                      selected, list(cl.warnings),
                      {"raw_rows": cl.raw_rows, "raw_columns": cl.raw_columns,
@@ -303,7 +303,7 @@ def prepare(df: DataFrame, cfg: PrepConfig):
     """Full preparation: returns (model, prepared frame with __part)."""
     cl = clean_and_split(df, cfg)
     model = fit_plan(cl.frame, cfg, cl)
-    body = cl.frame
-    exprs = [q(k) for k in model.keys] + [F.col("__part"), F.expr(model.label_sql()).alias("label")]
+    body = model.with_label(cl.frame)
+    exprs = [q(k) for k in model.keys] + [F.col("__part"), F.col(LABEL).alias("label")]
     exprs += [F.expr(e).alias(n) for n, e in model.feature_sql()]
     return model, body.select(*exprs), cl

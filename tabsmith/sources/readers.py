@@ -69,13 +69,14 @@ def sample_exact_n(df: DataFrame, key_cols: list[str], n: int = REFERENCE_ROW_CA
     task), and the sample is a narrow filter ``hash <= threshold``. Keys
     must be unique. ``df`` should be cached or cheap to rescan (two or three
     scans)."""
-    from tabsmith.operators.split import kth_smallest_hash
+    from tabsmith.operators.split import kth_smallest
     total = df.count()
     if total <= n:
         return df
-    work = df.withColumn("__h", hash_hex(*key_cols, seed=seed)).withColumn("__grp", F.lit(0))
-    thr = kth_smallest_hash(work, "__grp", "__h", {0: n})[0]
-    return work.where(F.col("__h") <= F.lit(thr)).drop("__h", "__grp")
+    work = df.withColumn("__h", hash_hex(*key_cols, seed=seed))
+    wanted = df.sparkSession.createDataFrame([(0, total, n)], "g int, n bigint, k bigint")
+    thr = kth_smallest(work.select(F.lit(0).alias("g"), F.col("__h").alias("h")), wanted).first()["thr"]
+    return work.where(F.col("__h") <= F.lit(thr)).drop("__h")
 
 
 def sample_fraction(df: DataFrame, key_cols: list[str], percent: int,

@@ -65,3 +65,31 @@ def test_split_many_classes_uses_smaller_prefix_step(spark):
     assert not warn
     per_class = {r["y"]: r["count"] for r in out.where(F.col("__part") == "test").groupBy("y").count().collect()}
     assert len(per_class) == 300 and set(per_class.values()) == {D.n_test_stratified(10)}
+
+
+def test_pairwise_nulls_of_wide_and_narrow_frames(spark, monkeypatch):
+    """80 columns with nulls: every pair as by a plain aggregate over the rows that have both."""
+    import numpy as np
+    monkeypatch.setattr(N, "PAIR_BLOCK", 33)      # several blocks
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 80)) + 1e4
+    x[:, 1] = 2 * x[:, 0]
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 5], x[:, 6] = 3.0, np.nan                 # constant; no value at all
+    x[::2, 7], x[1::2, 8] = np.nan, np.nan         # never there together
+    cols = [f"c.{i}" for i in range(80)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"`{c}` double" for c in cols)).repartition(5)
+    st = N.moments(df, cols)
+    got = {(a, b): r for a, b, r in N.correlation_pairs(df, cols, st)}
+    assert len(got) == 80 * 79 // 2
+    for i in range(80):
+        for j in range(i + 1, 80):
+            a, b = (x[:, k] - (np.nanmean(x[:, k]) if k != 6 else 0) for k in (i, j))
+            n = (~np.isnan(a * b)).sum()
+            if {i, j} & {5, 6} or not n:
+                assert got[(cols[i], cols[j])] is None
+            else:
+                assert got[(cols[i], cols[j])] == pytest.approx(np.nanmean(a * b) / np.nanstd(x[:, i]) / np.nanstd(x[:, j]), abs=1e-9)
+    narrow = {(a, b): r for a, b, r in N.correlation_pairs(df, cols[:3], st)}
+    assert all(r == pytest.approx(got[k], abs=1e-9) for k, r in narrow.items())
+    assert N.correlation_pairs(df, cols[:1], st) == []
