@@ -1,16 +1,17 @@
 """Model registries (K1-K10, R1-R9) and the fit loop.
 
-Every entry is a small adapter with ``fit(train) -> fitted`` and
-``predict(fitted, test) -> (row_key, label, prediction, score)``. Spark ML does
-the training (tree aggregation, L-BFGS, OWL-QN); the adapters only wire
-columns. Models the library lacks are built from its parts:
+Every entry is a Spark ML estimator under the reference's name, so each can be
+fitted, searched (``tune``), saved and applied alike. Spark ML does
+the training (tree aggregation, L-BFGS, OWL-QN). Models the library lacks are
+built in ``stages``:
 
-* KNN - exact blocked search (``knn``);
+* KNN - exact search through a metric index (``knn``);
 * SVM - random Fourier features (Rahimi & Recht, 2007) + ``LinearSVC``,
   calibrated by Platt scaling on out-of-fold margins;
 * SVR - random Fourier features + Huber ``LinearRegression``;
 * boosted-deep / boosted-histogram - ``GBT*`` stand-ins for the two
-  external boosting libraries, named as stand-ins.
+  external boosting libraries, named as stand-ins. Boosting of more than
+  two classes is one-vs-rest with the classes' shares as probabilities.
 
 ``profile="reference"`` uses the reference's sizes (100 trees / rounds);
 ``profile="fast"`` caps trees at 20 and depth at 8 for benchmarking.
@@ -21,27 +22,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any, Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.ml import Model
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
-                                       LogisticRegression, NaiveBayes, OneVsRest,
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, NaiveBayes, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from tabsmith.functions.expr import hash_unit, right_size
-from tabsmith.operators import knn as KNN
-
-SEED = 42
-RFF_COMPONENTS = 256
-PLATT_FOLDS = 5
-# the tolerance at which margin models stop, that of the library whose models they stand for
-MARGIN_TOL = 1e-3
+from tabsmith.operators.stages import SEED, ClassShares, KernelMachine, NearestNeighbours
 
 
 @dataclass
@@ -50,122 +40,32 @@ class Spec:
     fit: Callable[[DataFrame], Any]
     predict: Callable[[Any, DataFrame], DataFrame]
     engine: str
-    estimator: Any = None          # the Spark ML estimator, when there is one (tuning)
+    estimator: Any = None          # the Spark ML estimator (search, saving)
 
 
 # -------------------------------------------------------- adapter helpers ---
 
-def _ml_predict(binary_score: bool):
-    def run(model, test: DataFrame) -> DataFrame:
-        out = model.transform(test)
-        if binary_score and "probability" in out.columns:
-            score = vector_to_array("probability")[1]
-        else:
-            score = F.lit(None).cast("double")
-        return out.select("row_key", "label", F.col("prediction").cast("double").alias("prediction"),
-                          score.alias("score"))
-    return run
-
-
-def is_stage(model) -> bool:
-    """Whether a fitted model is one Spark ML stage, which can be saved."""
-    return isinstance(model, Model)
-
-
-def _ml(name, est, engine, binary_score=False) -> Spec:
-    return Spec(name, lambda tr: est.fit(tr), _ml_predict(binary_score), engine, est)
-
-
-def _rff_transform(d: int, gamma: float, components: int = RFF_COMPONENTS, seed: int = SEED):
-    """z(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma), b ~ U(0, 2 pi):
-    an Arrow-batched pandas UDF (one matrix product per batch)."""
-    rng = np.random.default_rng(seed)
-    W = rng.normal(0.0, np.sqrt(2.0 * gamma), size=(components, d))
-    b = rng.uniform(0.0, 2 * np.pi, size=components)
-    scale = np.sqrt(2.0 / components)
-
-    @pandas_udf("array<double>")
-    def rff(x: pd.Series) -> pd.Series:
-        X = np.stack(x.to_numpy()).astype(np.float64)
-        Z = scale * np.cos(X @ W.T + b)
-        return pd.Series(list(Z))
-
-    def apply(df: DataFrame) -> DataFrame:
-        return df.withColumn("features", array_to_vector(rff(vector_to_array("features"))))
-    return apply
-
-
-def _gamma_scale(train: DataFrame, d: int) -> float:
-    """gamma = 1 / (d x variance of all feature values) ('scale')."""
-    arr = train.select(F.explode(vector_to_array("features")).alias("v"))
-    v = arr.agg(F.var_pop("v")).collect()[0][0] or 1.0
-    return 1.0 / (d * v) if v > 0 else 1.0
-
-
-def _svm_spec(num_classes: int, d: int, max_iter: int) -> Spec:
-    def fit(train: DataFrame):
-        rff = _rff_transform(d, _gamma_scale(train, d))
-        n0 = train.count()
-        z = right_size(rff(train), n0, RFF_COMPONENTS + 2).cache()
-        if num_classes > 2:
-            return ("ovr", rff, OneVsRest(classifier=LinearSVC(maxIter=max_iter, tol=MARGIN_TOL, regParam=1.0 / max(1, z.count()))).fit(z))
-        fold = F.floor(hash_unit("row_key", seed=SEED + 1) * PLATT_FOLDS)
-        z = z.withColumn("__fold", fold)
-        n = z.count()
-        svc = LinearSVC(maxIter=max_iter, tol=MARGIN_TOL, regParam=1.0 / max(1, n))
-
-        def fold_margins(k):
-            m = svc.copy().fit(z.where(F.col("__fold") != k))
-            return m.transform(z.where(F.col("__fold") == k)).select(
-                "label", vector_to_array("rawPrediction")[1].alias("margin"))
-        # the out-of-fold fits and the final fit are independent: run them together
-        from concurrent.futures import ThreadPoolExecutor
-        with ThreadPoolExecutor(max_workers=PLATT_FOLDS + 1) as pool:
-            final_f = pool.submit(lambda: svc.copy().fit(z))
-            parts = list(pool.map(fold_margins, range(PLATT_FOLDS)))
-            final = final_f.result()
-        margins = parts[0]
-        for part in parts[1:]:
-            margins = margins.unionByName(part)
-        platt = LogisticRegression(maxIter=100, regParam=0.0).fit(
-            margins.select("label", array_to_vector(F.array("margin")).alias("features")))
-        return ("platt", rff, final, platt)
-
-    def predict(fitted, test: DataFrame) -> DataFrame:
-        if fitted[0] == "ovr":
-            _, rff, m = fitted
-            return m.transform(rff(test)).select("row_key", "label", F.col("prediction").cast("double").alias("prediction"),
-                                                 F.lit(None).cast("double").alias("score"))
-        _, rff, final, platt = fitted
-        mar = final.transform(rff(test)).select("row_key", "label", vector_to_array("rawPrediction")[1].alias("margin"))
-        cal = platt.transform(mar.withColumn("features", array_to_vector(F.array("margin"))))
+def predictions(model, rows: DataFrame, binary_score: bool = False) -> DataFrame:
+    """(row_key, label, prediction, score); ``score`` is the probability of class 1 of two."""
+    out = model.transform(rows)
+    if binary_score and "probability" in out.columns:
         score = vector_to_array("probability")[1]
-        return cal.select("row_key", "label", (score >= 0.5).cast("double").alias("prediction"), score.alias("score"))
-    return Spec("SVM", fit, predict, "random Fourier features + LinearSVC + Platt scaling")
-
+    else:
+        score = F.lit(None).cast("double")
+    return out.select("row_key", "label", F.col("prediction").cast("double").alias("prediction"), score.alias("score"))
 
-def _knn_spec(name: str, classify: bool) -> Spec:
-    def fit(train: DataFrame):
-        return train.select("row_key", "label", "features")
 
-    def predict(train: DataFrame, test: DataFrame) -> DataFrame:
-        nn = KNN.neighbours(train, test.select("row_key", "features"), "row_key", "features", "label")
-        out = KNN.knn_classify(nn) if classify else KNN.knn_regress(nn).withColumn(
-            "score", F.lit(None).cast("double"))
-        # the neighbours come back by key (unique, see prep), so their label is fetched by it
-        return out.withColumnRenamed("qid", "row_key").join(test.select("row_key", "label"), "row_key")
-    return Spec(name, fit, predict, "exact blocked k-nearest neighbours (k=5)")
+def release(model) -> None:
+    """Drop what a fitted model keeps cached."""
+    if isinstance(model, PipelineModel):
+        for stage in model.stages:
+            release(stage)
+    elif hasattr(model, "release"):
+        model.release()
 
 
-def _svr_spec(d: int, max_iter: int) -> Spec:
-    def fit(train: DataFrame):
-        rff = _rff_transform(d, _gamma_scale(train, d))
-        return rff, LinearRegression(loss="huber", maxIter=max_iter, tol=MARGIN_TOL, regParam=0.0).fit(rff(train))
-
-    def predict(fitted, test):
-        rff, m = fitted
-        return m.transform(rff(test)).select("row_key", "label", "prediction", F.lit(None).cast("double").alias("score"))
-    return Spec("SVR", fit, predict, "random Fourier features + Huber linear regression (kernel Huber)")
+def _ml(name, est, engine, binary_score=False) -> Spec:
+    return Spec(name, lambda tr: est.fit(tr), lambda m, rows: predictions(m, rows, binary_score), engine, est)
 
 
 # ------------------------------------------------------------- registries ---
@@ -183,7 +83,7 @@ def classifiers(n_train: int, num_classes: int, d: int, profile: str = "referenc
 
     def boosted(**kw):
         g = GBTClassifier(seed=SEED, **kw)
-        return g if binary else OneVsRest(classifier=g)
+        return g if binary else Pipeline(stages=[OneVsRest(classifier=g), ClassShares(scale=2.0)])
     return [
         _ml("Logistic Regression", LogisticRegression(maxIter=s["iters"], regParam=1.0 / max(1, n_train),
                                                       elasticNetParam=0.0, standardization=False),
@@ -193,8 +93,8 @@ def classifiers(n_train: int, num_classes: int, d: int, profile: str = "referenc
         _ml("Random Forest", RandomForestClassifier(numTrees=s["trees"], maxDepth=s["forest_depth"],
                                                     featureSubsetStrategy="sqrt", seed=SEED),
             "RandomForestClassifier", True),
-        _knn_spec("KNN", True),
-        _svm_spec(num_classes, d, s["iters"]),
+        _ml("KNN", NearestNeighbours(), "exact k-nearest neighbours (k=5) through a metric index", binary),
+        _ml("SVM", KernelMachine(maxIter=s["iters"]), "random Fourier features + LinearSVC + Platt scaling", binary),
         _ml("Gradient Boosting", boosted(maxIter=s["rounds"], maxDepth=3, stepSize=0.1),
             "GBTClassifier (one-vs-rest above two classes)", binary),
         _ml("Naive Bayes", NaiveBayes(modelType="gaussian"), "NaiveBayes gaussian", True),
@@ -217,8 +117,8 @@ def regressors(n_train: int, d: int, profile: str = "reference") -> list[Spec]:
         _ml("Random Forest Regressor", RandomForestRegressor(numTrees=s["trees"], maxDepth=s["forest_depth"],
                                                              featureSubsetStrategy="all", seed=SEED),
             "RandomForestRegressor"),
-        _knn_spec("KNN Regressor", False),
-        _svr_spec(d, s["iters"]),
+        _ml("KNN Regressor", NearestNeighbours(regression=True), "exact k-nearest neighbours (k=5) through a metric index"),
+        _ml("SVR", KernelMachine(regression=True, maxIter=s["iters"]), "random Fourier features + Huber linear regression (kernel Huber)"),
         _ml("Gradient Boosting Regressor", GBTRegressor(maxIter=s["rounds"], maxDepth=3, stepSize=0.1, seed=SEED),
             "GBTRegressor"),
         _ml("Boosted Trees Deep Regressor", GBTRegressor(maxIter=s["rounds"], maxDepth=6, stepSize=0.3, seed=SEED),

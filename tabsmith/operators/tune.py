@@ -1,9 +1,12 @@
 """Hyper-parameter search.
 
-``CrossValidator`` with a hashed ``foldCol`` (repeatable under any
-partitioning), ``parallelism=2`` and the reference's grids translated to
-Spark parameters. Random search draws ``n_iter`` settings without
-replacement from the full grid with a seeded generator.
+A fold engine over any estimator of the registries, KNN, SVM, SVR and one-vs-rest
+included: folds by key hash (repeatable under any partitioning), every (setting,
+fold) a fit of its own, some at a time, and the score of each from one
+aggregate over all predictions held out. The result is the long table (setting,
+fold, score, rows) beside the averages. The reference's grids are translated to
+Spark parameters; random search draws ``n_iter`` settings without replacement
+from those that differ in Spark, with a seeded generator.
 """
 
 from __future__ import annotations
@@ -11,12 +14,18 @@ from __future__ import annotations
 import itertools
 import random
 
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark import StorageLevel
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import OneVsRest
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith.functions.expr import hash_unit
+from tabsmith.operators import models as K
 
 FOLDS = 3
 N_ITER = 5
@@ -83,25 +92,37 @@ def random_settings(grid: dict, n_iter: int = N_ITER, seed: int = SEED) -> list[
     return rng.sample(allset, min(n_iter, len(allset)))
 
 
-FAST_CAPS = {"maxIter": 20, "numTrees": 20, "maxDepth": 8}
+def searchable(est) -> dict:
+    """Parameters by name, those of the estimators inside a pipeline or one-vs-rest too."""
+    if isinstance(est, Pipeline):
+        return {n: p for stage in est.getStages() for n, p in searchable(stage).items()}
+    if isinstance(est, OneVsRest):
+        return searchable(est.getClassifier())
+    return {p.name: p for p in est.params}
 
 
-def to_param_map(est, setting: dict, n_train: int, caps: dict | None = None) -> dict:
+def to_param_map(est, setting: dict, n_train: int) -> dict:
     """Translate one reference setting to Spark parameters of ``est``;
-    settings without a counterpart (solver, min_samples_split, num_leaves,
-    kernel choice, var_smoothing: Spark fixes the Gaussian variance floor)
+    settings without a counterpart (solver, min_samples_split,
+    var_smoothing: Spark fixes the Gaussian variance floor)
     are dropped, and settings that become equal are searched once."""
     pm = {}
-    names = {p.name: p for p in est.params}
+    names = searchable(est)
 
     def put(name, value):
         if name in names:
-            if caps and name in caps and isinstance(value, int):
-                value = min(value, caps[name])
             pm[names[name]] = value
     for k, v in setting.items():
         if k == "C":
+            put("C", float(v))
             put("regParam", 1.0 / (v * max(1, n_train)))
+        elif k == "n_neighbors":
+            put("k", int(v))
+        elif k in ("weights", "metric", "kernel"):
+            put(k, v)
+        elif k == "gamma":
+            if setting.get("kernel") != "linear":    # a linear kernel has none
+                put("gamma", v)
         elif k in ("max_iter",):
             put("maxIter", int(v))
         elif k == "n_estimators":
@@ -126,17 +147,11 @@ def to_param_map(est, setting: dict, n_train: int, caps: dict | None = None) ->
     return pm
 
 
-def evaluator(problem_type: str):
-    if problem_type == "classification":
-        return MulticlassClassificationEvaluator(metricName="accuracy")
-    return RegressionEvaluator(metricName="r2")
-
-
-def distinct_maps(est, settings: list[dict], n_train: int, caps: dict | None = None) -> list[dict]:
+def distinct_maps(est, settings: list[dict], n_train: int) -> list[dict]:
     """The settings as parameters of ``est``, equal ones once."""
     maps, seen = [], set()
     for s in settings:
-        pm = to_param_map(est, s, n_train, caps)
+        pm = to_param_map(est, s, n_train)
         key = tuple(sorted((p.name, str(v)) for p, v in pm.items()))
         if key not in seen:
             seen.add(key)
@@ -144,22 +159,80 @@ def distinct_maps(est, settings: list[dict], n_train: int, caps: dict | None = N
     return maps
 
 
+def fold_score(problem_type: str) -> Column:
+    """Accuracy, or R2 (null where the labels do not vary), of a group of predictions."""
+    if problem_type == "classification":
+        return F.avg((F.col("label") == F.col("prediction")).cast("double"))
+    error = F.col("label") - F.col("prediction")
+    return 1.0 - F.try_divide(F.avg(error * error), F.var_pop("label"))
+
+
+def fits_at_once(train: DataFrame) -> int:
+    """Small frames leave cores idle: as many fits run together as their partitions leave room for, two at least."""
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    return max(PARALLELISM, cores // max(1, train.rdd.getNumPartitions()))
+
+
+def fold_scores(est, maps: list[dict], train: DataFrame, problem_type: str, folds: int = FOLDS, seed: int = SEED,
+                parallelism: int | None = None) -> DataFrame:
+    """(setting, fold, score, rows) of every setting on every fold, cached: one
+    aggregate over the union of all predictions held out."""
+    data = train.withColumn("__fold", F.floor(hash_unit("row_key", seed=seed) * folds).cast("int")).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def one(job):
+        setting, fold = job
+        model = est.copy(maps[setting]).fit(data.where(F.col("__fold") != fold))
+        out = K.predictions(model, data.where(F.col("__fold") == fold))
+        return model, out.select(F.lit(setting).alias("setting"), F.lit(fold).alias("fold"), "label", "prediction")
+
+    jobs = [(s, f) for s in range(len(maps)) for f in range(folds)]
+    with ThreadPoolExecutor(max_workers=parallelism or fits_at_once(train)) as pool:
+        done = list(pool.map(one, jobs))
+    held = reduce(DataFrame.unionByName, [p for _, p in done])
+    scores = held.groupBy("setting", "fold").agg(fold_score(problem_type).alias("score"), F.count("*").alias("rows")).persist()
+    scores.count()
+    for model, _ in done:
+        K.release(model)
+    data.unpersist()
+    return scores
+
+
+@dataclass
+class Search:
+    """Every fold's score, the averages in the order tried, and the refitted winner."""
+    params: list[dict]                # by setting, as text
+    folds: DataFrame                  # (setting, fold, score, rows)
+    averages: list[float | None]
+    best: int
+    best_model: object
+
+    @property
+    def best_params(self) -> dict:
+        return self.params[self.best]
+
+    @property
+    def best_score(self) -> float | None:
+        return self.averages[self.best]
+
+    @property
+    def results(self) -> list[tuple[dict, float | None]]:
+        return list(zip(self.params, self.averages))
+
+
 def tune_model(est, grid: dict, train: DataFrame, problem_type: str, search: str = "grid",
-               n_iter: int = N_ITER, seed: int = SEED, folds: int = FOLDS, caps: dict | None = None):
-    """Returns dict(best_model, best_params, best_score, results).
-    ``caps`` bounds integer sizes (the fast profile uses ``FAST_CAPS``)."""
+               n_iter: int = N_ITER, seed: int = SEED, folds: int = FOLDS) -> Search:
+    """Score the settings on all folds, refit the best on
+    all rows. The first of equal averages wins; a fold without rows, or whose
+    labels do not vary (R2), is left out of its average."""
     if search not in ("grid", "random"):
         raise ValueError("Search type must be grid or random")
-    maps = distinct_maps(est, reference_settings(grid), train.count(), caps)
+    maps = distinct_maps(est, reference_settings(grid), train.count())
     if search == "random":   # drawn from settings that differ in Spark
         maps = random.Random(seed).sample(maps, min(n_iter, len(maps)))
-    if not maps:
-        maps = ParamGridBuilder().build()
-    data = train.withColumn("__fold", F.floor(hash_unit("row_key", seed=seed) * folds).cast("int"))
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator(problem_type),
-                        numFolds=folds, foldCol="__fold", parallelism=PARALLELISM, seed=seed, collectSubModels=False)
-    m = cv.fit(data)
-    best_i = max(range(len(maps)), key=lambda i: m.avgMetrics[i])
-    results = [({p.name: str(v) for p, v in pm.items()}, float(score)) for pm, score in zip(maps, m.avgMetrics)]
-    return {"best_model": m.bestModel, "best_params": results[best_i][0], "best_score": results[best_i][1],
-            "results": results}
+    maps = maps or [{}]
+    scores = fold_scores(est, maps, train, problem_type, folds, seed)
+    mean = {r["setting"]: r["s"] for r in scores.groupBy("setting").agg(F.avg("score").alias("s")).collect()}
+    averages = [mean.get(i) for i in range(len(maps))]
+    best = max(range(len(maps)), key=lambda i: (averages[i] is not None, averages[i] or 0.0, -i))
+    params = [{p.name: str(v) for p, v in pm.items()} for pm in maps]
+    return Search(params, scores, averages, best, est.copy(maps[best]).fit(train))

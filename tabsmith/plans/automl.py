@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import IndexToString, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +22,7 @@ from tabsmith.functions.expr import right_size
 from tabsmith.operators import compare as L
 from tabsmith.operators import evaluate as V
 from tabsmith.operators import models as K
+from tabsmith.operators.stages import ClassNames, parameters
 from tabsmith.plans.prep import PrepConfig, PrepModel, prepare
 
 # Fixed values of the reference: metric lists per problem type (Q4).
@@ -32,6 +33,9 @@ LEADERBOARD_METRICS = {"classification": ["Accuracy", "F1 Score"], "regression":
 METRIC_COLUMN = {"Accuracy": "accuracy", "Precision": "precision", "Recall": "recall", "F1 Score": "f1",
                  "ROC-AUC": "roc_auc", "R2": "r2", "RMSE": "rmse", "MAE": "mae", "MSE": "mse"}
 
+#: Classes up to which the bundle's description lists them.
+META_CLASSES = 1_000
+
 
 @dataclass
 class RunResult:
@@ -48,7 +52,10 @@ class RunResult:
     extra: dict = field(default_factory=dict)
 
     def evaluation_long(self) -> DataFrame:
-        return V.evaluation_long(self.predictions, self.problem_type)
+        """S5, worked out once a run."""
+        if "evaluation" not in self.extra:
+            self.extra["evaluation"] = V.evaluation_long(self.predictions, self.problem_type).persist(StorageLevel.MEMORY_AND_DISK)
+        return self.extra["evaluation"]
 
     def summary(self) -> DataFrame:
         """Q1: one row: type, raw rows / columns / missing, winner, metric."""
@@ -81,10 +88,7 @@ class RunResult:
     def best_parameters(self) -> DataFrame:
         """One row with winner, its metrics and parameters, feature names."""
         spark = self.predictions.sparkSession
-        m = self.fitted[self.best_model_name]
-        params = {}
-        if hasattr(m, "extractParamMap"):
-            params = {p.name: str(v) for p, v in m.extractParamMap().items()}
+        params = parameters(self.fitted[self.best_model_name])
         best = self.leaderboard.where(F.col("rank") == 1).drop("rank").first().asDict()
         payload = {"problem_type": self.problem_type, "selected_model": self.best_model_name,
                    "best_model": best, "parameters": params,
@@ -99,15 +103,11 @@ class RunResult:
         assembler and the fitted model."""
         name = name or self.best_model_name
         m = self.fitted[name]
-        prep = SQLTransformer(statement=self.prep.statement(with_label=False))
+        prep = SQLTransformer(statement=self.prep.statement())
         asm = VectorAssembler(inputCols=self.prep.feature_columns(), outputCol="features", handleInvalid="keep")
-        if not K.is_stage(m):
-            raise ValueError(f"{name} is not a single Spark ML model; choose another model to save")
         stages = [prep, asm, m]
         if self.problem_type == "classification":
-            # the class values of the raw target, as text, beside their indexes
-            stages.append(IndexToString(inputCol="prediction", outputCol="predicted_label",
-                                        labels=[str(c) for c in self.prep.target_levels]))
+            stages.append(ClassNames(self.prep.class_names(), self.prep.n_classes))
         return PipelineModel(stages=stages)
 
     def save(self, path: str, name: str | None = None) -> None:
@@ -116,8 +116,10 @@ class RunResult:
         self.evaluation_long().coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/evaluation_report")
         self.leaderboard.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/model_comparison")
         self.best_parameters().coalesce(1).write.mode("overwrite").json(f"{path}/best_parameters")
-        meta = {"classes": [str(c) for c in (self.prep.target_levels or [])],
-                "problem_type": self.problem_type, "keys": self.prep.keys,
+        # the class list is in the model's own table, and here for reading while it is short
+        short = 0 < self.prep.n_classes <= META_CLASSES
+        meta = {"classes": [r["name"] for r in self.prep.class_names().orderBy("label").collect()] if short else [],
+                "n_classes": self.prep.n_classes, "problem_type": self.problem_type, "keys": self.prep.keys,
                 "raw_columns": self.prep.raw_columns, "selected": self.prep.selected}
         self.predictions.sparkSession.createDataFrame([(json.dumps(meta),)], "meta string") \
             .coalesce(1).write.mode("overwrite").text(f"{path}/meta")
@@ -158,7 +160,7 @@ def train_and_rank(p: Prepared, profile: str = "reference", only: list[str] | No
     model = p.prep
     d = len(model.selected)
     if model.problem_type == "classification":
-        specs = K.classifiers(p.n_train, len(model.target_levels), d, profile)
+        specs = K.classifiers(p.n_train, model.n_classes, d, profile)
     else:
         specs = K.regressors(p.n_train, d, profile)
     fitted, preds = K.train_all(specs, p.train, p.test, only)

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabsmith.operators import encode as E
 from tabsmith.operators import knn, tune
+from tabsmith.operators.classes import class_dictionary, labelled
 from tabsmith.operators import models as K
 from tabsmith.plans import automl
 from tabsmith.plans.prep import PrepConfig, prepare
@@ -36,8 +36,10 @@ def test_run_without_keys_saves_and_scores_raw_rows(spark, tmp_path):
     known = df.where("NOT isnan(x)")
     counts = {r[0]: r[1] for r in model.transform(known).groupBy("predicted_label").count().collect()}
     assert counts == {r[0]: r[1] for r in known.groupBy("y").count().collect()}  # x decides
-    with pytest.raises(ValueError):
-        run.scoring_model("KNN")
+    run.save(str(tmp_path / "k"), "KNN")
+    known = df.where("NOT isnan(x)")
+    near = automl.load_scoring_model(str(tmp_path / "k")).transform(known.drop("y")).groupBy("predicted_label").count().collect()
+    assert sum(r["count"] for r in near) == known.count()
 
 
 def test_awkward_levels_become_features_of_their_own(spark):
@@ -62,7 +64,7 @@ def test_composite_and_repeated_keys_do_not_multiply_predictions(spark):
 def test_label_index_of_any_type(spark, values, kind):
     df = spark.createDataFrame([(v,) for v in values], f"y {kind}")
     levels = sorted(values)
-    got = {r[0]: r[1] for r in df.select("y", F.expr(E.label_index_expression("y", levels))).collect()}
+    got = {r[0]: r[1] for r in labelled(df, "y", class_dictionary(df, "y")).select("y", "label").collect()}
     assert got == {v: float(levels.index(v)) for v in values}
 
 
