@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from tabsmith.functions.expr import nan_to_null
 from tabsmith.operators import clean as C
+from tabsmith.operators.classes import class_dictionary, labelled
 from tabsmith.operators import compare as L
 from tabsmith.operators import encode as E
 from tabsmith.operators import evaluate as V
@@ -136,11 +137,11 @@ def q_drop_empty_rows(spark, sf):
 @lru_cache(maxsize=8)
 def _state(spark: SparkSession, sf: str):
     """Decisions of the cleaning / imputing / encoding chain on dirty_orders,
-    target protected, ``id`` carried as the row key."""
-    df = _nonempty(spark, sf)
+    target protected, ``id`` carried as the row key. The deduplicated frame is
+    cached: every key derived from it would repeat the shuffle."""
+    df = _nonempty(spark, sf).persist()
     prof = profile_table(df)
     protect = ["target"]
-    C.resolve_exact_distinct(df, prof, skip=protect)
     dropped = C.cleaning_decisions(prof, protect)
     gone = {c for c, _ in dropped}
     feats = [c for c in df.columns if c not in gone and c != "target"]
@@ -165,11 +166,6 @@ def q_drop_id_columns(spark, sf):
 def q_drop_high_cardinality(spark, sf):
     df, prof, dropped, *_ = _state(spark, sf)
     gone = {c for c, a in dropped if not a.startswith("Removed (Unique")}
-    # the report shows exact counts: fetch them for wide columns in one aggregate
-    from tabsmith.plans.profile import exact_distinct
-    wide = [c for c in prof.categorical() if prof.columns[c].distinct is None and c not in gone]
-    for c, d in exact_distinct(df, wide).items():
-        prof.columns[c].distinct = d
     rows = []
     for c in prof.categorical():
         if c in gone or c == "target":
@@ -258,9 +254,8 @@ def q_encoding_report(spark, sf):
 
 def q_split_xy(spark, sf):
     df = _nonempty(spark, sf)
-    levels = E.target_levels(df, "target")
     feats, y = E.split_xy(df, "target", ["id"])
-    return df.select("id", F.expr(E.label_index_expression(y, levels)).alias("label"))
+    return labelled(df, y, class_dictionary(df, y)).select("id", "label")
 
 
 def q_infer_problem_type(spark, sf):

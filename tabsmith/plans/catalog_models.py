@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import uuid
-from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 from pyspark.ml.classification import NaiveBayes
@@ -28,12 +27,9 @@ from tabsmith.plans.catalog import rounded
 from tabsmith.session import checkpoint_dir
 from tabsmith.sources import fixtures as X
 
-# registered model keys use the reference sizes (100 trees or rounds);
-# tune_grid, tune_random and tuning_results search the full translated grids; tune_top3,
-# which searches three models, bounds sizes by tune.FAST_CAPS (<=20 trees or rounds,
-# depth <=8): its grids reach 300 rounds x 5 settings x 3 folds a model
+# registered model keys use the reference sizes (100 trees or rounds); all
+# searches, those over the top three too, take the full translated grids
 PROFILE = "reference"
-TOP3_CAPS = G.FAST_CAPS
 
 
 @lru_cache(maxsize=4)
@@ -162,23 +158,14 @@ def q_reg_knn(spark, sf):
 @lru_cache(maxsize=8)
 def _tuning(spark, sf, name, search):
     p = _prepared(spark, sf, "classification")
-    specs = K.classifiers(p.n_train, len(p.prep.target_levels), len(p.prep.selected), PROFILE)
+    specs = K.classifiers(p.n_train, p.prep.n_classes, len(p.prep.selected), PROFILE)
     est = next(s.estimator for s in specs if s.name == name).copy()
     grid = G.CLASSIFICATION_GRIDS[G.SLOT_NAMES.get(name, name)]
     return G.tune_model(est, grid, p.train, "classification", search)
 
 
-def _estimator_of(r, name):
-    """A fresh copy of the registry's Spark estimator for ``name`` (None for
-    models that are not a single Spark estimator: KNN, SVM)."""
-    for spec in r.specs:
-        if spec.name == name and spec.estimator is not None:
-            return spec.estimator.copy()
-    return None
-
-
 def _results_frame(spark, name, res):
-    rows = [(name, json.dumps(p, sort_keys=True), i, float(s)) for i, (p, s) in enumerate(res["results"])]
+    rows = [(name, json.dumps(p, sort_keys=True), i, None if s is None else float(s)) for i, (p, s) in enumerate(res.results)]
     return spark.createDataFrame(rows, "model string, params string, setting bigint, cv_accuracy double")
 
 
@@ -197,37 +184,41 @@ def q_tuning_results(spark, sf):
     out = []
     for name, search in [("Decision Tree", "grid"), ("Random Forest", "random")]:
         res = _tuning(spark, sf, name, search)
-        out.append((name, search, json.dumps(res["best_params"], sort_keys=True), float(res["best_score"])))
+        out.append((name, search, json.dumps(res.best_params, sort_keys=True), float(res.best_score)))
     return rounded(spark.createDataFrame(out, "model string, search string, best_params string, best_score double"))
 
 
-def q_tune_top3(spark, sf):
+def q_tuning_folds(spark, sf):
+    """Every fold's score of the grid search over KNN, all of whose settings are exact."""
+    res = _tuning(spark, sf, "KNN", "grid")
+    names = spark.createDataFrame([(i, json.dumps(p, sort_keys=True)) for i, p in enumerate(res.params)], "setting int, params string")
+    return rounded(res.folds.join(F.broadcast(names), "setting").select("params", "fold", "score", "rows"))
+
+
+def _tune_top3(spark, sf, kind):
     """G7 + G8: tune the top three models (grid for cheap ones, random
-    otherwise, untuned when no Spark estimator exists), keep a tuned model
-    only when its test accuracy is strictly higher, rank again."""
-    r = _run(spark, sf, "classification")
-    top = [row["model"] for row in L.top_models(r.leaderboard).orderBy("rank").collect()]
-
-    def tuned_predictions(name):
-        est = _estimator_of(r, name)
-        grid = G.CLASSIFICATION_GRIDS.get(G.SLOT_NAMES.get(name, name))
-        if est is None or grid is None:
-            return None
-        search = "grid" if name in G.GRID_SEARCHED else "random"
-        res = G.tune_model(est, grid, r.train, "classification", search, caps=TOP3_CAPS)
-        return K._ml_predict(True)(res["best_model"], r.test).select(
-            "row_key", F.lit(name).alias("model"), "label", "prediction", "score")
-
-    # the searches are independent: their jobs share the cluster
-    with ThreadPoolExecutor(max_workers=len(top) or 1) as pool:
-        parts = [p for p in pool.map(tuned_predictions, top) if p is not None]
-    tuned_preds = None
-    for p in parts:
-        tuned_preds = p if tuned_preds is None else tuned_preds.unionByName(p)
-    if tuned_preds is None:
-        return rounded(r.leaderboard.select("model", F.lit("original").alias("version"), "accuracy", "rank"))
-    tuned = L.leaderboard_classification(tuned_preds)
-    return rounded(L.select_tuned(r.leaderboard, tuned, "accuracy"))
+    otherwise), keep a tuned model only when its test score is strictly higher, rank again."""
+    r = _run(spark, sf, kind)
+    grids = G.CLASSIFICATION_GRIDS if kind == "classification" else G.REGRESSION_GRIDS
+    tuned = None
+    for row in L.top_models(r.leaderboard).orderBy("rank").collect():
+        name = row["model"]
+        spec = next(s for s in r.specs if s.name == name)
+        res = G.tune_model(spec.estimator, grids[G.SLOT_NAMES.get(name, name)], r.train, kind,
+                           "grid" if name in G.GRID_SEARCHED else "random")
+        part = spec.predict(res.best_model, r.test).select("row_key", F.lit(name).alias("model"), "label", "prediction", "score")
+        tuned = part if tuned is None else tuned.unionByName(part)
+    if kind == "classification":
+        return rounded(L.select_tuned(r.leaderboard, L.leaderboard_classification(tuned), "accuracy"))
+    return rounded(L.select_tuned(r.leaderboard, L.leaderboard_regression(tuned), "r2"))
+
+
+def q_tune_top3(spark, sf):
+    return _tune_top3(spark, sf, "classification")
+
+
+def q_tune_top3_regression(spark, sf):
+    return _tune_top3(spark, sf, "regression")
 
 
 # ----------------------------------------------------------------- scoring ---
@@ -235,11 +226,7 @@ def q_tune_top3(spark, sf):
 def _bundle(spark, sf):
     r = _run(spark, sf, "classification")
     path = f"{checkpoint_dir(spark).rstrip('/')}/bundles/classification-{uuid.uuid4().hex}"
-    name = r.best_model_name
-    if not K.is_stage(r.fitted[name]):
-        name = [row["model"] for row in r.leaderboard.orderBy("rank").collect()
-                if K.is_stage(r.fitted[row["model"]])][0]
-    r.save(path, name)
+    r.save(path)
     return r, path
 
 
@@ -260,11 +247,8 @@ def q_predict_proba(spark, sf):
     model = automl.load_scoring_model(path)
     meta = automl.load_meta(spark, path)
     out = model.transform(X.labelled_docs(spark, sf).drop("quality"))
-    if "probability" not in out.columns:
-        return out.select("doc_id", F.lit(None).cast("map<string,double>").alias("probabilities"))
-    arr = vector_to_array("probability")
-    return out.select("doc_id", F.map_from_arrays(F.array(*[F.lit(c) for c in meta["classes"]]),
-                                                  F.transform(arr, lambda x: F.round(x, 6))).alias("probabilities"))
+    arr = F.transform(vector_to_array("probability"), lambda x: F.round(x, 6))
+    return out.select("doc_id", F.map_from_arrays(F.array(*[F.lit(c) for c in meta["classes"]]), arr).alias("probabilities"))
 
 
 def q_stream_predict(spark, sf):

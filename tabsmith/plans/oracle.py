@@ -319,13 +319,23 @@ ORACLE["metric_r2"] = _REG + f"SELECT model, {_r('r2')} AS r2 FROM reg_m"
 _CMJ = (",\ncm_cells AS (" + _cm("b", "binary") + "),\n"
         "cm_rows AS (SELECT model, label, list(count ORDER BY prediction) AS r FROM cm_cells GROUP BY model, label),\n"
         "cm_json AS (SELECT model, CAST(to_json(list(r ORDER BY label)) AS VARCHAR) AS matrix FROM cm_rows GROUP BY model)\n")
+# the usual text table: name to the width of 'weighted avg' (class names here are shorter), cells to 9
+_CELL = "lpad(CASE WHEN {0} IS NULL THEN '' ELSE format('{{:.2f}}', round({0}, 6)) END, 9, ' ')"
+_REPT = (",\nrep_rows AS (" + _report("b", "binary") + "),\n"
+         "rep_lines AS (SELECT model, class_value, CASE row_type WHEN 'class' THEN 0 WHEN 'accuracy' THEN 1 WHEN 'macro avg' THEN 2 ELSE 3 END AS k, "
+         "lpad(CASE WHEN row_type = 'class' THEN CAST(CAST(class_value AS BIGINT) AS VARCHAR) ELSE row_type END, 12, ' ') || '  ' || "
+         + " || ' ' || ".join(_CELL.format(c) for c in ("precision", "recall", "f1"))
+         + " || ' ' || lpad(CAST(support AS VARCHAR), 9, ' ') AS line FROM rep_rows),\n"
+         "rep_text AS (SELECT model, '" + " " * 13 + " precision    recall  f1-score   support' || chr(10) || chr(10) || "
+         "string_agg(CASE WHEN k = 1 THEN chr(10) ELSE '' END || line, chr(10) ORDER BY k, class_value) || chr(10) AS report FROM rep_lines GROUP BY model)\n")
 ORACLE["evaluation_long"] = (
-    _EVAL_CTES + _CMJ +
+    _EVAL_CTES + _CMJ + _REPT +
     " UNION ALL ".join(f"SELECT m.model, '{n}' AS metric, {_r(c)} AS value, CAST(NULL AS VARCHAR) AS value_json "
                        f"FROM b_m m JOIN b_auc a ON a.model = m.model"
                        for n, c in [("Accuracy", "accuracy"), ("Precision", "precision"), ("Recall", "recall"),
                                     ("F1 Score", "f1"), ("ROC-AUC", "roc_auc")])
-    + " UNION ALL SELECT model, 'Confusion Matrix', CAST(NULL AS DOUBLE), matrix FROM cm_json")
+    + " UNION ALL SELECT model, 'Confusion Matrix', CAST(NULL AS DOUBLE), matrix FROM cm_json"
+    + " UNION ALL SELECT model, 'Classification Report', CAST(NULL AS DOUBLE), report FROM rep_text")
 
 # ------------------------------------------------------------- comparison ---
 _BOARDS = (_EVAL_CTES.rstrip() + ",\n" + _REG.split("WITH ", 1)[1].rstrip().replace(

@@ -133,6 +133,21 @@ WITH s AS (
 SELECT row_key, model, label, prediction, CAST(NULL AS DOUBLE) AS score FROM s
 """
 
+# Targets that a rule decides with a wide margin, so that every model family
+# must find it: two classes, three classes, and a number near four levels.
+RULE_ORDERS = """
+SELECT o_orderkey,
+       CASE WHEN o_totalprice > 150000 THEN CAST(8 AS DOUBLE) ELSE CAST(-8 AS DOUBLE) END + CAST(o_custkey % 7 AS DOUBLE) / 10 AS signal,
+       CAST(o_custkey % 3 AS DOUBLE) * 5 + CAST(o_orderkey % 5 AS DOUBLE) / 20 AS first_axis,
+       CASE WHEN o_custkey % 3 = 1 THEN CAST(9 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END + CAST(o_orderkey % 3 AS DOUBLE) / 20 AS second_axis,
+       CAST(o_custkey % 4 AS DOUBLE) + CAST(o_orderkey % 7 AS DOUBLE) / 100 AS step,
+       o_orderpriority AS priority,
+       CASE WHEN o_totalprice > 150000 THEN 'high' ELSE 'low' END AS target,
+       concat('class_', CAST(o_custkey % 3 AS STRING)) AS family,
+       1000 + 100 * CAST(o_custkey % 4 AS DOUBLE) + CAST(o_orderkey % 40 AS DOUBLE) / 2 AS amount
+FROM {orders}
+"""
+
 # Raw importances per (model, feature), computed from lineitem so that the
 # table grows with the data: 12 features, two always zero, rule_c all zero.
 IMPORTANCE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber",
@@ -184,6 +199,10 @@ def fixed_predictions(spark: SparkSession, sf_dir: str, kind: str = "binary") ->
     return spark.sql(text, orders=table(spark, sf_dir, "orders"))
 
 
+def rule_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(RULE_ORDERS, orders=table(spark, sf_dir, "orders"))
+
+
 def importance_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(IMPORTANCE_INPUT, lineitem=table(spark, sf_dir, "lineitem"))
 
@@ -211,6 +230,8 @@ def duck_ctes(*names: str) -> str:
             parts.append("fixed_predictions_regression AS (" + _duck(FIXED_PREDICTIONS_REGRESSION) + ")")
         elif n == "fixed_predictions_tuned":
             parts.append("fixed_predictions_tuned AS (" + _duck(FIXED_PREDICTIONS_TUNED) + ")")
+        elif n == "rule_orders":
+            parts.append("rule_orders AS (" + _duck(RULE_ORDERS) + ")")
         elif n == "importance_input":
             parts.append("importance_input AS (" + _duck(IMPORTANCE_INPUT) + ")")
         else:
