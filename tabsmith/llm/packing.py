@@ -27,6 +27,7 @@ one of a result's name is replaced.
 
 from __future__ import annotations
 
+import os
 import zlib
 from functools import lru_cache
 from itertools import chain
@@ -37,30 +38,71 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsmith.llm.byte_bpe import Pieces, _slices, ragged
+from tabsmith.llm.byte_bpe import Pieces, _slices, ragged, stand_ins
 from tabsmith.llm.common import small_batches, stored
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces that one task packs, about.
 GROUP = 1 << 17
 #: Words kept for reuse by a Python worker.
-WORDS = 250_000
+WORDS = 1_000_000
+#: Marks that may end a word; the end of plain letters, and the letter among them that lower-cases to two.
+MARKS, PLAIN, DOTTED = ".,;:!?", "\u0250", "\u0130"
 
 
 # ----------------------------------------------------------- tokenising ---
 
 class WordBpe:
-    """The tokenizer of one file's content, a table of words in front of it."""
+    """The tokenizer of one file's content, a table of words in front of it.
+
+    A run of letters is one word to the tokenizer's splitter, so for plain words
+    (letters below U+0250, where lower-casing is by letter and composition changes
+    nothing) its model is asked directly, lower-cased and byte by byte as the
+    splitter would hand it over; a mark that ends the word is a word of its own. All else takes the whole tokenizer."""
 
     def __init__(self, content: bytes):
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_buffer(content)
         self.library.encode_special_tokens = True
+        self.model = self.library.model
+        self.shown = stand_ins()
+        self.marks = {c: self.library.encode(c, add_special_tokens=False).ids for c in MARKS}
+        self.plain: dict[str, list[int]] = {}
         self.clear()
 
     def clear(self) -> None:
         self.known = Pieces()
         self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.plain.clear()
+
+    def _letters(self, word: str) -> list[int]:
+        """Ids of a run of plain letters."""
+        word = word.lower()
+        ids = self.plain.get(word)
+        if ids is None:
+            shown = word if word.isascii() else "".join(map(self.shown.__getitem__, word.encode()))
+            ids = self.plain[word] = [x.id for x in self.model.tokenize(shown)]
+        return ids
+
+    def learn(self) -> None:
+        """Ids of the words that wait."""
+        new, self.known.new = self.known.new, []
+        coded: list = [None] * len(new)
+        rest = []
+        for i, word in enumerate(new):
+            mark = self.marks.get(word[-1:])
+            core = word if mark is None else word[:-1]
+            if core.isalpha() and max(core) < PLAIN and DOTTED not in core:
+                coded[i] = self._letters(core) if mark is None else self._letters(core) + mark
+            else:
+                rest.append(i)
+        for k in range(0, len(rest), 4096):
+            part = rest[k:k + 4096]
+            for i, x in zip(part, self.library.encode_batch([new[i] for i in part], add_special_tokens=False)):
+                coded[i] = x.ids
+        ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(coded), np.uint32, int(ends[-1]))))
+        self.at = np.concatenate((self.at, self.at[-1] + ends))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text's ids)."""
@@ -69,18 +111,15 @@ class WordBpe:
         split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         counts = [len(x) for x in split]
         k = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
-        new, self.known.new = self.known.new, []
-        for i in range(0, len(new), 4096):
-            coded = [x.ids for x in self.library.encode_batch(new[i:i + 4096], add_special_tokens=False)]
-            ends = np.cumsum([len(x) for x in coded], dtype=np.int64)
-            self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(coded), np.uint32, int(ends[-1]))))
-            self.at = np.concatenate((self.at, self.at[-1] + ends))
+        if self.known.new:
+            self.learn()
         ids, ends = ragged(self.flat, self.at, k)
         return ids, np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
 
 
 @lru_cache(maxsize=2)
 def tokenizer(content: bytes) -> WordBpe:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")   # a task has one core
     return WordBpe(content)
 
 
