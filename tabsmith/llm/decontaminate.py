@@ -41,10 +41,10 @@ HITS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.Stru
 
 
 class Windows:
-    """The windows of one benchmark block, by length, sorted by hash."""
+    """The distinct windows of one benchmark block, by length, sorted by hash:
+    equal windows, of one item or several, are one entry with all their items."""
 
     def __init__(self, items: list[tuple[str, bytes]], n: int):
-        self.names = [name for name, _ in items]
         self.words: list[list[bytes]] = []
         found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for k, (_, text) in enumerate(items):
@@ -60,7 +60,21 @@ class Windows:
         for size, parts in found.items():
             h, item, at = (np.concatenate(x) for x in zip(*parts))
             order = np.argsort(h, kind="stable")
-            self.by_size[size] = h[order], item[order], at[order]
+            keys, first, names = [], [], []
+            for k in order:
+                words, run = self.words[item[k]][at[k]:at[k] + size], len(keys) - 1
+                while run >= 0 and keys[run] == h[k] and self._at(first[run], size) != words:
+                    run -= 1                        # another window of the same hash
+                if run < 0 or keys[run] != h[k]:
+                    keys.append(h[k])
+                    first.append((int(item[k]), int(at[k])))
+                    names.append(set())
+                    run = len(keys) - 1
+                names[run].add(items[item[k]][0])
+            self.by_size[size] = np.array(keys, np.uint64), first, names
+
+    def _at(self, spot: tuple[int, int], size: int) -> list[bytes]:
+        return self.words[spot[0]][spot[1]:spot[1] + size]
 
     def occurrences(self, data: np.ndarray, offsets: np.ndarray):
         """(document, first word, size, items) of every occurrence in the
@@ -71,7 +85,7 @@ class Windows:
         out = []
         if len(start):
             h = word_hashes(data, start, end)
-            for size, (keys, item, at) in self.by_size.items():
+            for size, (keys, spots, names) in self.by_size.items():
                 windows = window_hashes(h, size)
                 if not len(windows):
                     continue
@@ -80,13 +94,12 @@ class Windows:
                 known &= doc[:len(windows)] == doc[size - 1:]
                 for w in np.flatnonzero(known):
                     words = [data[a:b].tobytes() for a, b in zip(start[w:w + size], end[w:w + size])]
-                    k, items = left[w], set()
+                    k = int(left[w])
                     while k < len(keys) and keys[k] == windows[w]:
-                        if self.words[item[k]][at[k]:at[k] + size] == words:
-                            items.add(self.names[item[k]])
+                        if self._at(spots[k], size) == words:
+                            out.append((int(doc[w]), int(w - first[doc[w]]), size, names[k]))
+                            break
                         k += 1
-                    if items:
-                        out.append((int(doc[w]), int(w - first[doc[w]]), size, items))
         return out, counts
 
 
@@ -145,9 +158,15 @@ def _scanned(spark, docs, benchmark, keep, n=N, text="text", item_id="item_id",
                     if carried:
                         spans = [[(x["first"], x["last"]) for x in s] for s in part.column(len(keep) + 2).to_pylist()]
                         items = [set(x) for x in part.column(len(keep) + 3).to_pylist()]
+                    last: dict[int, set] = {}
                     for doc, first, size, names in found:
-                        spans[doc].append((first, first + size))
-                        items[doc] |= names
+                        if spans[doc] and spans[doc][-1][0] <= first <= spans[doc][-1][1]:    # runs of hits are one span
+                            spans[doc][-1] = spans[doc][-1][0], max(spans[doc][-1][1], first + size)
+                        else:
+                            spans[doc].append((first, first + size))
+                        if last.get(doc) is not names:
+                            items[doc] |= names
+                            last[doc] = names
                     columns = [part.column(c) for c in range(len(keep))]
                     columns.append(part.column(len(keep)) if give_text else pa.nulls(j - i, pa.string()))
                     columns.append(pa.array(counts, pa.int64()))

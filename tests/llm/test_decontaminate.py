@@ -75,3 +75,18 @@ def test_tables(spark):
     docs, items = table(spark, SF, "documents"), table(spark, SF, "benchmark")
     expected = brute([tuple(r) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in items.select("item_id", "text").collect()])
     assert sorted((str(r[0]), *r[1:]) for r in decontaminate.report(spark, docs, items).collect()) == sorted(expected)
+
+
+def test_repeated_words_take_a_moment(spark):
+    """Equal windows are one entry, so a text and an item of one word over and over are linear."""
+    import time
+    text = "word " * 20_000
+    items = [("a", text.encode()), ("b", text.encode()), ("c", b"word " * 13 + b"end")]
+    windows = decontaminate.Windows(items, decontaminate.N)
+    keys, spots, names = windows.by_size[13]
+    assert len(keys) == 2 and sorted(map(sorted, names)) == [["a", "b", "c"], ["c"]]
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, t.decode()) for n, t in items], "item_id string, text string")
+    at = time.time()
+    row = decontaminate.report(spark, docs, bench).first()
+    assert (row["n_words"], row["n_hit"], row["n_items"]) == (20_000, 20_000, 3) and time.time() - at < 60
