@@ -1,27 +1,28 @@
 """DuckDB SQL for the text operators that SQL can express."""
 
 from tabsmith.llm.decontaminate import N
-from tabsmith.llm.line_dedup import MIN_PAGES, RATIO
+from tabsmith.llm.line_dedup import FAMILY, MIN_PAGES, RATIO
 
 ORACLE: dict[str, str] = {}
 
+_SOLID = "trim(translate({0}, chr(9) || chr(11) || chr(12) || chr(13), '    ')) <> ''"
 ORACLE["op2_line_dedup"] = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text, string_split(text, chr(10)) AS l FROM documents),
-pages AS (SELECT DISTINCT source, text, l FROM d WHERE text IS NOT NULL),
-totals AS (SELECT source, count(*) AS host_pages FROM pages GROUP BY source),
-lines AS (SELECT DISTINCT source, text, unnest(l) AS line FROM pages),
-solid AS (SELECT * FROM lines WHERE trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    ')) <> ''),
-counts AS (SELECT source, line, count(*) AS n FROM solid GROUP BY source, line),
+solid AS (SELECT *, list_distinct(list_filter(l, lambda x: {_SOLID.format('x')})) AS s FROM d WHERE text IS NOT NULL),
+families AS (SELECT *, list_slice(list_sort(list_transform(s, lambda x: md5(x))), 1, {FAMILY}) AS page FROM solid),
+totals AS (SELECT source, count(DISTINCT page) AS host_pages FROM families GROUP BY source),
+lines AS (SELECT DISTINCT source, page, unnest(s) AS line FROM families),
+counts AS (SELECT source, line, count(*) AS n FROM lines GROUP BY source, line),
 boiler AS (SELECT c.source, list(c.line) AS gone FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
            WHERE c.n >= {MIN_PAGES} AND c.n > {RATIO} * t.host_pages GROUP BY c.source),
 j AS (SELECT d.rid, d.doc_id, d.source, d.text, d.l,
              CASE WHEN b.gone IS NULL THEN d.l ELSE list_filter(d.l, lambda x: NOT list_contains(b.gone, x)) END AS kept
       FROM d LEFT JOIN boiler b ON d.source IS NOT DISTINCT FROM b.source),
-m AS (SELECT *, coalesce(len(list_filter(l, lambda x: trim(translate(x, chr(9) || chr(11) || chr(12) || chr(13), '    ')) <> '')), 0) AS n_lines,
-             coalesce(len(list_filter(kept, lambda x: trim(translate(x, chr(9) || chr(11) || chr(12) || chr(13), '    ')) <> '')), 0) AS n_kept
+m AS (SELECT *, coalesce(len(list_filter(l, lambda x: {_SOLID.format('x')})), 0) AS n_lines,
+             coalesce(len(list_filter(kept, lambda x: {_SOLID.format('x')})), 0) AS n_kept
       FROM j)
-SELECT doc_id, source, CASE WHEN n_kept = 0 OR n_kept = n_lines THEN text ELSE array_to_string(kept, chr(10)) END AS text,
-       CAST(n_lines AS BIGINT) AS n_lines, CAST(CASE WHEN n_kept = 0 THEN 0 ELSE n_lines - n_kept END AS BIGINT) AS n_dropped
+SELECT doc_id, source, CASE WHEN n_kept = n_lines THEN text ELSE array_to_string(kept, chr(10)) END AS text,
+       CAST(n_lines AS BIGINT) AS n_lines, CAST(n_lines - n_kept AS BIGINT) AS n_dropped
 FROM m
 """
 

@@ -93,7 +93,7 @@ def test_blocks_equal_whole_model(spark, monkeypatch):
     rng = np.random.default_rng(3)
     noise = [("".join(map(chr, rng.integers(0x4E00, 0x9FA5, 400))), "zh") for _ in range(40)]
     docs = odd(spark, [(60 + k, t, lang, "a", 1) for k, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 20 + noise)])
-    docs = clashing(docs).localCheckpoint()
+    docs = clashing(docs).cache()
     train = ~held_out(F.col("doc_id"), 3, 1)
     whole = language_id.fit(docs, train)
     monkeypatch.setattr(language_id, "WHOLE_CELLS", 0)

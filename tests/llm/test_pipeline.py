@@ -1,3 +1,7 @@
+import hashlib
+import sys
+from collections import Counter
+
 import pyspark.sql.functions as F
 
 import __spark_entry__
@@ -12,24 +16,19 @@ from tests.llm.test_simhash import fingerprint, groups
 
 
 def without_boilerplate(rows):
-    """(id, source, text) with the lines of a source gone that too many of its different texts hold."""
-    texts = {}
+    """(id, source, text) with the lines of a source gone that too many of its families of texts hold."""
+    solid = lambda t: {x for x in t.split("\n") if x.strip(" \t\x0b\x0c\r")}
+    family = lambda lines: tuple(sorted(hashlib.md5(x.encode()).hexdigest() for x in lines)[:line_dedup.FAMILY])
+    pages = {}
     for _, source, t in rows:
         if t is not None:
-            texts.setdefault(source, set()).add(t)
+            pages.setdefault(source, {}).setdefault(family(solid(t)), set()).update(solid(t))
     gone = {}
-    for source, own in texts.items():
-        count = {}
-        for t in own:
-            for line in {x for x in t.split("\n") if x.strip(" \t\x0b\x0c\r")}:
-                count[line] = count.get(line, 0) + 1
+    for source, own in pages.items():
+        count = Counter(line for lines in own.values() for line in lines)
         gone[source] = {x for x, n in count.items() if n >= line_dedup.MIN_PAGES and n > line_dedup.RATIO * len(own)}
     for i, source, t in rows:
-        if t is not None:
-            kept = [x for x in t.split("\n") if x not in gone[source]]
-            if any(x.strip(" \t\x0b\x0c\r") for x in kept):
-                t = "\n".join(kept)
-        yield i, source, t
+        yield i, source, t if t is None else "\n".join(x for x in t.split("\n") if x not in gone[source])
 
 
 def test_run_equals_brute_force(spark):
@@ -76,9 +75,11 @@ def test_stages_take_an_empty_table(spark):
 
 def test_entry_registers_them_only_when_they_are_there(monkeypatch):
     names = set(__spark_entry__.queries())
-    assert {f"op{k}" for k in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
+    assert {f"op{k}" for k in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
     assert "op6_decontaminate" in __spark_entry__.oracle_sql()
-    monkeypatch.setattr(__spark_entry__, "find_spec", lambda name: None)
-    left = set(__spark_entry__.queries())
-    assert left and not any(n.startswith("op") or n == "pipeline" for n in left)
-    assert not any(n.startswith("op") for n in __spark_entry__.oracle_sql())
+    for missing in ("corpus_pipeline", "tabsmith.llm.catalog", "tabsmith.llm.oracle"):
+        with monkeypatch.context() as m:
+            m.setitem(sys.modules, missing, None)      # importing it raises ImportError
+            left = set(__spark_entry__.queries())
+            assert left and not any(n.startswith("op") or n == "pipeline" for n in left)
+            assert not any(n.startswith("op") for n in __spark_entry__.oracle_sql())
