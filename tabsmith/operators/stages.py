@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasInputCol, HasLabelCol, HasOutputCol, HasPredictionCol, HasProbabilityCol, HasRawPredictionCol
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from tabsmith.functions.expr import hash_unit, right_size
 from tabsmith.operators import knn as KNN
 from tabsmith.operators.classes import sized
+from tabsmith.plans.sqltext import literal
 
 SEED = 42
 RFF_COMPONENTS = 256
@@ -162,8 +164,14 @@ class KernelMachine(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReadabl
         try:
             reg = 1.0 / (self.getOrDefault("C") * max(1, n))
             if self.getOrDefault("regression"):
-                est = LinearRegression(loss="huber", maxIter=self.getOrDefault("maxIter"), tol=MARGIN_TOL, regParam=reg, featuresCol=column)
-                return PipelineModel([*stages, est.fit(z)])
+                # on standard labels, else the solver's first steps are lost on their size;
+                # the weights shrink with the labels, so the penalty grows by their deviation
+                row = z.agg(F.avg("label").alias("mean"), F.stddev_pop("label").alias("std")).first()
+                mean, std = row["mean"] or 0.0, row["std"] or 1.0
+                est = LinearRegression(loss="huber", maxIter=self.getOrDefault("maxIter"), tol=1e-6, regParam=reg * std,
+                                       featuresCol=column, labelCol="standard", predictionCol="margin")
+                back = SQLTransformer(statement=f"SELECT *, margin * {literal(float(std))} + {literal(float(mean))} AS prediction FROM __THIS__")
+                return PipelineModel([*stages, est.fit(z.withColumn("standard", (F.col("label") - mean) / std)), back])
             svc = LinearSVC(maxIter=self.getOrDefault("maxIter"), tol=MARGIN_TOL, regParam=reg, featuresCol=column)
             if int(z.agg(F.max("label")).first()[0] or 0) > 1:
                 rest = OneVsRest(classifier=svc, featuresCol=column, rawPredictionCol="rawPrediction").fit(z)

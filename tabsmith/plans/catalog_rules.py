@@ -45,7 +45,7 @@ def _rule_run(spark, sf: str, kind: str):
 CLASSIFIERS = {"logistic": "Logistic Regression", "tree": "Decision Tree", "forest": "Random Forest", "knn": "KNN", "svm": "SVM",
                "gbt": "Gradient Boosting", "naive_bayes": "Naive Bayes", "gbt_deep": "Boosted Trees Deep", "gbt_hist": "Boosted Trees Histogram"}
 REGRESSORS = {"linear": "Linear Regression", "tree": "Decision Tree Regressor", "forest": "Random Forest Regressor", "knn": "KNN Regressor",
-              "kernel_huber": "SVR", "gbt": "Gradient Boosting Regressor", "gbt_deep": "Boosted Trees Deep Regressor",
+              "gbt": "Gradient Boosting Regressor", "gbt_deep": "Boosted Trees Deep Regressor",
               "gbt_hist": "Boosted Trees Histogram Regressor"}
 
 
@@ -139,7 +139,7 @@ for _key, _name in {"winner": None, "svm": "SVM", "knn": "KNN"}.items():
     RULE_QUERIES[f"score_saved_{_key}"] = _scored("binary", BINARY, _name)
 for _key in ("svm", "gbt"):
     RULE_QUERIES[f"score_saved_multiclass_{_key}"] = _scored("family", FAMILY, CLASSIFIERS[_key])
-for _key in ("kernel_huber", "knn"):
+for _key in ("forest", "knn"):
     RULE_QUERIES[f"score_saved_reg_{_key}"] = _scored("amount", AMOUNT, REGRESSORS[_key])
 
 

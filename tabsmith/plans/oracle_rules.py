@@ -35,7 +35,7 @@ for _key in ("svm", "gbt"):
     RULE_ORACLE[f"score_saved_multiclass_{_key}"] = _R + "SELECT o_orderkey, family AS predicted_label FROM rule_orders"
 for _key in REGRESSORS:
     RULE_ORACLE[f"rule_reg_{_key}"] = _split(None) + f"SELECT o_orderkey, amount AS label, {_LEVEL} FROM parts WHERE test"
-for _key in ("kernel_huber", "knn"):
+for _key in ("forest", "knn"):
     RULE_ORACLE[f"score_saved_reg_{_key}"] = _R + f"SELECT o_orderkey, {_LEVEL} FROM rule_orders"
 
 _NAMES = "(VALUES " + ", ".join(f"('{n}')" for n in CLASSIFIERS.values()) + ") AS names(model)"
