@@ -183,17 +183,19 @@ def fold_scores(est, maps: list[dict], train: DataFrame, problem_type: str, fold
         setting, fold = job
         model = est.copy(maps[setting]).fit(data.where(F.col("__fold") != fold))
         out = K.predictions(model, data.where(F.col("__fold") == fold))
-        return model, out.select(F.lit(setting).alias("setting"), F.lit(fold).alias("fold"), "label", "prediction")
+        out = out.select(F.lit(setting).alias("setting"), F.lit(fold).alias("fold"), "label", "prediction").persist(StorageLevel.MEMORY_AND_DISK)
+        out.count()             # worked out here, beside the other fits
+        K.release(model)
+        return out
 
     jobs = [(s, f) for s in range(len(maps)) for f in range(folds)]
     with ThreadPoolExecutor(max_workers=parallelism or fits_at_once(train)) as pool:
         done = list(pool.map(one, jobs))
-    held = reduce(DataFrame.unionByName, [p for _, p in done])
+    held = reduce(DataFrame.unionByName, done)
     scores = held.groupBy("setting", "fold").agg(fold_score(problem_type).alias("score"), F.count("*").alias("rows")).persist()
     scores.count()
-    for model, _ in done:
-        K.release(model)
-    data.unpersist()
+    for frame in (*done, data):
+        frame.unpersist()
     return scores
 
 

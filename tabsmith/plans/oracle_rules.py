@@ -7,6 +7,7 @@ import json
 
 from tabsmith.operators.tune import CLASSIFICATION_GRIDS, reference_settings
 from tabsmith.plans.catalog_rules import CLASSIFIERS, REGRESSORS
+from tabsmith.plans.oracle import ORACLE
 from tabsmith.sources.fixtures import duck_ctes
 
 RULE_ORACLE: dict[str, str] = {}
@@ -116,3 +117,23 @@ _LINEAR_FOLDS = (
 _SCORES = "SELECT params, fold, round(score, 6) + CAST(0 AS DOUBLE) AS score, rows FROM scores"
 RULE_ORACLE["fold_scores_knn"] = _KNN_FOLDS + _SCORES
 RULE_ORACLE["fold_scores_linear"] = _LINEAR_FOLDS + _SCORES
+
+# --------------------------------------------- reports of a table with nulls ---
+# put together from the SQL of the single steps, which the run must have taken alike
+_STEP = lambda key: "(" + ORACLE[key] + ")"
+_DROPPED = ("(SELECT 'empty_col' AS col_name, 'Removed (Empty column)' AS action UNION ALL SELECT 'id', 'Removed (Identifier column)' "
+            f"UNION ALL SELECT col_name, action FROM {_STEP('drop_high_cardinality')} WHERE action <> 'kept')")
+RULE_ORACLE["dirty_preprocessing_report"] = (
+    f"SELECT 'cleaning' AS stage, col_name, action FROM {_DROPPED} "
+    f"UNION ALL SELECT 'missing', col_name, method FROM {_STEP('impute_report')} "
+    f"UNION ALL SELECT 'encoding', col_name, method FROM {_STEP('encoding_report')} "
+    f"UNION ALL SELECT 'scaling', col_name, 'Standard Scaling' FROM {_STEP('variance_selection')} WHERE variance IS NOT NULL "
+    f"UNION ALL SELECT 'selection', * FROM {_STEP('feature_report')}")
+RULE_ORACLE["dirty_dataset_report"] = (
+    duck_ctes("dirty_orders") + "SELECT 'rows' AS item, '' AS col_name, CAST(count(*) AS BIGINT) AS value FROM dirty_orders "
+    "UNION ALL SELECT 'columns', '', 12 "
+    f"UNION ALL SELECT 'missing_values_total', '', CAST(sum(missing) AS BIGINT) FROM {_STEP('profile_missing')} "
+    f"UNION ALL SELECT 'duplicate_rows_removed', '', duplicate_rows FROM {_STEP('profile_duplicates')} "
+    f"UNION ALL SELECT 'missing_values', col_name, missing FROM {_STEP('profile_missing')} WHERE missing > 0 "
+    f"UNION ALL SELECT 'dropped_column', col_name, 1 FROM {_DROPPED} "
+    f"UNION ALL SELECT 'selected_feature', col_name, 1 FROM {_STEP('correlation_selection')} WHERE action = 'kept'")
