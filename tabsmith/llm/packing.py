@@ -16,8 +16,8 @@ hold them, round after round as long as a round halves them. So the loss by
 dealing is that of the last group, not of every one. Groups sort their rows,
 so a task that runs again places them alike.
 
-A word between blanks is tokenised once and kept, in a table that is emptied
-when full: the tokenizer's own rules never join what stands on both sides of a blank.
+A word between blanks is tokenised once and kept by its hash, in a table that is
+emptied when full: the tokenizer's own rules never join what stands on both sides of a blank.
 
 Cases: null and empty texts are one piece, the end id alone; strings like
 special tokens are ordinary text; repeated rows are packed one by one; an empty
@@ -38,16 +38,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsmith.llm.byte_bpe import Pieces, _slices, ragged, stand_ins
-from tabsmith.llm.common import small_batches, stored
+from tabsmith.llm.byte_bpe import ragged, stand_ins
+from tabsmith.llm.common import LOWER, byte_set, small_batches, steps, stored, text_bytes, word_hashes, words_of
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces that one task packs, about.
 GROUP = 1 << 17
 #: Words kept for reuse by a Python worker.
-WORDS = 1_000_000
-#: Marks that may end a word; the end of plain letters, and the letter among them that lower-cases to two.
-MARKS, PLAIN, DOTTED = ".,;:!?", "\u0250", "\u0130"
+WORDS = 4_000_000
+# Bytes of a word (all but ASCII white space), letters and marks that may end
+# one; the end of plain letters, and the letter among them that lower-cases to two.
+WORD = byte_set(bytes(b for b in range(256) if b != 0x20 and not 0x09 <= b <= 0x0D))
+LETTER, MARK = byte_set(b"abcdefghijklmnopqrstuvwxyz"), byte_set(b".,;:!?")
+PLAIN, DOTTED = "\u0250", "\u0130"
 
 
 # ----------------------------------------------------------- tokenising ---
@@ -55,10 +58,15 @@ MARKS, PLAIN, DOTTED = ".,;:!?", "\u0250", "\u0130"
 class WordBpe:
     """The tokenizer of one file's content, a table of words in front of it.
 
+    Texts are cut into words with array operations over their bytes, lower-cased
+    in A-Z; a mark behind a letter at a word's end is a word of its own. Words are looked up by their
+    64-bit hashes, all of a step at once. (Two of ten million different words
+    share a hash with a probability of some millionths.) New words go to the tokenizer once.
+
     A run of letters is one word to the tokenizer's splitter, so for plain words
     (letters below U+0250, where lower-casing is by letter and composition changes
     nothing) its model is asked directly, lower-cased and byte by byte as the
-    splitter would hand it over; a mark that ends the word is a word of its own. All else takes the whole tokenizer."""
+    splitter would hand it over. All else takes the whole tokenizer."""
 
     def __init__(self, content: bytes):
         from tokenizers import Tokenizer
@@ -66,55 +74,54 @@ class WordBpe:
         self.library.encode_special_tokens = True
         self.model = self.library.model
         self.shown = stand_ins()
-        self.marks = {c: self.library.encode(c, add_special_tokens=False).ids for c in MARKS}
-        self.plain: dict[str, list[int]] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.known = Pieces()
-        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self.plain.clear()
-
-    def _letters(self, word: str) -> list[int]:
-        """Ids of a run of plain letters."""
-        word = word.lower()
-        ids = self.plain.get(word)
-        if ids is None:
-            shown = word if word.isascii() else "".join(map(self.shown.__getitem__, word.encode()))
-            ids = self.plain[word] = [x.id for x in self.model.tokenize(shown)]
-        return ids
-
-    def learn(self) -> None:
-        """Ids of the words that wait."""
-        new, self.known.new = self.known.new, []
-        coded: list = [None] * len(new)
+        self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)     # sorted; word of each
+        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)          # ids of the words
+
+    def learn(self, words: list[str]) -> None:
+        """Append the ids of new words."""
+        coded: list = [None] * len(words)
         rest = []
-        for i, word in enumerate(new):
-            mark = self.marks.get(word[-1:])
-            core = word if mark is None else word[:-1]
-            if core.isalpha() and max(core) < PLAIN and DOTTED not in core:
-                coded[i] = self._letters(core) if mark is None else self._letters(core) + mark
+        for i, word in enumerate(words):
+            if word.isalpha() and (word.isascii() or max(word) < PLAIN and DOTTED not in word):
+                word = word.lower()
+                shown = word if word.isascii() else "".join(map(self.shown.__getitem__, word.encode()))
+                coded[i] = [x.id for x in self.model.tokenize(shown)]
             else:
                 rest.append(i)
         for k in range(0, len(rest), 4096):
             part = rest[k:k + 4096]
-            for i, x in zip(part, self.library.encode_batch([new[i] for i in part], add_special_tokens=False)):
+            for i, x in zip(part, self.library.encode_batch([words[i] for i in part], add_special_tokens=False)):
                 coded[i] = x.ids
         ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
         self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(coded), np.uint32, int(ends[-1]))))
         self.at = np.concatenate((self.at, self.at[-1] + ends))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, offsets of each text's ids)."""
-        if len(self.known) > WORDS:
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of each text's ids) of texts as bytes."""
+        if len(self.hashes) > WORDS:
             self.clear()
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        counts = [len(x) for x in split]
-        k = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
-        if self.known.new:
-            self.learn()
-        ids, ends = ragged(self.flat, self.at, k)
-        return ids, np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
+        data = LOWER[data]
+        start, end, doc = words_of(data, WORD, offsets)
+        marked = np.flatnonzero((end - start > 1) & MARK[data[end - 1]] & LETTER[data[np.maximum(end - 2, 0)]])
+        start, doc = np.insert(start, marked + 1, end[marked] - 1), np.insert(doc, marked + 1, doc[marked])
+        end = np.insert(end, marked, end[marked] - 1)
+        h, first, word = np.unique(word_hashes(data, start, end), return_index=True, return_inverse=True)
+        spot = np.searchsorted(self.hashes, h)
+        known = len(self.hashes) and self.hashes[np.minimum(spot, len(self.hashes) - 1)] == h
+        new = np.flatnonzero(~known) if len(self.hashes) else np.arange(len(h))
+        if len(new):
+            raw = data.tobytes()
+            had = len(self.at) - 1
+            self.learn([raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
+            self.hashes = np.insert(self.hashes, spot[new], h[new])
+            self.place = np.insert(self.place, spot[new], had + np.arange(len(new)))
+            spot = np.searchsorted(self.hashes, h)
+        ids, ends = ragged(self.flat, self.at, self.place[spot][word])
+        counts = np.bincount(doc, minlength=len(offsets) - 1)
+        return ids, np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
 
 
 @lru_cache(maxsize=2)
@@ -138,9 +145,9 @@ def pieces(spark: SparkSession, docs: DataFrame, path: str, keep: list[str], tex
     def run(batches):
         coder = tokenizer(content.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
-            for i, j in _slices(texts):
-                coded, at = coder.encode(texts[i:j])
+            data, offsets = text_bytes(batch.column(len(keep)))
+            for i, j in steps(offsets):
+                coded, at = coder.encode(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                 rows, found = [], []
                 for k in range(j - i):
                     own = np.append(coded[at[k]:at[k + 1]], np.uint32(end_id)).astype("<u4")

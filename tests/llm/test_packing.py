@@ -3,11 +3,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tabsmith.llm import packing
+from tabsmith.llm.common import text_bytes
 from tests.llm.data import clashing, empty, odd
 
 PATH = P.path("word_bpe_49k.json")
@@ -28,7 +30,7 @@ def test_words_kept_give_the_library_s_ids(monkeypatch):
         monkeypatch.setattr(packing, "WORDS", words)
         coder = packing.WordBpe(open(PATH, "rb").read())
         for i in range(0, len(texts), 250):
-            ids, at = coder.encode(texts[i:i + 250])
+            ids, at = coder.encode(*text_bytes(pa.array(texts[i:i + 250], pa.string())))
             for t, a, b in zip(texts[i:i + 250], at[:-1], at[1:]):
                 assert ids[a:b].tolist() == ids_of(t)
 
