@@ -36,10 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tabsmith.llm.common import input_bytes
+from tabsmith.llm.common import input_bytes, small_batches
 
 BUCKET_BYTES = 4 << 20
 SAMPLED_KEYS = 64  # for each bucket
+#: Characters and pages that a task holds before it hands them on.
+HELD_CHARS, HELD_PAGES = 1 << 20, 512
 
 MARKUP = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -233,6 +235,7 @@ def content(page: Page, before: Page | None, after: Page | None) -> tuple[str, i
 def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars, n_template (shared lines deleted). One
     shuffle, of the lines; the ranges come from two reads of the URLs."""
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(f"`{page_id}`").alias("c0"), F.col(f"`{url}`").cast("string").alias("c1"),
                         F.col(f"`{html}`").cast("string").alias("c2"))
     id_type = pages.schema[page_id].dataType
@@ -271,18 +274,24 @@ def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
         also.setdefault(left["high"], []).append(right["bucket"])
         also.setdefault(right["low"], []).append(left["bucket"])
 
+    def packed(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[f.name for f in dealt.fields])
+
     def cut(batches):
         for batch in batches:
-            out = []
-            for page, link, source in zip(*(c.to_pylist() for c in batch.columns)):
+            out, held = [], 0
+            for page, link, source in rows_of(batch):
                 lines = lines_of(source or "")
                 key = key_of(page, link, hashlib.md5((source or "").encode()).hexdigest())
                 texts, marked = [x.text for x in lines], marks(lines)
                 home = bisect_right(bounds, key)
                 out += [(b, key, b == home, page, link, texts, marked) for b in [home, *also.get(key, ())]]
-            for i in range(0, len(out), 512):
-                part = list(zip(*out[i:i + 512]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, types)], names=[f.name for f in dealt.fields])
+                held += len(source or "")
+                if held > HELD_CHARS or len(out) >= HELD_PAGES:
+                    yield packed(out)
+                    out, held = [], 0
+            if out:
+                yield packed(out)
 
     dealt = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("key", T.StringType()), T.StructField("own", T.BooleanType()),
                           T.StructField("c0", id_type), T.StructField("c1", T.StringType()),
@@ -293,21 +302,24 @@ def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     def compare(batches):
         before = page = None
         out: list[tuple] = []
+        held = 0
 
         def told(after):
+            nonlocal held
             if page is not None and page.own:
                 text, gone = content(page, before if before is not None and before.bucket == page.bucket else None,
                                      after if after is not None and after.bucket == page.bucket else None)
                 out.append((page.page_id, page.url, text, len(text), gone))
+                held += len(text)
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in rows_of(batch):
                 after = Page(row)
                 told(after)
                 before, page = page, after
-            if out:
-                yield _given(out, types[3])
-                out = []
+                if held > HELD_CHARS or len(out) >= HELD_PAGES:
+                    yield _given(out, types[3])
+                    out, held = [], 0
         told(None)
         if out:
             yield _given(out, types[3])
@@ -317,6 +329,12 @@ def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     return sorted_.mapInArrow(compare, result).toDF(page_id, url, "text", "n_chars", "n_template")
 
 
+def rows_of(batch: pa.RecordBatch):
+    """The rows of a batch as Python values, one at a time."""
+    for i in range(batch.num_rows):
+        yield [c[i].as_py() for c in batch.columns]
+
+
 def _given(rows, id_type):
     types = [id_type, pa.string(), pa.string(), pa.int64(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["c0", "c1", "text", "n_chars", "n_template"])

@@ -73,3 +73,19 @@ def test_tables(spark, monkeypatch):
         article = re.search(r"<article>(.*?)(</article>|$)", r["html"], re.S)[1]
         parts = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", article))
         assert got[r["page_id"]] == "\n".join(x for x in parts if x)
+
+
+def test_tasks_hand_on_what_they_hold(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    pages = table(spark, SF, "pages").limit(60).cache()
+    monkeypatch.setattr(X, "HELD_CHARS", 500)
+    monkeypatch.setattr(X, "HELD_PAGES", 3)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        few = sorted(map(tuple, X.extracted(pages).collect()))
+        assert spark.conf.get(key) == "1000"        # long texts: Arrow batches of fewer rows
+    finally:
+        spark.conf.set(key, before)
+    monkeypatch.undo()
+    assert few == sorted(map(tuple, X.extracted(pages).collect()))
