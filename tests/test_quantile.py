@@ -87,3 +87,31 @@ def test_infinities_and_nan_fetch_few_values(spark, monkeypatch):
         assert got[k] == pytest.approx(want[k], rel=1e-9, nan_ok=True)
     one = Q.exact_quantiles(df, ["one"], [0.5])
     assert one["one"] == pytest.approx([want["one"][2]]) and len(fetched[-1]) <= 40
+
+
+def test_ranges_of_the_same_values_share_a_sketch(spark, monkeypatch):
+    df = spark.range(0, 30_000, numPartitions=4).selectExpr("double(id % 20011 * 1.5) as a", "double(id * 3 % 17001) as b")
+    made = []
+    real = Q.F.percentile_approx
+    monkeypatch.setattr(Q.F, "percentile_approx", lambda *a: made.append(1) or real(*a))
+    got = Q.exact_quantiles(df, ["a", "b"], [0.25, 0.5, 0.75])
+    assert len(made) == 2
+    monkeypatch.undo()
+    for c in ("a", "b"):
+        assert got[c] == df.toPandas()[c].quantile([0.25, 0.5, 0.75]).tolist()
+
+
+def test_fills_ask_for_quartiles_of_columns_with_nulls_only(spark, monkeypatch):
+    from tabsmith.plans.profile import profile_table
+    df = spark.range(100).selectExpr("id", "if(id % 5 = 0, null, double(id * 2)) as gaps")
+    asked = []
+    real = Q.exact_quantiles
+    monkeypatch.setattr(Q, "exact_quantiles", lambda d, columns, probs: asked.extend(columns) or real(d, columns, probs))
+    prof = profile_table(df, quantiles="missing")
+    assert asked == ["gaps"] and prof.columns["id"].q1 is None and prof.columns["gaps"].median == df.toPandas()["gaps"].median()
+
+
+def test_empty_columns_need_one_count(spark, monkeypatch):
+    from tabsmith.plans import catalog
+    monkeypatch.setattr(catalog, "_state", lambda *a: pytest.fail("the whole profile was made"))
+    assert catalog.q_drop_empty_columns(spark, "/root/testdata/sf0.001").where("action <> 'kept'").count() == 1
