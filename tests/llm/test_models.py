@@ -171,6 +171,59 @@ def test_exchange_finds_hidden_classes_and_never_loses():
     assert agree == 60 * 59 / 2
 
 
+def rare(w):
+    """Most words of a kind share their ending, a fifth have that of the other kind."""
+    return f"k{w}{'word' if (w % 2 == 1) != (w % 10 < 2) else 'bird'}"
+
+
+def two_kinds(spark):
+    """Rare words: one kind stands between ``ma`` and ``na``, the other between ``po`` and ``ro``."""
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(x for w in rng.integers(0, 200, 30) for x in (("ma", rare(w), "na") if w % 2 else ("po", rare(w), "ro")))) for k in range(120)]
+    return spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string")
+
+
+def test_rare_words_are_clustered_by_their_own_neighbours(spark, monkeypatch):
+    """Not only the frequent ones, and not by their ending."""
+    monkeypatch.setattr(brown_lm, "TOP", 30)
+    monkeypatch.setattr(brown_lm, "WORDS", 4)
+    monkeypatch.setattr(brown_lm, "ENDINGS", 3)
+    fitted, rest = brown_lm.fit(two_kinds(spark), F.lit(True))
+    probe = spark.createDataFrame([(w, side, f"{side} {rare(w)}") for w in range(200) for side in ("ma", "po")], "w long, side string, text string")
+    got = {(r["w"], r["side"]): r["score"] for r in brown_lm.scored(spark, probe, fitted, rest, ["w", "side"]).collect()}
+    assert all(got[w, "ma" if w % 2 else "po"] > got[w, "po" if w % 2 else "ma"] for w in range(200))
+
+
+def test_class_tables_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(brown_lm, "HELD", 500)
+    docs = two_kinds(spark).repartition(3)
+    texts = [words(r["text"]) for r in docs.collect()]
+    count = Counter(w for t in texts for w in t)
+    top = [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:30]]
+    code = lambda names: brown_lm.tokens(np.frombuffer(" ".join(names).encode(), np.uint8), np.array([0, len(" ".join(names))]))
+    h, ending, _ = code(top)
+    items = brown_lm.Items(h[:4], np.unique(ending[4:]))
+    codes = brown_lm.Codes(items, h, 4)
+    rows = docs.select("text")
+    own = brown_lm.exchange(brown_lm.pair_counts(rows, items), 6)
+    classes, seen, table = brown_lm.clustered(brown_lm.neighbours(rows, codes), codes, own, brown_lm.pair_counts(rows, items))
+    by_hash = {r["h"]: (r["n"], r["class"]) for r in classes.collect()}
+    every = list(count)
+    h, ending, _ = code(every)
+    of, known = {None: 0}, {None: 0}
+    for w, x, e in zip(every, h, ending):
+        item = int(items.of(np.array([x]), np.array([e]))[0])
+        known[w] = int(seen[codes.own(np.array([x]), np.array([item]))[0]])
+        n, of[w] = by_hash.pop(int(np.int64(x.view(np.int64))), (count[w], int(own[item])))
+        assert n == count[w] and (w not in top or known[w] == of[w])
+    assert not by_hash
+    expected = np.zeros_like(table)
+    for t in texts:
+        for a, b in zip([None, *t], [*t, None]):
+            expected[known[a], of[b]] += 1
+    assert (table == expected).all() and len(set(of.values())) > 2
+
+
 def test_class_probabilities_sum_to_one():
     """Over all known words and the unseen ones of every class, after any class."""
     own = np.array([0, 1, 1, 2])
