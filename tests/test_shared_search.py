@@ -41,3 +41,30 @@ def test_tasks_follow_the_pairs(spark, monkeypatch):
     assert KNN._round(index, asked, 5, 50, None).rdd.getNumPartitions() > 16
     got = KNN.neighbours(train, test, "row_key", "features", "label", block_rows=50, cells=4)
     assert sorted(map(tuple, got.select("qid", "tid", "rank").collect())) == plain
+
+
+def test_no_prediction_is_kept(spark, monkeypatch):
+    """A fit's predictions are one aggregate: nothing is cached for them, no plan unites those of all fits."""
+    from pyspark.ml.regression import LinearRegression
+    kept, persist = [], type(spark.range(1)).persist
+    train = _rows(spark, 60)
+    train.count()
+    monkeypatch.setattr(type(train), "persist", lambda self, *a: kept.append(self.columns) or persist(self, *a))
+    est = LinearRegression(solver="normal")
+    scores = G.fold_scores(est, G.distinct_maps(est, [{"fit_intercept": x} for x in (True, False)], 60), train, "regression")
+    assert not [c for c in kept if "prediction" in c]
+    got = scores.collect()
+    assert len(got) == 6 and sum(r["rows"] for r in got) == 120
+    assert "InMemory" not in scores._jdf.queryExecution().toString()
+
+
+def test_manhattan_distances_are_those_of_plain_sums(monkeypatch):
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(37, 9)), rng.normal(size=(50, 9))
+    plain = np.zeros((37, 50))
+    for j in range(9):
+        plain += np.abs(a[:, j, None] - b[None, :, j])
+    for cells in (1, 120, 1 << 14):
+        monkeypatch.setattr(KNN, "CACHE_CELLS", cells)
+        assert (KNN._far(a, b, "manhattan") == plain).all()
+    assert KNN._far(a[:0], b, "manhattan").shape == (0, 50) and KNN._far(a, b[:0], "manhattan").shape == (37, 0)
